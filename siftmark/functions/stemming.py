@@ -1,7 +1,7 @@
 """English Snowball ("Porter2") stemming, from the published algorithm.
 
-``stem`` handles one lower-case word; ``stem_values`` maps an Arrow string array
-by touching each distinct value once. Only the worker-side helpers live here:
+``stem`` handles one lower-case word; ``stem_values`` maps the dictionary of an
+Arrow string array. Only the worker-side helpers live here:
 which rows they see is decided by the DataFrame plans that call them.
 """
 
@@ -203,7 +203,5 @@ def stem_token(token: str) -> str:
 
 
 def stem_values(values: pa.Array) -> pa.Array:
-    """Stem a string array through its dictionary of distinct values."""
-    coded = values.dictionary_encode()
-    stems = pa.array([stem_token(v) for v in coded.dictionary.to_pylist()], pa.string())
-    return stems.take(coded.indices)
+    """Stems of an array of distinct tokens."""
+    return pa.array([stem_token(v) for v in values.to_pylist()], pa.string())

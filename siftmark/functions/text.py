@@ -25,19 +25,19 @@ _UNSPACED = (
     r"\p{IsIdeographic}\p{IsHiragana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
     r"\p{IsTai_Le}\p{IsNew_Tai_Lue}\p{IsTai_Tham}\p{IsTai_Viet}\p{IsAhom}"
 )
-_KATAKANA = r"[[^\x00-⿿]&&[\p{IsKatakana}〱-〵ーｰ]]"
+_KATAKANA = r"[[^\x00-\u2fff]&&[\p{IsKatakana}\u3031-\u3035\u30fc\uff70]]"
 _LETTER = rf"{_LATIN}[\p{{IsAlphabetic}}&&[^{_UNSPACED}{_KATAKANA}\p{{M}}]]"
 _DIGIT = rf"{_ASCII_DIGITS}\p{{Nd}}"
-_JOIN = r"\p{Pc} "
+_JOIN = r"\p{Pc}\u202f"
 _ALNUM = r"\p{IsAlphabetic}\p{N}"
-_EXTEND = r"[\p{M}\p{Cf}&&[^​]]"
-_EXTEND_ONLY = r"[\p{M}\p{Cf}&&[^​\p{IsAlphabetic}]]"
+_EXTEND = r"[\p{M}\p{Cf}&&[^\u200b]]"
+_EXTEND_ONLY = r"[\p{M}\p{Cf}&&[^\u200b\p{IsAlphabetic}]]"
 _ALPHA_MARK = r"\p{M}&&[\p{IsAlphabetic}]"
 _SINGLE = rf"[{_ALNUM}&&[^{_LETTER}{_DIGIT}{_KATAKANA}\p{{M}}]]"
 
 # Punctuation that stays inside a word between two letters / two digits.
-_MID_LETTER = r"'‘’·․‧՟״·:︓﹕：﹒＇．"
-_MID_DIGIT = r",;'‘’․;։،؍٬߸⁄︐︔﹐﹔，；﹒＇．"
+_MID_LETTER = r"'\u2018\u2019\u00b7\u2024\u2027\u055f\u05f4\u0387:\ufe13\ufe55\uff1a\ufe52\uff07\uff0e"
+_MID_DIGIT = r",;'\u2018\u2019\u2024\u037e\u0589\u060c\u060d\u066c\u07f8\u2044\ufe10\ufe14\ufe50\ufe54\uff0c\uff1b\ufe52\uff07\uff0e"
 
 # Runs of common letters take the first branch; blanks and controls end a word
 # before any of the costlier classes is tried.

@@ -70,20 +70,24 @@ def _assemble(carried: pa.RecordBatch, origin: list[int], found: list[tuple]) ->
     )
 
 
-def build_chunks(docs: DataFrame, cfg: Config) -> NumberedTable:
-    """Chunk table in (root, path, piece) order with ids ``0..n``, written once.
+def order_documents(docs: DataFrame) -> DataFrame:
+    """Range-partition documents into (root, path) order across partitions.
 
-    Documents, not chunks, are range-partitioned, and the chunker runs after the
-    exchange, so text crosses the network once and ids follow from partition
-    counts.
+    Works on any relation with ``root`` and ``path``: for files it runs on the bare
+    listing, before contents are read. ``_seq`` separates repeated roots.
     """
     keys = [path_components("root"), path_components("path")]
     if "_seq" in docs.columns:
         keys.append(F.col("_seq"))
-    ordered = docs.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    return number_chunks(chunk_documents(ordered, cfg))
+    return docs.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
-def number_chunks(pieces_in_order: DataFrame) -> NumberedTable:
+def build_chunks(ordered_docs: DataFrame, cfg: Config) -> NumberedTable:
+    """Chunk table with ids ``0..n`` in (root, path, piece) order, written once.
+
+    The chunker runs after the exchange, so text crosses the network at most once
+    and ids follow from per-partition row counts.
+    """
     columns = [f.name for f in PIECES.fields]
-    return number_in_place(pieces_in_order.select(*columns), "id", "chunks")
+    chunked = chunk_documents(ordered_docs, cfg).select(*columns)
+    return number_in_place(chunked, "id", "chunks")

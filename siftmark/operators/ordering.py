@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from dataclasses import dataclass
+from functools import reduce
 from itertools import accumulate
+from operator import or_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import materialize
+from ..session import local_rows, materialize
 
 _POS = "_pos"
+_SLAB = "_slab"
+_PARTS_PER_SLAB = 16
 _PART_SHIFT = 33  # documented layout of monotonically_increasing_id
 _ROW_MASK = (1 << _PART_SHIFT) - 1
 
 # A list cut to at most this many rows may be numbered by one plain window.
 WINDOW_ROWS = 200_000
-# Up to this many ids are turned into a pushed-down IN filter.
-IN_LIST = 1_000
+# Up to this many ids are turned into a filter that reaches the parquet reader,
+# in groups small enough for it to test each value instead of their span.
+IN_LIST = 256
+_IN_GROUP = 10
 
 
 @dataclass(frozen=True)
@@ -43,22 +51,24 @@ class NumberedTable:
 
     def lookup(self, ids: list[int]) -> DataFrame:
         """Rows of the given ids, through a filter the parquet reader can push down."""
-        positions = [p for p in map(self._position, ids) if p is not None]
-        return self._number(self.staged.where(F.col(_POS).isin(positions)))
-
-    def _position(self, row_id: int) -> int | None:
-        for part, first, rows in self.offsets:
-            if first <= row_id < first + rows:
-                return (part << _PART_SHIFT) + row_id - first
-        return None
+        firsts = [first for _, first, _ in self.offsets]
+        positions, slabs = [], set()
+        for row_id in sorted(i for i in set(ids) if 0 <= i < self.count):
+            part, first, _ = self.offsets[bisect_right(firsts, row_id) - 1]
+            positions.append((part << _PART_SHIFT) + row_id - first)
+            slabs.add(part // _PARTS_PER_SLAB)
+        groups = [positions[i : i + _IN_GROUP] for i in range(0, len(positions), _IN_GROUP)]
+        wanted = reduce(or_, [F.col(_POS).isin(g) for g in groups], F.lit(False))
+        return self._number(self.staged.where(F.col(_SLAB).isin(sorted(slabs)) & wanted))
 
     def _number(self, staged: DataFrame) -> DataFrame:
-        spark = staged.sparkSession
-        offsets = spark.createDataFrame(
-            [(part, first) for part, first, _ in self.offsets], "_part int, _first long"
+        offsets = local_rows(
+            staged.sparkSession,
+            _part=pa.array([part for part, _, _ in self.offsets], pa.int32()),
+            _first=pa.array([first for _, first, _ in self.offsets], pa.int64()),
         )
         row_id = F.col("_first") + F.col(_POS).bitwiseAND(F.lit(_ROW_MASK))
-        columns = [c for c in staged.columns if c != _POS]
+        columns = [c for c in staged.columns if c not in (_POS, _SLAB)]
         part = F.shiftright(_POS, _PART_SHIFT).cast("int")
         return (
             staged.withColumn("_part", part)
@@ -68,8 +78,19 @@ class NumberedTable:
 
 
 def number_in_place(ordered: DataFrame, id_name: str, name: str) -> NumberedTable:
-    """Number the rows of a DataFrame whose partitions are already in global order."""
-    staged = materialize(ordered.withColumn(_POS, F.monotonically_increasing_id()), name)
+    """Number the rows of a DataFrame whose partitions are already in global order.
+
+    The written table is foldered by slabs of neighbouring partitions, so a lookup
+    opens only the slabs that can hold its ids.
+    """
+    part = F.shiftright(_POS, _PART_SHIFT)
+    staged = materialize(
+        ordered.withColumn(_POS, F.monotonically_increasing_id()).withColumn(
+            _SLAB, F.floor(part / _PARTS_PER_SLAB).cast("int")
+        ).sortWithinPartitions(_SLAB, _POS),
+        name,
+        partition_by=_SLAB,
+    )
     counted = (
         staged.groupBy(F.shiftright(_POS, _PART_SHIFT).cast("int").alias("_part"))
         .agg(F.count("*").alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/siftmark-{app}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and read it back.
 
     Cuts lineage without tying the data to any executor, and unlike a checkpoint
@@ -45,7 +46,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = table_path(spark, name)
-    df.write.parquet(path)
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -59,3 +61,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism:
         return df
     return df.repartition(spark.sparkContext.defaultParallelism, *[F.col(k) for k in keys])
+
+
+def local_rows(spark: SparkSession, **columns: list) -> DataFrame:
+    """A handful of driver-side rows as a local relation.
+
+    Unlike rows shipped as an RDD, Catalyst folds projections over it while
+    planning, so collecting them starts no job.
+    """
+    return spark.createDataFrame(pa.table(columns))

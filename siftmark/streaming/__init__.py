@@ -1,0 +1 @@
+"""Intentionally empty: the feature set is batch only (each run indexes, then answers)."""
