@@ -29,7 +29,7 @@ class Config:
 
     ``chunk_tokens`` / ``chunk_overlap`` count whitespace tokens;
     ``per_page`` is the number of hits kept per path (0 = no collapsing).
-    ``default_top_k`` is what ``SearchEngine.search`` uses when no ``k`` is given.
+    ``stem=False`` indexes tokens verbatim. ``default_top_k`` is what ``SearchEngine.search`` uses when no ``k`` is given.
     """
 
     roots: tuple[str, ...] = ()
@@ -42,6 +42,7 @@ class Config:
     cache_dir: str | None = None
     ignore: tuple[str, ...] = ()
     per_page: int = 1
+    stem: bool = True
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "roots", tuple(str(r) for r in self.roots))

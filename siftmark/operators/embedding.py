@@ -90,12 +90,9 @@ def get_or_embed(texts: DataFrame, cached: DataFrame, embedder: Embedder) -> Emb
         leaders = missing.join(texts.select("chunk_id", "text"), "chunk_id")
         added = materialize(embed_rows(leaders, embedder), "embeddings")
         entries = cached.unionByName(added)
-    # Last write wins if two writers cached the same text.
-    unique = entries.groupBy("text_hash").agg(F.max("embedding").alias("embedding"))
-    rows = counts.hits + counts.misses
     sample = entries.select("dim").first()
     return EmbeddedTexts(
-        vectors=_attach(hashed, copies, unique, rows),
+        vectors=attach_vectors(hashed, copies, entries, counts.hits + counts.misses),
         dim=sample.dim if sample else None,
         added=added,
         hits=counts.hits,
@@ -103,8 +100,13 @@ def get_or_embed(texts: DataFrame, cached: DataFrame, embedder: Embedder) -> Emb
     )
 
 
-def _attach(hashed: DataFrame, copies: DataFrame, unique: DataFrame, rows: int) -> DataFrame:
-    """Join vectors to rows by hash, taking very frequent texts out of the shuffle."""
+def attach_vectors(hashed: DataFrame, copies: DataFrame, entries: DataFrame, rows: int) -> DataFrame:
+    """(chunk_id, embedding) of every row whose hash is among the cache entries.
+
+    Very frequent texts leave the shuffle: their vectors, at most ``HOT_SHARE`` of
+    them, are broadcast instead. Duplicate entries of one text count once.
+    """
+    unique = entries.groupBy("text_hash").agg(F.max("embedding").alias("embedding"))
     limit = max(_HOT_MINIMUM, rows // HOT_SHARE)
     hot = [r.text_hash for r in copies.where(F.col("copies") > limit).select("text_hash").collect()]
     joined = hashed.join(unique, "text_hash")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 import time
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from functools import cached_property
 
@@ -52,6 +52,11 @@ class SearchEngine:
         self.table = table
         self.chunks = table.rows()
 
+    def use_vectors(self, vectors: DataFrame, dim: int | None = None) -> None:
+        """Take the dense index from a (chunk_id, embedding) table instead of a model."""
+        index = VectorIndex.build(vectors, dim)
+        self.vectors = VectorIndex(materialize(index.rows, "vectors"), index.dim)
+
     @classmethod
     def build(
         cls, spark: SparkSession, cfg: Config, embedder: Embedder | None = None
@@ -80,7 +85,7 @@ class SearchEngine:
     @cached_property
     def lexical(self) -> Bm25Index:
         with _phase("built bm25"):
-            return Bm25Index.build(self.chunks)
+            return Bm25Index.build(self.chunks, stem=self.cfg.stem)
 
     @cached_property
     def vectors(self) -> VectorIndex:
@@ -101,8 +106,13 @@ class SearchEngine:
                     log.warning("failed to save embedding cache: %s", err)
             return index
 
-    def search(self, query: str, k: int | None = None) -> DataFrame:
-        """Best hits of a query, at most ``cfg.per_page`` for each of ``k`` paths."""
+    def search(
+        self, query: str, k: int | None = None, query_vector: Sequence[float] | None = None
+    ) -> DataFrame:
+        """Best hits of a query, at most ``cfg.per_page`` for each of ``k`` paths.
+
+        ``query_vector`` replaces the embedder's vector of the query.
+        """
         query = query.strip(WHITE_SPACE)
         k = self.cfg.default_top_k if k is None else k
         if not query or k <= 0:
@@ -111,9 +121,10 @@ class SearchEngine:
             pool = candidate_pool(k)
             lexical = self.lexical.search(query, pool)
             dense = self.spark.createDataFrame([], RANKED)
-            if self.embedder is not None and self.table.count:
-                vector = [float(x) for x in self.embedder.embed_query(query)]
-                dense = self.vectors.search(vector, pool)
+            if query_vector is None and self.embedder is not None and self.table.count:
+                query_vector = [float(x) for x in self.embedder.embed_query(query)]
+            if query_vector is not None and self.table.count:
+                dense = self.vectors.search(query_vector, pool)
             fused = fuse(lexical, dense, k=pool, at_most=pool)
             return self._hits(fused.select("chunk_id", "score"), query, k, pool)
 

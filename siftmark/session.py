@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
 _local_dirs: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -70,3 +73,23 @@ def local_rows(spark: SparkSession, **columns: list) -> DataFrame:
     planning, so collecting them starts no job.
     """
     return spark.createDataFrame(pa.table(columns))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers of a session, once.
+
+    Needed when it is run from a checkout rather than installed on every node.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    source = os.path.dirname(os.path.abspath(__file__))
+    # The driver serves the archive for as long as the application runs.
+    archive = os.path.join(tempfile.mkdtemp(prefix="siftmark-"), "siftmark.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for base, _, names in os.walk(source):
+            for name in (n for n in names if n.endswith(".py")):
+                path = os.path.join(base, name)
+                out.write(path, os.path.relpath(path, os.path.dirname(source)))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
