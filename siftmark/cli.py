@@ -14,6 +14,7 @@ from pyspark.sql import SparkSession
 from .config import DEFAULT_MODEL_REPO, ENV_PREFIX, Config, env_list, env_value
 from .operators.documents import SEPARATOR
 from .plans.engine import SearchEngine
+from .session import drop_tables, ship_package
 from .sources.sinks import to_json, to_text
 
 
@@ -122,7 +123,11 @@ def main(argv: Sequence[str] | None = None) -> int:
     try:
         config_from(args)
         spark = SparkSession.builder.appName("siftmark").getOrCreate()
-        run(spark, args)
+        ship_package(spark)
+        try:
+            run(spark, args)
+        finally:
+            drop_tables(spark)
     except (ValueError, LookupError, OSError, RuntimeError) as err:
         print(f"error: {err}", file=sys.stderr)
         return 1

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..config import Config
 from ..functions.markdown import pieces
 from ..schemas import PIECES
-from .ordering import NumberedTable, number_in_place
+from .ordering import NumberedTable, number_in_place, range_partition
 
 _PIECE_ARROW = {
     "heading_path": pa.list_(pa.string()),
@@ -70,16 +70,26 @@ def _assemble(carried: pa.RecordBatch, origin: list[int], found: list[tuple]) ->
     )
 
 
+def document_order_key(docs: DataFrame) -> Column:
+    """One string whose byte order is the (root, path, repeated root) order.
+
+    U+0001 stands for ``/`` and U+0000 ends a field, so a shorter path sorts before
+    its own extensions and separators sort before every other character.
+    """
+    fields = [F.array_join(path_components(name), "\x01") for name in ("root", "path")]
+    if "_seq" in docs.columns:
+        fields.append(F.lpad(F.col("_seq").cast("string"), 10, "0"))
+    return F.concat_ws("\x00", *fields)
+
+
 def order_documents(docs: DataFrame) -> DataFrame:
-    """Range-partition documents into (root, path) order across partitions.
+    """Put documents into (root, path) order across and within partitions.
 
     Works on any relation with ``root`` and ``path``: for files it runs on the bare
-    listing, before contents are read. ``_seq`` separates repeated roots.
+    listing, before contents are read.
     """
-    keys = [path_components("root"), path_components("path")]
-    if "_seq" in docs.columns:
-        keys.append(F.col("_seq"))
-    return docs.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ties = ["source"] if "source" in docs.columns else []
+    return range_partition(docs, document_order_key(docs), ties)
 
 
 def build_chunks(ordered_docs: DataFrame, cfg: Config) -> NumberedTable:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 from functools import reduce
 from itertools import accumulate
@@ -27,6 +27,7 @@ WINDOW_ROWS = 200_000
 # in groups small enough for it to test each value instead of their span.
 IN_LIST = 256
 _IN_GROUP = 10
+_SAMPLES_PER_PART = 40
 
 
 @dataclass(frozen=True)
@@ -77,6 +78,44 @@ class NumberedTable:
         )
 
 
+def range_partition(df: DataFrame, key: Column, ties: list[str]) -> DataFrame:
+    """Range-partition rows by a string key and sort each partition.
+
+    Boundaries come from a sample of the key column alone, so wide rows are read
+    once, by the shuffle itself. A key frequent enough to fill several ranges is
+    dealt out over all of them, which its equal order allows.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = _sample_bounds(df.select(key.alias("k")), parts)
+
+    @F.arrow_udf("int")
+    def place(keys: pa.Array, salts: pa.Array) -> pa.Array:
+        placed = []
+        for value, salt in zip(keys.to_pylist(), salts.to_pylist()):
+            low = bisect_left(bounds, value)
+            placed.append(low + salt % (bisect_right(bounds, value, lo=low) - low + 1))
+        return pa.array(placed, pa.int32())
+
+    keyed = df.withColumn("_key", key)
+    placed = keyed.withColumn("_part", place("_key", F.monotonically_increasing_id()))
+    return (
+        placed.repartitionById(parts, "_part")
+        .sortWithinPartitions("_key", *ties)
+        .drop("_key", "_part")
+    )
+
+
+def _sample_bounds(keys: DataFrame, parts: int) -> list[str]:
+    """``parts - 1`` split points from about ``_SAMPLES_PER_PART * parts`` keys."""
+    total = keys.count()
+    if parts < 2 or not total:
+        return []
+    fraction = min(1.0, _SAMPLES_PER_PART * parts / total)
+    sampled = keys if fraction == 1.0 else keys.sample(fraction, seed=17)
+    found = sorted(row.k for row in sampled.collect())
+    return [found[len(found) * i // parts] for i in range(1, parts)] if found else []
+
+
 def number_in_place(ordered: DataFrame, id_name: str, name: str) -> NumberedTable:
     """Number the rows of a DataFrame whose partitions are already in global order.
 

@@ -129,20 +129,23 @@ class SearchEngine:
             return self._hits(fused.select("chunk_id", "score"), query, k, pool)
 
     def _hits(self, fused: DataFrame, query: str, k: int, pool: int) -> DataFrame:
-        if pool <= IN_LIST:
-            # The pool is a few rows by construction: fetch exactly their chunks.
+        if pool > IN_LIST:
+            joined = self.chunks.join(fused, self.chunks.id == fused.chunk_id)
+            candidates = materialize(candidate_rows(joined, query), "candidates")
+        else:
+            # The pool is a few rows by construction: fetch exactly their chunks, and
+            # carry on with a local relation, which needs no further exchange.
             rows = fused.collect()
-            fused = local_rows(
+            scores = local_rows(
                 self.spark,
                 chunk_id=pa.array([row.chunk_id for row in rows], pa.int64()),
                 score=pa.array([row.score for row in rows], pa.float64()),
             )
             texts = self.table.lookup([row.chunk_id for row in rows])
-            candidates = texts.join(F.broadcast(fused), texts.id == fused.chunk_id)
-        else:
-            candidates = self.chunks.join(fused, self.chunks.id == fused.chunk_id)
-        ranked = with_phrase_bonus(candidates, query)
-        return hits(collapse(ranked, k, self.cfg.per_page))
+            joined = texts.join(F.broadcast(scores), texts.id == scores.chunk_id)
+            found = candidate_rows(joined, query).toArrow()
+            candidates = self.spark.createDataFrame(found).coalesce(1)
+        return collapse(candidates, k, self.cfg.per_page).select(*HITS.names)
 
     def get_chunk(self, chunk_id: int) -> Row | None:
         rows = self.table.lookup([chunk_id]).take(1)
@@ -166,15 +169,14 @@ class SearchEngine:
         }
 
 
-def hits(selected: DataFrame) -> DataFrame:
-    """Shape selected candidates into the output relation, best first."""
-    return selected.select(
-        F.col("chunk_id"),
+def candidate_rows(joined: DataFrame, query: str) -> DataFrame:
+    """Output columns of pooled chunks, phrase bonus included; full texts stay behind."""
+    return with_phrase_bonus(joined, query).select(
+        "chunk_id",
         "path",
         "heading_path",
         "line_start",
         "line_end",
         "score",
         snippet("text").alias("snippet"),
-        "chunks_matched",
     )

@@ -280,7 +280,8 @@ ORACLES = {
     "bm25_repeated_term": _top(_ROW_CHUNKS, _BODY_POSTINGS, REPEATED_QUERY),
     "bm25_heading_boost": _top(_CONVERSATION_CHUNKS, _HEADING_POSTINGS, HEADING_QUERY),
     "l2_normalized": """
-      SELECT vec_id, pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 5) AS x FROM (
+      SELECT vec_id, pos, 
+        round((x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)))::FLOAT::DOUBLE, 5) + 0.0 AS x FROM (
         SELECT vec_id, unnest(range(len(embedding))) AS pos,
           (unnest(embedding) * (label + 2))::FLOAT::DOUBLE AS x FROM embeddings)""",
     "cosine_topk": _with(_DENSE) + "SELECT chunk_id, round(score, 6) AS score FROM dense",
@@ -324,8 +325,8 @@ ORACLES = {
     + """SELECT count(c.text_hash) AS hits, count(*) - count(c.text_hash) AS misses
       FROM hashed LEFT JOIN cached c USING (text_hash)""",
     "cache_vectors": _with(_HASHED)
-    + """SELECT chunk_id, len(embedding) AS dim, round(embedding[1]::DOUBLE, 6) AS first,
-        round(embedding[-1]::DOUBLE, 6) AS last FROM hashed JOIN cached USING (text_hash)""",
+    + """SELECT chunk_id, len(embedding) AS dim, round(embedding[1]::DOUBLE, 6) + 0.0 AS first,
+        round(embedding[-1]::DOUBLE, 6) + 0.0 AS last FROM hashed JOIN cached USING (text_hash)""",
     "cache_validation": """
       SELECT bool_and(len(embedding) = dim AND len(list_filter(embedding,
         lambda x: x IS NULL OR NOT isfinite(x))) = 0) AS consistent

@@ -36,9 +36,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
+def _app_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/siftmark-{spark.sparkContext.applicationId}"
+
+
 def table_path(spark: SparkSession, name: str) -> str:
-    app = spark.sparkContext.applicationId
-    return f"{shared_dir(spark)}/siftmark-{app}/{name}-{uuid.uuid4().hex}"
+    return f"{_app_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete every table this application wrote with :func:`materialize`."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_app_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:

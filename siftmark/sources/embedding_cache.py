@@ -13,6 +13,7 @@ import time
 import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,7 +85,7 @@ class EmbeddingCache:
                 log.warning("embedding cache %s has mixed or non-finite vectors", self.path)
                 return self.empty()
             return entries
-        except PySparkException as err:
+        except (PySparkException, Py4JError) as err:
             log.warning("unreadable embedding cache %s; starting empty: %s", self.path, err)
             return self.empty()
 

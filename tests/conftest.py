@@ -6,7 +6,7 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 os.environ["PYTHONPATH"] = os.pathsep.join(
-    p for p in (ROOT, os.environ.get("PYTHONPATH", "")) if p
+    p for p in (ROOT, os.path.join(ROOT, "tests"), os.environ.get("PYTHONPATH", "")) if p
 )
 
 
