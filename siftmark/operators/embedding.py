@@ -88,7 +88,10 @@ def get_or_embed(texts: DataFrame, cached: DataFrame, embedder: Embedder) -> Emb
             F.col("leader").alias("chunk_id"), "text_hash"
         )
         leaders = missing.join(texts.select("chunk_id", "text"), "chunk_id")
-        added = materialize(embed_rows(leaders, embedder), "embeddings")
+        # Inference dwarfs this exchange: spread new texts evenly, wherever they lie.
+        parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        even = leaders.repartition(parts, "text_hash")
+        added = materialize(embed_rows(even, embedder), "embeddings")
         entries = cached.unionByName(added)
     sample = entries.select("dim").first()
     return EmbeddedTexts(

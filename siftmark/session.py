@@ -64,7 +64,7 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use every core on an input that is read as fewer partitions than cores.
+    """Use every core on a plain scan that is read as fewer partitions than cores.
 
     Hash-partitions by ``keys`` (deterministic on re-run). A large input already
     has more splits than cores and passes through without a shuffle.

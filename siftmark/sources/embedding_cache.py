@@ -13,10 +13,14 @@ import time
 import uuid
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import Config, env_value
 from ..schemas import EMBEDDING_CACHE
@@ -46,15 +50,22 @@ def cache_path(cfg: Config, spark: SparkSession | None = None) -> str:
     return f"{base.rstrip('/')}/{slug}"
 
 
+@F.arrow_udf(T.BooleanType())
+def _is_sound(vectors: pa.Array, dims: pa.Array) -> pa.Array:
+    """Per row: present, as long as its ``dim`` says, and finite throughout."""
+    sizes = pc.list_value_length(vectors).fill_null(0).to_numpy(zero_copy_only=False)
+    finite = np.isfinite(vectors.flatten().to_numpy(zero_copy_only=False))  # null reads as NaN
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    broken = np.bincount(rows[~finite], minlength=len(sizes)) > 0
+    expected = dims.fill_null(-1).to_numpy(zero_copy_only=False)
+    present = vectors.is_valid().to_numpy(zero_copy_only=False)
+    return pa.array(present & (sizes == expected) & ~broken)
+
+
 def is_consistent(entries: DataFrame) -> bool:
     """All vectors are as long as the one cache dimension and finite throughout."""
-    infinite = F.lit(float("inf")).cast("float")
-    broken = F.exists(
-        "embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == infinite)
-    )
-    sound = F.coalesce((F.size("embedding") == F.col("dim")) & ~broken, F.lit(False))
     checked = entries.agg(
-        F.coalesce(F.bool_and(sound), F.lit(True)).alias("sound"),
+        F.coalesce(F.bool_and(_is_sound("embedding", "dim")), F.lit(True)).alias("sound"),
         F.min("dim").alias("low"),
         F.max("dim").alias("high"),
     ).first()
