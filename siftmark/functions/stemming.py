@@ -88,16 +88,23 @@ _CONSONANT_Y = re.compile(f"^y|(?<={_VOWEL})y")
 _DOUBLED = re.compile(r"(?:bb|dd|ff|gg|mm|nn|pp|rr|tt)$")
 
 
-def _longest(suffixes) -> re.Pattern:
-    by_length = sorted(suffixes, key=len, reverse=True)
-    return re.compile(f"(?:{'|'.join(by_length)})$")
+class _Longest:
+    """Finds the longest of some suffixes; most words have none and cost one test."""
 
+    def __init__(self, suffixes) -> None:
+        by_length = sorted(suffixes, key=len, reverse=True)
+        self._any = tuple(by_length)
+        self._pattern = re.compile(f"(?:{'|'.join(by_length)})$")
 
-_STEP1A = re.compile("(?:sses|ied|ies|us|ss|s)$")
-_STEP1B = _longest(["eed", "eedly", "ed", "edly", "ing", "ingly"])
-_STEP2_END = _longest(_STEP2)
-_STEP3_END = _longest(_STEP3)
-_STEP4_END = _longest(_STEP4)
+    def search(self, word: str) -> re.Match | None:
+        return self._pattern.search(word) if word.endswith(self._any) else None
+
+
+_STEP1A = _Longest(["sses", "ied", "ies", "us", "ss", "s"])
+_STEP1B = _Longest(["eed", "eedly", "ed", "edly", "ing", "ingly"])
+_STEP2_END = _Longest(_STEP2)
+_STEP3_END = _Longest(_STEP3)
+_STEP4_END = _Longest(_STEP4)
 
 
 def _region_starts(word: str) -> tuple[int, int]:
@@ -169,7 +176,8 @@ def stem(word: str) -> str:
         return word
     if word in _SPECIAL:
         return _SPECIAL[word]
-    word = _CONSONANT_Y.sub("Y", word)
+    if "y" in word:
+        word = _CONSONANT_Y.sub("Y", word)
     r1, r2 = _region_starts(word)
     word = _plural(word)
     if word not in _KEEP_AFTER_1A:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import text_hash
 from ..schemas import EMBEDDING_CACHE
-from ..session import materialize
+from ..session import materialize, partitions_for
 from ..sources.model import Embedder
 
 _EMBED_ROWS = 256
@@ -89,7 +89,7 @@ def get_or_embed(texts: DataFrame, cached: DataFrame, embedder: Embedder) -> Emb
         )
         leaders = missing.join(texts.select("chunk_id", "text"), "chunk_id")
         # Inference dwarfs this exchange: spread new texts evenly, wherever they lie.
-        parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parts = partitions_for(texts.sparkSession, counts.misses, _EMBED_ROWS)
         even = leaders.repartition(parts, "text_hash")
         added = materialize(embed_rows(even, embedder), "embeddings")
         entries = cached.unionByName(added)

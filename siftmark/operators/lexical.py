@@ -23,8 +23,9 @@ from ..config import HEADING_BOOST, K1, B
 from ..functions.stemming import stem_token, stem_values
 from ..functions.text import tokens
 from ..schemas import FORWARD, RANKED
-from ..session import local_rows, materialize, table_path
+from ..session import local_rows, materialize, partitions_for, table_path
 
+_CHUNKS_PER_BUCKET = 10_000
 SCORE_DIGITS = 9  # ranks compare rounded scores, so summation order cannot matter
 
 
@@ -132,7 +133,7 @@ class Bm25Index:
         spark = chunks.sparkSession
         rows = materialize(forward(chunks, stem), "forward")
         stats = corpus_stats(rows).first()
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets = partitions_for(spark, stats.n_docs, _CHUNKS_PER_BUCKET)
         lists = _write_inverted(rows, buckets) if inverted else None
         return cls(rows, lists, buckets, stats.n_docs, stats.avg_doc_len, stem)
 

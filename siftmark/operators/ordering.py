@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import local_rows, materialize
+from ..session import local_rows, materialize, partitions_for
 
 _POS = "_pos"
 _SLAB = "_slab"
@@ -28,6 +28,7 @@ WINDOW_ROWS = 200_000
 IN_LIST = 256
 _IN_GROUP = 10
 _SAMPLES_PER_PART = 40
+_ROWS_PER_RANGE = 1_000
 
 
 @dataclass(frozen=True)
@@ -85,8 +86,10 @@ def range_partition(df: DataFrame, key: Column, ties: list[str]) -> DataFrame:
     once, by the shuffle itself. A key frequent enough to fill several ranges is
     dealt out over all of them, which its equal order allows.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = _sample_bounds(df.select(key.alias("k")), parts)
+    keys = df.select(key.alias("k"))
+    total = keys.count()
+    parts = partitions_for(df.sparkSession, total, _ROWS_PER_RANGE)
+    bounds = _sample_bounds(keys, total, parts)
 
     @F.arrow_udf("int")
     def place(keys: pa.Array, salts: pa.Array) -> pa.Array:
@@ -105,9 +108,8 @@ def range_partition(df: DataFrame, key: Column, ties: list[str]) -> DataFrame:
     )
 
 
-def _sample_bounds(keys: DataFrame, parts: int) -> list[str]:
+def _sample_bounds(keys: DataFrame, total: int, parts: int) -> list[str]:
     """``parts - 1`` split points from about ``_SAMPLES_PER_PART * parts`` keys."""
-    total = keys.count()
     if parts < 2 or not total:
         return []
     fraction = min(1.0, _SAMPLES_PER_PART * parts / total)

@@ -63,6 +63,15 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+def partitions_for(spark: SparkSession, rows: int, rows_each: int) -> int:
+    """How many partitions ``rows`` deserve: every core busy, none nearly empty.
+
+    ``spark.sql.shuffle.partitions`` is the ceiling, so on large data it decides.
+    """
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(most, max(spark.sparkContext.defaultParallelism, rows // rows_each)))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Use every core on a plain scan that is read as fewer partitions than cores.
 
