@@ -72,7 +72,7 @@ def parser() -> argparse.ArgumentParser:
 def config_from(args: argparse.Namespace) -> Config:
     roots = args.roots or env_list("ROOTS")
     if not roots:
-        raise ValueError(f"no roots given: pass --root <dir> or set {ENV_PREFIX}ROOTS")
+        raise ValueError(f"nothing to ingest: use --root or {ENV_PREFIX}ROOTS")
     return Config(
         roots=tuple(roots),
         model_repo=args.model or env_value("MODEL") or DEFAULT_MODEL_REPO,
@@ -98,7 +98,7 @@ def run(spark: SparkSession, args: argparse.Namespace, out=None) -> None:
         if args.chunk is not None:
             chunk = engine.get_chunk(args.chunk)
             if chunk is None:
-                raise LookupError(f"no chunk {args.chunk}")
+                raise LookupError(f"chunk {args.chunk} does not exist")
             print(to_json(chunk), file=out)
         else:
             _print_document(engine, args.path, out)
@@ -111,7 +111,7 @@ def _print_document(engine: SearchEngine, path: str, out) -> None:
         out.write((SEPARATOR if written else "") + row.text)
         written += 1
     if not written:
-        raise LookupError(f"no document {path}")
+        raise LookupError(f"document {path} does not exist")
     out.write("\n")
 
 

@@ -94,5 +94,5 @@ def ignore_regex(globs: Iterable[str]) -> str | None:
         try:
             valid.append(glob_to_regex(glob))
         except InvalidGlob as err:
-            log.warning("skipping invalid ignore glob: %s", err)
+            log.warning("ignore pattern dropped: %s", err)
     return "|".join(f"(?:{v})" for v in valid) or None

@@ -63,6 +63,7 @@ WORD_PATTERN = (
 )
 # A separator after the first letter or digit; words always end in one.
 INTERNAL_SEPARATOR = rf"[^{_JOIN}][{SEPARATORS}]"
+_MAYBE_IDENTIFIER = r"[_.:\-]\S"
 ALL_ALPHABETIC = r"^\p{IsAlphabetic}+$"
 
 
@@ -90,6 +91,7 @@ def all_alphabetic(word: Column) -> Column:
 
 def tokens(text: Column | str) -> Column:
     """Unstemmed token stream: each word, then its parts if it is an identifier."""
+    text = _column(text)
 
     def expand(plain: Column) -> Column:
         with_parts = F.flatten(
@@ -100,7 +102,8 @@ def tokens(text: Column | str) -> Column:
                 ).otherwise(F.array(w)),
             )
         )
-        return F.when(F.exists(plain, has_internal_separator), with_parts).otherwise(plain)
+        # Most texts hold no identifier, which one quick look over the text settles.
+        return F.when(text.rlike(_MAYBE_IDENTIFIER), with_parts).otherwise(plain)
 
     # Binding through a one-element array evaluates the pattern once.
     return F.transform(F.array(words(text)), expand)[0]

@@ -18,7 +18,7 @@ def _matrix(vectors: pa.Array, dim: int) -> np.ndarray:
     """Rows of a list column as a float64 matrix; every list must hold ``dim`` values."""
     sizes = np.diff(vectors.offsets.to_numpy())
     if vectors.null_count or (sizes != dim).any():
-        raise ValueError(f"vector dim mismatch: expected {dim}, got {sorted(set(sizes.tolist()))}")
+        raise ValueError(f"every vector must have {dim} components, found {set(sizes.tolist())}")
     flat = vectors.flatten().to_numpy(zero_copy_only=False)
     return flat.astype(np.float64).reshape(len(vectors), dim)
 

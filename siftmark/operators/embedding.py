@@ -31,7 +31,7 @@ def embed_rows(texts: DataFrame, embedder: Embedder) -> DataFrame:
                 part = batch.slice(start, _EMBED_ROWS)
                 found = np.asarray(embedder.embed(part.column("text").to_pylist()), np.float32)
                 if found.ndim != 2 or len(found) != part.num_rows:
-                    raise ValueError("embedder returned wrong count")
+                    raise ValueError("an embedder must return one row per text")
                 count, dim = found.shape
                 bounds = np.arange(count + 1, dtype=np.int32) * dim
                 yield pa.RecordBatch.from_arrays(

@@ -73,37 +73,37 @@ class SearchEngine:
 
     @classmethod
     def _build(cls, spark, cfg, ordered, embedder) -> SearchEngine:
-        with _phase("loaded corpus"):
+        with _phase("chunk table"):
             table = build_chunks(ordered, cfg)
         if cfg.lexical_only:
             embedder = None
         elif embedder is None:
-            with _phase("loaded embedder"):
+            with _phase("model files"):
                 embedder = OnnxEmbedder.load(spark, cfg)
         return cls(spark, cfg, table, embedder)
 
     @cached_property
     def lexical(self) -> Bm25Index:
-        with _phase("built bm25"):
+        with _phase("lexical tables"):
             return Bm25Index.build(self.chunks, stem=self.cfg.stem)
 
     @cached_property
     def vectors(self) -> VectorIndex:
         """Dense index over every chunk's indexable text, through the embedding cache."""
-        with _phase("built dense index"):
+        with _phase("dense tables"):
             texts = self.chunks.select(
                 F.col("id").alias("chunk_id"), indexable_text("heading_path", "text").alias("text")
             )
             cache = EmbeddingCache.at(self.spark, self.cfg)
             found = get_or_embed(texts, cache.load(), self.embedder)
-            log.info("embedding cache hits=%d misses=%d", found.hits, found.misses)
+            log.info("texts with cached vectors=%d without=%d", found.hits, found.misses)
             index = VectorIndex.build(found.vectors, found.dim)
             index = VectorIndex(materialize(index.rows, "vectors"), index.dim)
             if found.added is not None:
                 try:
                     cache.save(found.added)
                 except Exception as err:  # the vectors are usable without the cache
-                    log.warning("failed to save embedding cache: %s", err)
+                    log.warning("the new vectors could not be cached: %s", err)
             return index
 
     def search(
@@ -117,7 +117,7 @@ class SearchEngine:
         k = self.cfg.default_top_k if k is None else k
         if not query or k <= 0:
             return self.spark.createDataFrame([], HITS)
-        with _phase("searched"):
+        with _phase("query"):
             pool = candidate_pool(k)
             lexical = self.lexical.search(query, pool)
             dense = self.spark.createDataFrame([], RANKED)

@@ -93,11 +93,11 @@ class EmbeddingCache:
                 f"{self.path}/{_GENERATION}*"
             )
             if not is_consistent(entries):
-                log.warning("embedding cache %s has mixed or non-finite vectors", self.path)
+                log.warning("ignoring %s: its vectors differ in length or are not finite", self.path)
                 return self.empty()
             return entries
         except (PySparkException, Py4JError) as err:
-            log.warning("unreadable embedding cache %s; starting empty: %s", self.path, err)
+            log.warning("ignoring %s, which cannot be read: %s", self.path, err)
             return self.empty()
 
     def get(self, text: str) -> list[float] | None:
@@ -113,7 +113,7 @@ class EmbeddingCache:
         fs, path_of = self._filesystem()
         if not fs.rename(path_of(staged), path_of(final)):
             raise OSError(f"could not move {staged} to {final}")
-        log.info("saved embedding cache %s", self.path)
+        log.info("new vectors are in %s", final)
 
     def _filesystem(self):
         jvm = self.spark.sparkContext._jvm

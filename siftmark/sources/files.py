@@ -26,6 +26,7 @@ from .tables import drop_ignored
 log = logging.getLogger("siftmark")
 
 _SKIPPED_NAMES = ("node_modules", "target")
+_FLUSH_CHARS = 8 << 20
 
 # ``seq`` numbers the root; ``file`` holds raw bytes, so any file name survives.
 _ENTRIES = T.StructType(
@@ -59,7 +60,7 @@ def _list_directory(seq: int, root: str, path: str, folder: bytes) -> Iterator[t
                 if wanted and not is_skipped_name(name):
                     yield seq, root, f"{path}/{name}" if path else name, entry.path, is_dir
     except OSError as err:
-        log.warning("skipping unreadable path under %s: %s", root, err)
+        log.warning("could not list a folder of root %s: %s", root, err)
 
 
 def _list_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +86,7 @@ def _root_entries(roots: tuple[str, ...]) -> tuple[list[tuple], list[tuple]]:
         elif os.path.isfile(root) and is_markdown(os.path.basename(root)):
             files.append((*entry, False))
         elif not os.path.exists(root):
-            log.warning("skipping unreadable path under %s: no such file or directory", root)
+            log.warning("root %s does not exist", root)
     return folders, files
 
 
@@ -121,21 +122,39 @@ def read_files(listing: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            carried = batch.select(names)
+            rows, texts, held = [], [], 0
             for row, file in enumerate(batch.column("file").to_pylist()):
-                try:
-                    with open(file, encoding="utf-8", newline="") as handle:
-                        text = handle.read()
-                except (OSError, UnicodeDecodeError) as err:
-                    log.warning("skipping unreadable file %s: %s", os.fsdecode(file), err)
-                    continue
-                carried = batch.select(names).slice(row, 1)
-                yield pa.RecordBatch.from_arrays(
-                    [*carried.columns, pa.array([text])], names=[*names, "source"]
-                )
+                text = _read_text(file)
+                if text is not None:
+                    rows.append(row)
+                    texts.append(text)
+                    held += len(text)
+                if held >= _FLUSH_CHARS:
+                    yield _with_texts(carried, rows, texts)
+                    rows, texts, held = [], [], 0
+            if rows:
+                yield _with_texts(carried, rows, texts)
 
     return listing.mapInArrow(read, schema)
 
 
+def _read_text(file: bytes) -> str | None:
+    try:
+        with open(file, encoding="utf-8", newline="") as handle:
+            return handle.read()
+    except (OSError, UnicodeDecodeError) as err:
+        log.warning("left out %s: %s", os.fsdecode(file), err)
+        return None
+
+
+def _with_texts(carried: pa.RecordBatch, rows: list[int], texts: list[str]) -> pa.RecordBatch:
+    kept = carried.take(pa.array(rows, pa.int64()))
+    return pa.RecordBatch.from_arrays(
+        [*kept.columns, pa.array(texts, pa.string())], names=[*carried.schema.names, "source"]
+    )
+
+
 def load_documents(spark: SparkSession, cfg: Config) -> DataFrame:
     """Readable markdown documents of all roots, in (root, path) order."""
     return read_files(order_documents(list_files(spark, cfg)))

@@ -33,11 +33,11 @@ def resolve_files(cfg: Config) -> tuple[str, str]:
         paths = tuple(os.path.join(cfg.model_dir, f) for f in (MODEL_FILE, TOKENIZER_FILE))
         for path in paths:
             if not os.path.isfile(path):
-                raise FileNotFoundError(f"missing {path}")
+                raise FileNotFoundError(f"model folder lacks {path}")
         return paths
     owner, slash, name = cfg.model_repo.partition("/")
     if not (owner and slash and name):
-        raise ValueError(f"model repo must be owner/name, got {cfg.model_repo}")
+        raise ValueError(f"{cfg.model_repo!r} is not an owner/name model reference")
     try:
         from huggingface_hub import hf_hub_download
     except ImportError as err:
@@ -119,7 +119,7 @@ class OnnxEmbedder:
         output = session.get_outputs()[0].name
         hidden = session.run([output], feeds)[0]
         if hidden.ndim != 3:
-            raise ValueError(f"expected [batch, seq, dim], got {list(hidden.shape)}")
+            raise ValueError(f"the model's first output has shape {hidden.shape}, not three axes")
         first = hidden[:, 0, :].astype(np.float32)
         norms = np.linalg.norm(first, axis=1, keepdims=True)
         return np.divide(first, norms, out=first, where=norms > 0)

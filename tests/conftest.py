@@ -25,4 +25,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from siftmark.session import drop_tables
+
+    drop_tables(session)
     session.stop()

@@ -109,7 +109,7 @@ def test_vectors(spark):
     assert [r.score for r in index.search([-1.0, 0.0], 9).collect()][-1] == -1.0
     (zero,) = VectorIndex.build(vector_frame(spark, [[0.0, 0.0]])).search([1.0, 0.0], 1).collect()
     assert (zero.chunk_id, zero.score) == (0, 0.0)
-    with pytest.raises(Exception, match="dim mismatch"):
+    with pytest.raises(Exception, match="must have 2 components"):
         VectorIndex.build(vector_frame(spark, [[1.0]]), dim=2).rows.collect()
     with pytest.raises(ValueError):
         index.search([1.0], 1)
