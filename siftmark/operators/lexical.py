@@ -24,6 +24,7 @@ from ..functions.stemming import stem_token, stem_values
 from ..functions.text import tokens
 from ..schemas import FORWARD, RANKED
 from ..session import local_rows, materialize, partitions_for, table_path
+from . import ordering
 
 _CHUNKS_PER_BUCKET = 10_000
 SCORE_DIGITS = 9  # ranks compare rounded scores, so summation order cannot matter
@@ -217,4 +218,13 @@ def score_postings(matched: DataFrame, weights: dict[str, float], avg_doc_len: f
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
-    return scored.orderBy(F.desc("score"), "chunk_id").limit(k)
+    """Best ``k`` rows by score, then id.
+
+    A usual ``k`` is a per-task top-k and one small merge. That merge holds ``k``
+    rows of every task, so a very large ``k`` is numbered in parallel instead.
+    """
+    order = [F.desc("score"), F.asc("chunk_id")]
+    if k <= ordering.WINDOW_ROWS:
+        return scored.orderBy(*order).limit(k)
+    placed = ordering.with_rank(scored, order, "rank", None)
+    return placed.where(F.col("rank") <= k).select("chunk_id", "score")

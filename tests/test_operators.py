@@ -81,6 +81,17 @@ def test_bm25_equals_brute_force(spark, inverted):
     }
 
 
+def test_very_large_k_is_numbered_in_parallel(spark, monkeypatch):
+    frame = chunk_frame(spark, [(i, [], "tide " * (i % 9 + 1)) for i in range(60)])
+    index = Bm25Index.build(frame)
+    usual = [tuple(r) for r in index.search("tide", 25).collect()]
+    monkeypatch.setattr(ordering, "WINDOW_ROWS", 10)
+    found = [tuple(r) for r in index.search("tide", 25).collect()]
+    assert sorted(found, key=lambda r: (-r[1], r[0])) == usual
+    ranked = fuse(index.search("tide", 25), index.search("tide", 25), k=25, at_most=25).collect()
+    assert [r.chunk_id for r in ranked] == [i for i, _ in usual]
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
