@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -106,3 +106,24 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def held_out(key: Column) -> Column:
+    """The fifth of the rows that no model is trained on."""
+    return F.pmod(F.crc32(key.cast("string")), F.lit(5)) == 0
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, most: int) -> DataFrame:
+    """text and label of at most ``most`` labelled documents, by smallest hash of the key.
+
+    ``labels`` has the key and ``label``; the largest label of a key counts, null labels
+    do not. Only the sampled labels (bounded by ``most``) are sent to the documents.
+    """
+    known = (
+        labels.where(F.col("label").isNotNull() & F.col(key).isNotNull())
+        .groupBy(F.col(key).alias("_key"))
+        .agg(F.max(F.col("label").cast("int")).alias("label"))
+    )
+    taken = known.orderBy(F.xxhash64("_key"), "_key").limit(most)
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("text"))
+    return rows.join(F.broadcast(taken), "_key").select("text", "label")

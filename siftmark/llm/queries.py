@@ -5,9 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, token_counts
-from .common import read
+from . import (
+    chat,
+    license_scan,
+    line_rules,
+    packing,
+    quality_grades,
+    token_counts,
+    toxicity,
+    url_rules,
+)
+from .common import held_out, read
 
 
 def _tokenizer(name: str) -> str:
@@ -16,19 +26,73 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(read(spark, sf_dir, "conversations")).drop("mask")
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return packing.piece_digests(packing.pack(docs, _tokenizer("word_bpe_49k.json")))
 
 
+def toxic_model(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicModel:
+    """Fitted on labels outside the held-out fifth."""
+    learned = labels.where(~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").alias("label"))
+    return toxicity.fit(docs, learned)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxic_model(docs, read(spark, sf_dir, "labels"))
+    scored = toxicity.score_documents(docs, model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.count_tokens(docs, _tokenizer("byte_bpe_50k.json"))
     return counted.drop("text")
 
 
+def op8_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_rules.apply_line_rules(docs, clean=False).drop("text")
+
+
+def op9_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    grade = quality_grades.grade_of_labels(F.col("quality"), F.col("toxic"))
+    labels = read(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
+    model = quality_grades.fit(docs, labels.select("doc_id", grade.alias("label")))
+    graded = quality_grades.grade_documents(docs, model)
+    return graded.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "expected_grade",
+        F.element_at("p_above", 1).alias("p_readable"),
+        F.element_at("p_above", -1).alias("p_good"),
+        (F.element_at("p_above", 1) >= 0.5).alias("kept"),
+    )
+
+
+def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    labelled = url_rules.labels_by_number(pages, read(spark, sf_dir, "labels"))
+    return url_rules.judge_urls(pages, labelled).drop("url")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_perspectives": op1_chat_perspectives,
+    "op3_license_scan": op3_license_scan,
     "op4_packing": op4_packing,
+    "op5_toxicity": op5_toxicity,
     "op7_token_counts": op7_token_counts,
+    "op8_line_rules": op8_line_rules,
+    "op9_quality_grades": op9_quality_grades,
+    "op10_url_rules": op10_url_rules,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_chat_perspectives": chat.ORACLE}
