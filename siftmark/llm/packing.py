@@ -32,25 +32,62 @@ _words: dict[str, WordCache] = {}
 _tokenizers: dict[str, object] = {}
 
 
+def _plain_pieces(word: str) -> int:
+    """How many pre-tokens a word of letters and closing marks has; 0 for other words."""
+    core = word.rstrip(".,;:!?%*&$#|")
+    if not core.lower().isalpha():
+        return 0
+    return 1 if len(core) == len(word) else 2
+
+
 def _encoder(path: str):
     """Words (bytes) to ids (bytes of unsigned 32-bit), remembered by this worker."""
     from tokenizers import Tokenizer
 
     if path not in _tokenizers:
-        _tokenizers[path] = Tokenizer.from_file(path)
-        _words[path] = WordCache(9_000_000)
-    tokenizer, known = _tokenizers[path], _words[path]
+        tokenizer = Tokenizer.from_file(path)
+        ends = np.zeros(max(tokenizer.get_vocab().values()) + 1, bool)
+        for token, at in tokenizer.get_vocab().items():
+            ends[at] = token.endswith("</w>")
+        _tokenizers[path] = tokenizer, ends
+        _words[path] = WordCache(14_000_000)
+    (tokenizer, ends), known = _tokenizers[path], _words[path]
+
+    def encoded(words: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def learn(words: list[bytes]) -> None:
+        texts = [w.decode() for w in words]
+        pieces = np.fromiter(map(_plain_pieces, texts), np.int64, len(texts))
+        alone = np.flatnonzero(pieces == 0).tolist()
+        # Plain words are encoded many to a line; a line's ids are dealt out again by
+        # the ids that close a pre-token.
+        plain = np.flatnonzero(pieces > 0)
+        lines = [plain[a : a + 200] for a in range(0, len(plain), 200)]
+        for line, ids in zip(
+            lines, encoded([" ".join([texts[i] for i in at.tolist()]) for at in lines]), strict=True
+        ):
+            stops = np.flatnonzero(ends[ids]) + 1
+            due = np.cumsum(pieces[line])
+            if len(stops) != due[-1]:
+                alone += line.tolist()
+                continue
+            data, cuts = np.array(ids, "<u4").tobytes(), (4 * stops[due - 1]).tolist()
+            known.grow(
+                [words[i] for i in line.tolist()],
+                [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)],
+            )
+        known.grow(
+            [words[i] for i in alone],
+            [np.array(x, "<u4").tobytes() for x in encoded([texts[i] for i in alone])],
+        )
 
     def encode(texts: list[str]) -> list[bytes]:
         known.make_room()
         split = [text.encode().split() for text in texts]
         new = list(set().union(*split) - known.keys())
         for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            found = tokenizer.encode_batch_fast(
-                [w.decode() for w in part], add_special_tokens=False
-            )
-            known.grow(part, [np.array(e.ids, "<u4").tobytes() for e in found])
+            learn(new[a : a + 20_000])
         return [b"".join([known[w] for w in words]) for words in split]
 
     return encode
