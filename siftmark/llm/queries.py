@@ -11,8 +11,10 @@ from . import (
     chat,
     license_scan,
     line_rules,
+    lsh_forest,
     packing,
     quality_grades,
+    template_leaks,
     token_counts,
     toxicity,
     url_rules,
@@ -30,6 +32,12 @@ def op1_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(read(spark, sf_dir, "conversations")).drop("mask")
 
 
+def op2_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = template_leaks.find_leaks(docs, read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read(spark, sf_dir, "documents"))
 
@@ -52,6 +60,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op6_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.count_tokens(docs, _tokenizer("byte_bpe_50k.json"))
@@ -87,9 +99,11 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_perspectives": op1_chat_perspectives,
+    "op2_template_leaks": op2_template_leaks,
     "op3_license_scan": op3_license_scan,
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
+    "op6_lsh_forest": op6_lsh_forest,
     "op7_token_counts": op7_token_counts,
     "op8_line_rules": op8_line_rules,
     "op9_quality_grades": op9_quality_grades,
