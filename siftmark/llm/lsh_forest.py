@@ -8,9 +8,9 @@ can hardly be missed; where a region is crowded the ``NEAREST`` neighbours on ei
 side go deeper by themselves, as sorted order puts the longest prefixes next to each
 other. Candidates are confirmed on the full sets, links are joined to components.
 
-Crowded regions are then visited again: now a document's neighbours are the nearest
-ones *of other components*, and this repeats until a visit adds no link. So a cut at
-``NEAREST`` neighbours is not a cap on partners.
+Crowded regions are then visited again: members outside a region's largest component
+are compared with all its members of other components by their minima, in blocks, and
+the ones most alike are confirmed. This repeats until a visit adds no link.
 
 Null, empty and blank texts have empty sets: linked with nothing, their own component.
 Fewer words than a shingle make one shingle of the whole sequence. Repeated rows are
@@ -34,6 +34,7 @@ from .common import mix64, slices, texts_of
 TREES = 16
 DEPTH = 8
 NEAREST = 6
+BEST = 8
 #: Chance to miss a link at the threshold in all trees, which sets the least depth.
 MISS = 2e-5
 ROWS_EACH = 50_000
@@ -159,10 +160,10 @@ def signatures(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
 # --- the sorted trees ------------------------------------------------------------
 
 
-def _neighbours(label: np.ndarray, tree, size, comp, depth: int, percent: int):
-    """Index pairs of nearest rows of other components in a sorted run; crowded rows.
+def _neighbours(label: np.ndarray, tree, size, depth: int, percent: int):
+    """Index pairs of the nearest rows of a sorted run that share ``depth`` minima.
 
-    ``label``: one row of 16-bit minima per document, sorted within its tree.
+    Also which rows lie in crowded regions, where nearer rows hide farther ones.
     """
     n = len(tree)
     none = np.zeros(0, np.int64)
@@ -173,34 +174,19 @@ def _neighbours(label: np.ndarray, tree, size, comp, depth: int, percent: int):
     ]
     edges = np.r_[np.flatnonzero(split), n]
     stop = np.repeat(edges[1:], np.diff(edges))  # end of each row's region
-    changes = np.r_[comp[1:] != comp[:-1], True]
-    follow = np.where(changes, np.arange(1, n + 1), n)  # next row of another component
-    follow = np.minimum.accumulate(follow[::-1])[::-1]
-    left, right = [], []
-    # Forward from each row covers both sides of every pair.
-    row = np.arange(n)
-    at = row.copy()
-    for _ in range(NEAREST):
-        at = at + 1
-        live = at < stop[row]
-        row, at = row[live], at[live]
-        same = comp[at] == comp[row]
-        at = np.where(same, follow[at], at)
-        live = at < stop[row]
-        row, at = row[live], at[live]
-        if not len(row):
-            break
+    row, left, right = np.arange(n), [none], [none]
+    for step in range(1, NEAREST + 1):  # looking forward meets every pair once
+        row = row[row + step < stop[row]]
+        at = row + step
         alike = 100 * np.minimum(size[row], size[at]) >= percent * np.maximum(size[row], size[at])
         left.append(row[alike])
         right.append(at[alike])
     crowded = np.repeat(np.diff(edges) > NEAREST + 1, np.diff(edges))
-    if not left:
-        return none, none, crowded
     return np.concatenate(left), np.concatenate(right), crowded
 
 
 _PAIR, _HEAD, _TAIL, _CROWDED = range(4)
-_RECORD = "kind int, a {id}, b {id}, part long, tree int, label binary, size long, comp {id}"
+_RECORD = "kind int, a {id}, b {id}, part long, tree int, label binary, size long"
 
 
 def _walk(depth: int, percent: int):
@@ -208,8 +194,7 @@ def _walk(depth: int, percent: int):
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        kept: pa.Table | None = None
-        head: pa.Table | None = None
+        kept = head = None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -220,90 +205,55 @@ def _walk(depth: int, percent: int):
             before = 0 if kept is None else kept.num_rows
             table = table if kept is None else pa.concat_tables([kept, table])
             yield from _records(table, before, depth, percent)
-            # The rows that later rows may still pair with: the last region, at most
-            # the run that the nearest neighbours can reach.
-            kept = table.slice(max(0, table.num_rows - _carry(table, depth)))
+            kept = table.slice(max(0, table.num_rows - NEAREST - 2))
         for kind, edge in ((_HEAD, head), (_TAIL, kept)):
             if edge is not None:
                 edge = edge.slice(max(0, edge.num_rows - NEAREST)) if kind == _TAIL else edge
-                n = edge.num_rows
-                yield _record(
-                    kind,
-                    edge.column("id").combine_chunks(),
-                    None,
-                    np.full(n, part + (kind == _TAIL)),
-                    edge,
-                )
+                yield _record(kind, edge.column("id"), None, part + (kind == _TAIL), edge)
 
     return walk
 
 
-def _carry(table: pa.Table, depth: int) -> int:
-    """How many last rows to hold: ``NEAREST`` component changes within the last region."""
-    comp = table.column("comp").to_numpy()
-    label = _label_rows(table)
-    tree = table.column("tree").to_numpy()
-    differs = np.flatnonzero(
-        (tree != tree[-1]) | (label[:, :depth] != label[-1:, :depth]).any(1)
-    )
-    first = int(differs[-1]) + 1 if len(differs) else 0
-    changes = np.flatnonzero(comp[first + 1 :] != comp[first:-1]) + first + 1
-    if len(changes) >= NEAREST:
-        first = max(first, int(changes[-NEAREST]))
-    return max(NEAREST, len(tree) - first)
-
-
-def _label_rows(table: pa.Table) -> np.ndarray:
-    data = b"".join(table.column("label").to_pylist())
-    return np.frombuffer(data, ">u2").reshape(table.num_rows, DEPTH)
-
-
 def _records(table: pa.Table, before: int, depth: int, percent: int):
-    comp = table.column("comp").to_numpy()
+    label = np.frombuffer(b"".join(table.column("label").to_pylist()), ">u2")
     left, right, crowded = _neighbours(
-        _label_rows(table),
+        label.reshape(-1, DEPTH),
         table.column("tree").to_numpy(),
         table.column("size").to_numpy(),
-        comp,
         depth,
         percent,
     )
     new = right >= before  # pairs among the carried rows are out already
-    ids = table.column("id").to_numpy()
-    a, b = ids[left[new]], ids[right[new]]
-    swap = a > b
-    a, b = np.where(swap, b, a), np.where(swap, a, b)
-    kind = table.schema.field("id").type
+    ids = table.column("id")
+    a, b = ids.to_numpy()[left[new]], ids.to_numpy()[right[new]]
     if len(a):
-        yield _record(_PAIR, pa.array(a, kind), pa.array(b, kind), None, None)
+        low, high = pa.array(np.minimum(a, b), ids.type), pa.array(np.maximum(a, b), ids.type)
+        yield _record(_PAIR, low, high, None, None)
     if crowded.any():
-        yield _record(_CROWDED, pa.array(ids[crowded], kind), None, None, None)
+        yield _record(_CROWDED, ids.filter(pa.array(crowded)), None, None, None)
 
 
-def _record(kind: int, a: pa.Array, b, part, edge: pa.Table | None) -> pa.RecordBatch:
+def _record(kind: int, a, b, part: int | None, edge: pa.Table | None) -> pa.RecordBatch:
     n = len(a)
-    empty = lambda t: pa.nulls(n, t)
-    held = (
-        [edge.column(c).combine_chunks() for c in ("tree", "label", "size", "comp")]
-        if edge is not None
-        else [empty(pa.int32()), empty(pa.binary()), empty(pa.int64()), empty(a.type)]
-    )
+    a = a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a
+    kinds = {"tree": pa.int32(), "label": pa.binary(), "size": pa.int64()}
     return pa.record_batch(
         [
             pa.array(np.full(n, kind, np.int32)),
             a,
-            b if b is not None else empty(a.type),
-            pa.array(part, pa.int64()) if part is not None else empty(pa.int64()),
-            *held,
+            pa.nulls(n, a.type) if b is None else b,
+            pa.array([part] * n, pa.int64()),
+            *[
+                pa.nulls(n, t) if edge is None else edge.column(c).combine_chunks()
+                for c, t in kinds.items()
+            ],
         ],
-        ["kind", "a", "b", "part", "tree", "label", "size", "comp"],
+        ["kind", "a", "b", "part", *kinds],
     )
 
 
-def candidates(nodes: DataFrame, rule: Rule, rows: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs a < b, ids in crowded regions) of nodes (id, size, labels, comp)."""
-    spark = nodes.sparkSession
-    kind = nodes.schema["id"].dataType.simpleString()
+def _trees(nodes: DataFrame, *columns: str) -> DataFrame:
+    """tree, label and the columns named: a row per tree of every node."""
     each = F.transform(
         F.sequence(F.lit(0), F.lit(TREES - 1)),
         lambda t: F.struct(
@@ -311,40 +261,43 @@ def candidates(nodes: DataFrame, rule: Rule, rows: int) -> tuple[DataFrame, Data
             F.substring("labels", t * (2 * DEPTH) + 1, F.lit(2 * DEPTH)).alias("label"),
         ),
     )
-    rows_of = nodes.select("id", "size", "comp", F.explode(each).alias("e")).select(
-        "e.tree", "e.label", "id", "size", "comp"
-    )
+    return nodes.select(*columns, F.explode(each).alias("e")).select("e.tree", "e.label", *columns)
+
+
+def candidates(nodes: DataFrame, rule: Rule, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs a < b, ids in crowded regions) of nodes (id, size, labels)."""
+    spark = nodes.sparkSession
+    kind = nodes.schema["id"].dataType.simpleString()
     order = ["tree", "label", "id"]
     most = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4)
     parts = max(1, min(most, rows * TREES // ROWS_EACH))
-    sorted_rows = rows_of.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    walked = materialize(
-        sorted_rows.mapInArrow(_walk(rule.least_depth, rule.percent), _RECORD.format(id=kind)),
-        "forest_walk",
+    sorted_rows = (
+        _trees(nodes, "id", "size").repartitionByRange(parts, *order).sortWithinPartitions(*order)
     )
-    edges = walked.where(F.col("kind").isin(_HEAD, _TAIL))
     depth, percent = rule.least_depth, rule.percent
+    walked = materialize(
+        sorted_rows.mapInArrow(_walk(depth, percent), _RECORD.format(id=kind)), "forest_walk"
+    )
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # one row per boundary, at most 2 * NEAREST entries each
+        for batch in batches:  # a row per boundary, of at most 2 * NEAREST entries
             a, b = [], []
             for held in batch.column("held").to_pylist():
                 held = sorted(held, key=lambda h: (h["tree"], h["label"], h["id"]))
-                tree = np.array([h["tree"] for h in held])
                 label = np.frombuffer(b"".join([h["label"] for h in held]), ">u2")
-                comp = np.array([h["comp"] for h in held])
-                size = np.array([h["size"] for h in held])
-                x, y, _ = _neighbours(label.reshape(-1, DEPTH), tree, size, comp, depth, percent)
+                tree, size = (np.array([h[c] for h in held]) for c in ("tree", "size"))
+                x, y, _ = _neighbours(label.reshape(-1, DEPTH), tree, size, depth, percent)
                 for i, j in zip(x.tolist(), y.tolist(), strict=True):
-                    pair = sorted([held[i]["id"], held[j]["id"]])
-                    a.append(pair[0])
-                    b.append(pair[1])
+                    low, high = sorted([held[i]["id"], held[j]["id"]])
+                    a.append(low)
+                    b.append(high)
             kind = batch.schema.field("held").type.value_type.field("id").type
             yield pa.record_batch([pa.array(a, kind), pa.array(b, kind)], ["a", "b"])
 
-    entry = F.struct(F.col("a").alias("id"), "tree", "label", "size", "comp")
+    entry = F.struct(F.col("a").alias("id"), "tree", "label", "size")
     bridged = (
-        edges.groupBy("part")
+        walked.where(F.col("kind").isin(_HEAD, _TAIL))
+        .groupBy("part")
         .agg(F.collect_list(entry).alias("held"))
         .select("held")
         .mapInArrow(across, f"a {kind}, b {kind}")
@@ -354,6 +307,80 @@ def candidates(nodes: DataFrame, rule: Rule, rows: int) -> tuple[DataFrame, Data
     return pairs, crowded
 
 
+def outsiders(nodes: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs of crowded regions between documents of different components.
+
+    ``nodes`` (id, size, labels, comp) are those in crowded regions. Members of a region
+    outside its largest component meet all its members of other components, in blocks,
+    by how many of the ``TREES * DEPTH`` minima agree; each outsider's ``BEST`` of a
+    block that can still be similar enough are the candidates.
+    """
+    kind = nodes.schema["id"].dataType.simpleString()
+    depth, percent = rule.least_depth, rule.percent
+    share = percent / 100
+    least = share - 4 * (share * (1 - share) / _MINIMA) ** 0.5
+
+    rows = _trees(nodes, "id", "comp").select(
+        "tree", F.substring("label", 1, 2 * depth).alias("prefix"), "id", "comp"
+    )
+    by_comp = rows.groupBy("tree", "prefix", "comp").agg(F.count("*").alias("n"))
+    regions = (
+        by_comp.groupBy("tree", "prefix")
+        .agg(
+            F.sum("n").alias("total"),
+            F.max(F.struct("n", "comp")).alias("most"),
+            F.count("*").alias("comps"),
+        )
+        .where((F.col("comps") > 1) & (F.col("total") > NEAREST + 1))
+        .select("tree", "prefix", "total", F.col("most.n").alias("largest"), F.col("most.comp").alias("main"))
+    )
+    region = F.xxhash64("tree", "prefix")
+    members = rows.join(regions, ["tree", "prefix"]).select(
+        region.alias("region"), "id", "total", "largest", (F.col("comp") != F.col("main")).alias("outside")
+    )
+    members = materialize(members, "forest_regions").join(nodes, "id")
+    entry = F.struct("id", "size", "comp", "labels")
+
+    def blocks(df: DataFrame, rows: str, each: int, name: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("id"), F.ceil(F.expr(rows) / each))
+        return (
+            df.groupBy("region", block.alias(f"block_{name}"))
+            .agg(F.collect_list(entry).alias(name))
+            .select("region", name)
+        )
+
+    met = blocks(members.where("outside"), "total - largest", 200, "few").join(
+        blocks(members, "total", 1000, "many"), "region"
+    )
+
+    def columns(held: pa.StructArray):
+        labels = np.frombuffer(b"".join(held.field("labels").to_pylist()), ">u2")
+        ids, size, comp = (held.field(c).to_numpy(zero_copy_only=False) for c in ("id", "size", "comp"))
+        return ids, size, comp, labels.reshape(-1, _MINIMA).astype(np.uint16)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            arrow = batch.schema.field("few").type.value_type.field("id").type
+            for few, many in zip(batch.column("few"), batch.column("many"), strict=True):
+                ids, size, comp, labels = columns(few.values)
+                other, others, their, theirs = columns(many.values)
+                low, high = [], []
+                for i in range(len(ids)):
+                    able = (their != comp[i]) & (
+                        100 * np.minimum(others, size[i]) >= percent * np.maximum(others, size[i])
+                    )
+                    at = np.flatnonzero(able)
+                    agree = (theirs[at] == labels[i]).mean(1)
+                    order = np.lexsort((other[at], -agree))[:BEST]
+                    at = at[order[agree[order] >= least]]
+                    low.append(np.minimum(other[at], ids[i]))
+                    high.append(np.maximum(other[at], ids[i]))
+                a, b = np.concatenate(low), np.concatenate(high)
+                yield pa.record_batch([pa.array(a, arrow), pa.array(b, arrow)], ["a", "b"])
+
+    return met.select("few", "many").mapInArrow(compare, f"a {kind}, b {kind}").distinct()
+
+
 # --- confirmation and components -------------------------------------------------
 
 
@@ -449,16 +476,15 @@ def near_duplicates(
     nodes = classes.select("id", "size", "labels")
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
 
-    pairs, crowded = candidates(nodes.withColumn("comp", F.col("id")), rule, rows)
+    pairs, crowded = candidates(nodes, rule, rows)
     pairs = materialize(pairs, "forest_pairs")
-    crowded = materialize(crowded, "forest_crowded")
     links = materialize(confirm(pairs, texts, rule), "forest_links")
     of = materialize(components(links), "forest_components")
-    tested, n_crowded = pairs, crowded.count()
-    while n_crowded:
-        near = nodes.join(crowded, "id").join(of, "id", "left")
-        near = near.withColumn("comp", F.coalesce("comp", "id"))
-        more, _ = candidates(near, rule, n_crowded)
+    tested = pairs
+    near = materialize(nodes.join(crowded, "id"), "forest_near")
+    while not near.isEmpty():
+        now = near.join(of, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        more = outsiders(materialize(now, "forest_near"), rule)
         more = materialize(more.join(tested, ["a", "b"], "left_anti"), "forest_pairs")
         found = materialize(confirm(more, texts, rule), "forest_links")
         if found.isEmpty():
