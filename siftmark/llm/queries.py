@@ -22,7 +22,7 @@ from . import (
 from .common import held_out, read
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -44,7 +44,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return packing.piece_digests(packing.pack(docs, _tokenizer("word_bpe_49k.json")))
+    return packing.piece_digests(packing.pack(docs, tokenizer("word_bpe_49k.json")))
 
 
 def toxic_model(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicModel:
@@ -66,7 +66,7 @@ def op6_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = token_counts.count_tokens(docs, _tokenizer("byte_bpe_50k.json"))
+    counted = token_counts.count_tokens(docs, tokenizer("byte_bpe_50k.json"))
     return counted.drop("text")
 
 
