@@ -20,6 +20,7 @@ from . import (
     url_rules,
 )
 from .common import held_out, read
+from .oracles import ORACLES
 
 
 def tokenizer(name: str) -> str:
@@ -109,4 +110,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_grades": op9_quality_grades,
     "op10_url_rules": op10_url_rules,
 }
-ORACLES: dict[str, str] = {"op1_chat_perspectives": chat.ORACLE}
+__all__ = ["ORACLES", "QUERIES"]
