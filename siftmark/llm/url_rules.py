@@ -144,18 +144,11 @@ def mine_rules(labelled: DataFrame, limits: Limits = Limits()) -> DataFrame:
         )
     )
     # A rule of n tokens has at most 2**longest - 2 parts, so this stays in proportion.
-    parts = F.array(
-        *[
-            F.filter(
-                "tokens",
-                lambda t, m=m: F.call_function(
-                    "bit_get", F.lit(m), F.array_position("tokens", t).cast("int") - 1
-                )
-                == 1,
-            )
-            for m in range(1, 2**limits.longest)
-        ]
-    )
+    def part(chosen: int) -> Column:
+        place = lambda t: F.array_position("tokens", t).cast("int") - 1
+        return F.filter("tokens", lambda t: F.call_function("bit_get", F.lit(chosen), place(t)) == 1)
+
+    parts = F.array(*map(part, range(1, 2**limits.longest)))
     real = F.filter(F.array_distinct(parts), lambda p: (F.size(p) > 0) & (F.size(p) < F.col("size")))
     shorter = rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("part_confidence"))
     covered = (
