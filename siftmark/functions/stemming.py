@@ -11,6 +11,8 @@ import re
 
 import pyarrow as pa
 
+from .text import VERBATIM
+
 # Fixed values of the published algorithm -------------------------------------
 _SPECIAL = {
     "skis": "ski",
@@ -188,22 +190,15 @@ def stem(word: str) -> str:
     return word.replace("Y", "y")
 
 
-try:
-    import regex
-
-    is_alphabetic = regex.compile(r"\p{Alphabetic}+").fullmatch
-except ImportError:  # letters only: differs just for words with combining marks
-    is_alphabetic = str.isalpha
-
 _MEMO_LIMIT = 1 << 19
 _memo: dict[str, str] = {}
 
 
 def stem_token(token: str) -> str:
-    """Stem alphabetic tokens, keep identifiers and numbers verbatim."""
+    """Stem a plain token; one marked by :func:`..text.mark_verbatim` loses its mark."""
     known = _memo.get(token)
     if known is None:
-        known = stem(token) if is_alphabetic(token) else token
+        known = token[1:] if token.startswith(VERBATIM) else stem(token)
         if len(_memo) >= _MEMO_LIMIT:
             _memo.clear()
         _memo[token] = known
@@ -211,5 +206,5 @@ def stem_token(token: str) -> str:
 
 
 def stem_values(values: pa.Array) -> pa.Array:
-    """Stems of an array of distinct tokens."""
+    """Stems of an array of distinct tokens, verbatim ones marked."""
     return pa.array([stem_token(v) for v in values.to_pylist()], pa.string())

@@ -36,35 +36,55 @@ _ALPHA_MARK = r"\p{M}&&[\p{IsAlphabetic}]"
 _SINGLE = rf"[{_ALNUM}&&[^{_LETTER}{_DIGIT}{_KATAKANA}\p{{M}}]]"
 
 # Punctuation that stays inside a word between two letters / two digits.
-_MID_LETTER = r"'\u2018\u2019\u00b7\u2024\u2027\u055f\u05f4\u0387:\ufe13\ufe55\uff1a\ufe52\uff07\uff0e"
-_MID_DIGIT = r",;'\u2018\u2019\u2024\u037e\u0589\u060c\u060d\u066c\u07f8\u2044\ufe10\ufe14\ufe50\ufe54\uff0c\uff1b\ufe52\uff07\uff0e"
-
-# Runs of common letters take the first branch; blanks and controls end a word
-# before any of the costlier classes is tried.
-_RUN = (
-    rf"[{_LETTER}{_DIGIT}](?:[{_COMMON}]++|(?![\x00-\x20]){_EXTEND_ONLY}*+(?:"
-    rf"[{_LETTER}{_DIGIT}[{_ALPHA_MARK}]]"
-    rf"|[{_MID_LETTER}](?=[{_LETTER}])(?<=[{_LETTER}]{_EXTEND}{{0,2}}.)"
-    rf"|[{_MID_DIGIT}](?=[{_DIGIT}])(?<=[{_DIGIT}]{_EXTEND}{{0,2}}.)"
-    rf"|\"(?=\p{{IsHebrew}})(?<=\p{{IsHebrew}}.)))*+"
+_MID_LETTER = r"'.\u2018\u2019\u00b7\u2024\u2027\u055f\u05f4\u0387:\ufe13\ufe55\uff1a\ufe52\uff07\uff0e"
+_MID_DIGIT = r",;'.\u2018\u2019\u2024\u037e\u0589\u060c\u060d\u066c\u07f8\u2044\ufe10\ufe14\ufe50\ufe54\uff0c\uff1b\ufe52\uff07\uff0e"
+
+# Runs are matched forwards only: marks belong to the character before them however
+# many there are, so nothing has to look back over them. Runs of common letters take
+# the first branch; blanks and controls end a word before any of the costlier classes
+# is tried.
+_WORD_CHAR = rf"(?:[{_LETTER}{_DIGIT}{_KATAKANA}]|{_SINGLE})"
+_HEBREW = r"\p{IsHebrew}&&[\p{L}]"
+_OPEN = r"(?![\x00-\x20])"
+_QUOTED = (
+    rf"(?![\x00-\x7f])[{_HEBREW}]{_EXTEND}*+(?:\"{_EXTEND}*+(?=[{_HEBREW}])|'{_EXTEND}*+(?=[.:\-]++{_WORD_CHAR}))"
 )
+_LETTERS = (
+    rf"(?:[{_LATIN}]|{_QUOTED}|[{_LETTER}])(?:[{_LATIN}]++|{_OPEN}(?:{_EXTEND_ONLY}*+(?:{_QUOTED}"
+    rf"|[{_LETTER}[{_ALPHA_MARK}]])|{_EXTEND}*+[{_MID_LETTER}]{_EXTEND}*+(?=[{_LETTER}])))*+"
+)
+_DIGITS = (
+    rf"[{_DIGIT}](?:[{_ASCII_DIGITS}]++|{_OPEN}(?:{_EXTEND_ONLY}*+[{_DIGIT}[{_ALPHA_MARK}]]"
+    rf"|{_EXTEND}*+[{_MID_DIGIT}]{_EXTEND}*+[{_DIGIT}]))*+"
+)
+_RUN = rf"(?>(?:{_LETTERS}|{_DIGITS})(?:{_OPEN}{_EXTEND_ONLY}*+(?:{_LETTERS}|{_DIGITS}))*+)"
 _KATAKANA_RUN = rf"[{_KATAKANA}](?:{_EXTEND_ONLY}*+[{_KATAKANA}[{_ALPHA_MARK}]])*+"
 _LONE = rf"{_SINGLE}(?:{_EXTEND_ONLY}*+[{_ALPHA_MARK}])*+"
 _JOINER = rf"[{_JOIN}]"
-_JOINED = rf"{_JOINER}*+(?:{_RUN}|{_KATAKANA_RUN})"
+_GLUE = rf"[{_JOIN}.:\-]"
+_SPACED = rf"(?:{_RUN}|{_KATAKANA_RUN})"
+_START = rf"[{_LETTER}{_DIGIT}{_KATAKANA}]"
+
+_GLUE_RUN = rf"(?:{_JOINER}{_EXTEND}*+|[.:\-])++"
+
+# An underscore belongs to a spaced script's letter beside it, so it does not glue
+# that letter to one of an unspaced script.
+_AFTER_SPACED = rf"{_OPEN}{_EXTEND}*+(?!_++{_EXTEND}*+{_SINGLE}){_GLUE_RUN}(?={_START}|{_SINGLE})"
+_AFTER_LONE = rf"{_OPEN}{_EXTEND}*+(?!_++{_EXTEND}*+{_START}){_GLUE}++(?={_START}|{_SINGLE})"
 
-# Every quantifier is possessive: matching is linear in the text.
+# Every quantifier is possessive: matching is linear in the text. Most words have no
+# glue behind them and end in the first branch.
 WORD_PATTERN = (
-    rf"(?:{_RUN}|{_KATAKANA_RUN}|{_LONE}|(?={_JOINER})(?<!{_JOINER}){_JOINED})"
-    rf"(?:(?![\x00-\x20])"
-    rf"(?!(?=_)(?:(?<={_SINGLE}{_EXTEND}{{0,2}})_++[{_LETTER}{_DIGIT}{_KATAKANA}]"
-    rf"|(?<=[{_LETTER}{_DIGIT}{_KATAKANA}]{_EXTEND}{{0,2}})_++{_SINGLE}))"
-    rf"{_EXTEND_ONLY}*+[{_JOIN}.:\-]++(?:{_RUN}|{_KATAKANA_RUN}|{_LONE}))*+"
+    rf"(?=[0-9_a-z[^\x00-\x7f]])(?:{_RUN}(?!{_OPEN}{_EXTEND}*+{_GLUE})"
+    rf"|(?:(?={_JOINER})(?<!{_JOINER})(?:{_JOINER}{_EXTEND}*+)++(?={_START}))?+"
+    rf"(?:{_SPACED}{_AFTER_SPACED}|{_LONE}{_AFTER_LONE})*+(?:{_SPACED}|{_LONE}))"
 )
 # A separator after the first letter or digit; words always end in one.
 INTERNAL_SEPARATOR = rf"[^{_JOIN}][{SEPARATORS}]"
 _MAYBE_IDENTIFIER = r"[_.:\-]\S"
-ALL_ALPHABETIC = r"^\p{IsAlphabetic}+$"
+ALL_ALPHABETIC = r"^\p{IsAlphabetic}++$"
+# Stands before tokens that are not stemmed; no token contains it.
+VERBATIM = "\x00"
 
 
 def _column(col: Column | str) -> Column:
@@ -89,6 +109,17 @@ def all_alphabetic(word: Column) -> Column:
     return word.rlike(ALL_ALPHABETIC)
 
 
+def mark_verbatim(found: Column) -> Column:
+    """Mark the tokens of an array that must not be stemmed.
+
+    What is alphabetic is decided here, for index and query alike: workers need no
+    Unicode tables of their own.
+    """
+    return F.transform(
+        found, lambda t: F.when(all_alphabetic(t), t).otherwise(F.concat(F.lit(VERBATIM), t))
+    )
+
+
 def tokens(text: Column | str) -> Column:
     """Unstemmed token stream: each word, then its parts if it is an identifier."""
     text = _column(text)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..config import HEADING_BOOST, K1, B
 from ..functions.stemming import stem_token, stem_values
-from ..functions.text import tokens
+from ..functions.text import mark_verbatim, tokens
 from ..schemas import FORWARD, RANKED
 from ..session import local_rows, materialize, partitions_for, table_path
 from . import ordering
@@ -32,10 +32,11 @@ SCORE_DIGITS = 9  # ranks compare rounded scores, so summation order cannot matt
 
 def forward(chunks: DataFrame, stem: bool = True) -> DataFrame:
     """Weighted term frequencies and length of every chunk (row-local)."""
+    found = mark_verbatim if stem else lambda column: column
     analysed = chunks.select(
         F.col("id").alias("chunk_id"),
-        tokens(F.array_join("heading_path", "\n")).alias("heading"),
-        tokens("text").alias("body"),
+        found(tokens(F.array_join("heading_path", "\n"))).alias("heading"),
+        found(tokens("text")).alias("body"),
     )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,14 +110,17 @@ def bm25_weight(tf: Column, doc_len: Column, avg_doc_len: float) -> Column:
 
 def query_terms(spark: SparkSession, query: str, stem: bool = True) -> Counter:
     """Terms of a query with their multiplicity; a repeated term counts repeatedly."""
-    found = local_rows(spark, q=[query]).select(tokens("q").alias("t")).collect()[0].t
-    return Counter(map(stem_token, found) if stem else found)
+    found = mark_verbatim(tokens("q")) if stem else tokens("q")
+    terms = local_rows(spark, q=[query]).select(found.alias("t")).collect()[0].t
+    return Counter(map(stem_token, terms) if stem else terms)
 
 
 @dataclass(frozen=True)
 class Bm25Index:
     """A written lexical index and its two corpus constants.
 
+    ``terms`` is the dictionary (term, df), foldered by the same hash bucket as the
+    posting lists, so a query learns its frequencies without reading any list.
     ``inverted`` is laid out by term: foldered by a hash bucket of the term and
     sorted by (term, chunk_id), so a query opens a few folders and skips to its
     posting lists. Without it, searches scan the forward relation instead.
@@ -124,6 +128,7 @@ class Bm25Index:
 
     forward: DataFrame
     inverted: DataFrame | None
+    terms: DataFrame
     buckets: int
     n_docs: int
     avg_doc_len: float
@@ -136,23 +141,33 @@ class Bm25Index:
         stats = corpus_stats(rows).first()
         buckets = partitions_for(spark, stats.n_docs, _CHUNKS_PER_BUCKET)
         lists = _write_inverted(rows, buckets) if inverted else None
-        return cls(rows, lists, buckets, stats.n_docs, stats.avg_doc_len, stem)
+        terms = _write_terms(rows, buckets)
+        return cls(rows, lists, terms, buckets, stats.n_docs, stats.avg_doc_len, stem)
 
     def postings(self) -> DataFrame:
         if self.inverted is None:
             return postings(self.forward)
         return self.inverted.drop("bucket")
 
+    def _folders(self, terms: list[str]) -> list[int]:
+        """Buckets that can hold the given terms."""
+        spark = self.forward.sparkSession
+        found = local_rows(spark, term=terms).select(_bucket("term", self.buckets).alias("b"))
+        return sorted({row.b for row in found.collect()})
+
+    def frequencies(self, terms: list[str]) -> dict[str, int]:
+        """Document frequency of the given terms that occur; one row per term."""
+        rows = self.terms.where(
+            F.col("bucket").isin(self._folders(terms)) & F.col("term").isin(terms)
+        )
+        return {row.term: row.df for row in rows.select("term", "df").collect()}
+
     def matching(self, terms: list[str]) -> DataFrame:
         """Posting lists of the given terms."""
         if self.inverted is None:
             return self.postings().where(F.col("term").isin(terms))
-        folders = local_rows(self.inverted.sparkSession, term=terms).select(
-            _bucket("term", self.buckets).alias("bucket")
-        )
-        wanted = sorted({row.bucket for row in folders.collect()})
         return self.inverted.where(
-            F.col("bucket").isin(wanted) & F.col("term").isin(terms)
+            F.col("bucket").isin(self._folders(terms)) & F.col("term").isin(terms)
         ).drop("bucket")
 
     def search(self, query: str, k: int) -> DataFrame:
@@ -161,18 +176,18 @@ class Bm25Index:
         wanted = query_terms(spark, query, self.stem)
         if not wanted or k <= 0 or self.n_docs == 0:
             return spark.createDataFrame([], RANKED)
-        matched = self.matching(sorted(wanted))
-        # One row per query term: bounded by the query, not by the corpus.
-        counted = document_frequency(matched).withColumn(
-            "idf", idf(F.lit(self.n_docs), F.col("df"))
-        )
-        weights = {row.term: wanted[row.term] * row.idf for row in counted.collect()}
-        if not weights:
+        counted = self.frequencies(sorted(wanted))
+        if not counted:
             return spark.createDataFrame([], RANKED)
+        # The expression of the queries, over one row per query term.
+        known = local_rows(spark, term=list(counted), df=list(counted.values()))
+        value = idf(F.lit(self.n_docs), F.col("df")).alias("idf")
+        weights = {r.term: wanted[r.term] * r.idf for r in known.select("term", value).collect()}
+        matched = self.matching(sorted(counted))
         return top_k(score_postings(matched, weights, self.avg_doc_len), k)
 
     def term_count(self) -> int:
-        return self.postings().select("term").distinct().count()
+        return self.terms.count()
 
     def __len__(self) -> int:
         return self.n_docs
@@ -200,6 +215,14 @@ def _write_inverted(forward_rows: DataFrame, buckets: int) -> DataFrame:
     return spark.read.schema(laid_out.schema).parquet(path)
 
 
+def _write_terms(forward_rows: DataFrame, buckets: int) -> DataFrame:
+    """(term, df, bucket) of every term: a row of a chunk holds a term once."""
+    exploded = forward_rows.select(F.explode("terms").alias("term"))
+    counted = document_frequency(exploded).withColumn("bucket", _bucket("term", buckets))
+    laid_out = counted.repartition("bucket").sortWithinPartitions("bucket", "term")
+    return materialize(laid_out, "terms", partition_by="bucket")
+
+
 def score_postings(matched: DataFrame, weights: dict[str, float], avg_doc_len: float) -> DataFrame:
     """Sum of query-weighted BM25 contributions per chunk.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from dataclasses import dataclass
 from functools import reduce
 from itertools import accumulate
@@ -23,11 +23,11 @@ _ROW_MASK = (1 << _PART_SHIFT) - 1
 
 # A list cut to at most this many rows may be numbered by one plain window.
 WINDOW_ROWS = 200_000
-# Up to this many ids are turned into a filter that reaches the parquet reader,
-# in groups small enough for it to test each value instead of their span.
-IN_LIST = 256
+# Ids of a lookup become filters of this many values each, which the parquet reader
+# tests one by one instead of by their span.
 _IN_GROUP = 10
-_SAMPLES_PER_PART = 40
+# Wanted rows beyond this many (16 bytes each) are joined without a broadcast.
+_BROADCAST_ROWS = 100_000
 _ROWS_PER_RANGE = 1_000
 
 
@@ -63,6 +63,31 @@ class NumberedTable:
         wanted = reduce(or_, [F.col(_POS).isin(g) for g in groups], F.lit(False))
         return self._number(self.staged.where(F.col(_SLAB).isin(sorted(slabs)) & wanted))
 
+    def fetch(self, wanted: DataFrame, key: str, at_most: int) -> DataFrame:
+        """``wanted`` with the columns of the rows whose id is in its column ``key``.
+
+        The ids become (slab, position) pairs by the offsets, so that dynamic partition
+        pruning opens only the slabs that hold them, however many they are. ``at_most``
+        bounds the rows of ``wanted``.
+        """
+        offsets = local_rows(
+            self.staged.sparkSession,
+            _part=pa.array([part for part, _, _ in self.offsets], pa.int64()),
+            _first=pa.array([first for _, first, _ in self.offsets], pa.int64()),
+            _stop=pa.array([first + rows for _, first, rows in self.offsets], pa.int64()),
+        )
+        within = (F.col(key) >= F.col("_first")) & (F.col(key) < F.col("_stop"))
+        # One offset per task and ``at_most`` rows: both sides are bounded.
+        placed = wanted.where(F.col(key) >= 0).join(F.broadcast(offsets), within)
+        position = F.shiftleft("_part", _PART_SHIFT) + F.col(key) - F.col("_first")
+        placed = placed.select(
+            *wanted.columns,
+            F.floor(F.col("_part") / _PARTS_PER_SLAB).cast("int").alias(_SLAB),
+            position.alias(_POS),
+        )
+        side = F.broadcast(placed) if at_most <= _BROADCAST_ROWS else placed
+        return self.staged.join(side, [_SLAB, _POS]).drop(_SLAB, _POS)
+
     def _number(self, staged: DataFrame) -> DataFrame:
         offsets = local_rows(
             staged.sparkSession,
@@ -82,40 +107,16 @@ class NumberedTable:
 def range_partition(df: DataFrame, key: Column, ties: list[str]) -> DataFrame:
     """Range-partition rows by a string key and sort each partition.
 
-    Boundaries come from a sample of the key column alone, so wide rows are read
-    once, by the shuffle itself. A key frequent enough to fill several ranges is
-    dealt out over all of them, which its equal order allows.
+    Equal keys are told apart by a hash of the ``ties``, so a frequent key spans
+    several ranges, and a row's place follows from its contents alone.
     """
-    keys = df.select(key.alias("k"))
-    total = keys.count()
+    total = df.count()
     parts = partitions_for(df.sparkSession, total, _ROWS_PER_RANGE)
-    bounds = _sample_bounds(keys, total, parts)
-
-    @F.arrow_udf("int")
-    def place(keys: pa.Array, salts: pa.Array) -> pa.Array:
-        placed = []
-        for value, salt in zip(keys.to_pylist(), salts.to_pylist()):
-            low = bisect_left(bounds, value)
-            placed.append(low + salt % (bisect_right(bounds, value, lo=low) - low + 1))
-        return pa.array(placed, pa.int32())
-
-    keyed = df.withColumn("_key", key)
-    placed = keyed.withColumn("_part", place("_key", F.monotonically_increasing_id()))
-    return (
-        placed.repartitionById(parts, "_part")
-        .sortWithinPartitions("_key", *ties)
-        .drop("_key", "_part")
-    )
-
-
-def _sample_bounds(keys: DataFrame, total: int, parts: int) -> list[str]:
-    """``parts - 1`` split points from about ``_SAMPLES_PER_PART * parts`` keys."""
-    if parts < 2 or not total:
-        return []
-    fraction = min(1.0, _SAMPLES_PER_PART * parts / total)
-    sampled = keys if fraction == 1.0 else keys.sample(fraction, seed=17)
-    found = sorted(row.k for row in sampled.collect())
-    return [found[len(found) * i // parts] for i in range(1, parts)] if found else []
+    tie = F.xxhash64(*ties) if ties else F.lit(0).cast("long")
+    keyed = df.withColumn("_key", key).withColumn("_tie", tie)
+    order = ["_key", "_tie"]
+    ranged = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order, *ties)
+    return ranged.drop(*order)
 
 
 def number_in_place(ordered: DataFrame, id_name: str, name: str) -> NumberedTable:

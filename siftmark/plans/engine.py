@@ -8,7 +8,6 @@ from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from functools import cached_property
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +20,9 @@ from ..operators.documents import document_chunks, document_text
 from ..operators.embedding import get_or_embed
 from ..operators.fusion import candidate_pool, collapse, fuse, with_phrase_bonus
 from ..operators.lexical import Bm25Index
-from ..operators.ordering import IN_LIST, NumberedTable
+from ..operators.ordering import NumberedTable
 from ..schemas import HITS, RANKED
-from ..session import local_rows, materialize
+from ..session import drop_tables, materialize
 from ..sources.embedding_cache import EmbeddingCache
 from ..sources.files import load_documents
 from ..sources.model import Embedder, OnnxEmbedder
@@ -52,6 +51,16 @@ class SearchEngine:
         self.table = table
         self.chunks = table.rows()
 
+    def __enter__(self) -> SearchEngine:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Delete the tables this application wrote; results still lazy need them."""
+        drop_tables(self.spark)
+
     def use_vectors(self, vectors: DataFrame, dim: int | None = None) -> None:
         """Take the dense index from a (chunk_id, embedding) table instead of a model."""
         index = VectorIndex.build(vectors, dim)
@@ -129,23 +138,8 @@ class SearchEngine:
             return self._hits(fused.select("chunk_id", "score"), query, k, pool)
 
     def _hits(self, fused: DataFrame, query: str, k: int, pool: int) -> DataFrame:
-        if pool > IN_LIST:
-            joined = self.chunks.join(fused, self.chunks.id == fused.chunk_id)
-            candidates = materialize(candidate_rows(joined, query), "candidates")
-        else:
-            # The pool is a few rows by construction: fetch exactly their chunks, and
-            # carry on with a local relation, which needs no further exchange.
-            rows = fused.collect()
-            scores = local_rows(
-                self.spark,
-                chunk_id=pa.array([row.chunk_id for row in rows], pa.int64()),
-                score=pa.array([row.score for row in rows], pa.float64()),
-            )
-            texts = self.table.lookup([row.chunk_id for row in rows])
-            joined = texts.join(F.broadcast(scores), texts.id == scores.chunk_id)
-            found = candidate_rows(joined, query).toArrow()
-            candidates = self.spark.createDataFrame(found).coalesce(1)
-        return collapse(candidates, k, self.cfg.per_page).select(*HITS.names)
+        texts = self.table.fetch(fused, "chunk_id", pool)
+        return collapse(candidate_rows(texts, query), k, self.cfg.per_page).select(*HITS.names)
 
     def get_chunk(self, chunk_id: int) -> Row | None:
         rows = self.table.lookup([chunk_id]).take(1)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from .table_queries import (
     HEADING_QUERY,
+    LARGE_K,
     ONE_CHUNK,
     ONE_PATH,
     PHRASE,
@@ -136,7 +137,7 @@ _LENGTHS = """
   corpus AS (SELECT count(*) AS n_docs, avg(dl) AS avg_dl FROM lengths)"""
 
 
-def _lexical(query: str) -> str:
+def _lexical(query: str, pool: int = POOL) -> str:
     """``lexical``: the pool of (chunk_id, score) of a query."""
     return f"""
   wanted AS (SELECT term, count(*) AS qtf FROM ({_query_tokens(query)}) GROUP BY term),
@@ -146,26 +147,27 @@ def _lexical(query: str) -> str:
         * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_dl))), 9) AS score
     FROM posted JOIN wanted USING (term) JOIN frequency USING (term)
       JOIN lengths USING (id), corpus
-    GROUP BY id ORDER BY score DESC, chunk_id LIMIT {POOL})"""
+    GROUP BY id ORDER BY score DESC, chunk_id LIMIT {pool})"""
 
 
 def _query_tokens(query: str) -> str:
     return _tokens(f"(SELECT 0 AS one, '{query}' AS q)", "one", "q")
 
 
-_DENSE = f"""
+def _dense(pool: int = POOL) -> str:
+    return f"""
   probe AS (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1),
   dense AS (
     SELECT vec_id AS chunk_id,
       round(list_dot_product(embedding::DOUBLE[], q::DOUBLE[])
         / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 9) AS score
-    FROM embeddings, probe ORDER BY score DESC, chunk_id LIMIT {POOL})"""
+    FROM embeddings, probe ORDER BY score DESC, chunk_id LIMIT {pool})"""
 
 _NO_DENSE = """
   dense AS (SELECT 0::BIGINT AS chunk_id, 0.0::DOUBLE AS score WHERE false)"""
 
 
-def _fused(lexical_weight: float = 1.0, dense_weight: float = 1.0) -> str:
+def _fused(lexical_weight: float = 1.0, dense_weight: float = 1.0, pool: int = POOL) -> str:
     return f"""
   lexical_ranked AS (
     SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) AS lexical_rank FROM lexical),
@@ -177,7 +179,7 @@ def _fused(lexical_weight: float = 1.0, dense_weight: float = 1.0) -> str:
       coalesce({lexical_weight}::DOUBLE / (60 + lexical_rank), 0)
         + coalesce({dense_weight}::DOUBLE / (60 + dense_rank), 0) AS score
     FROM lexical_ranked FULL JOIN dense_ranked USING (chunk_id)
-    ORDER BY score DESC, dense_score DESC NULLS LAST, chunk_id LIMIT {POOL})"""
+    ORDER BY score DESC, dense_score DESC NULLS LAST, chunk_id LIMIT {pool})"""
 
 
 _BONUS = f"""
@@ -187,9 +189,9 @@ _BONUS = f"""
     FROM fused f JOIN chunks c ON c.id = f.chunk_id)"""
 
 
-def _collapsed(per_page: int) -> str:
+def _collapsed(per_page: int, k: int = K) -> str:
     keep = (
-        f"r <= {K}"
+        f"r <= {k}"
         if per_page == 0
         else f"in_path <= {per_page} AND (cut IS NULL OR r < cut)"
     )
@@ -202,7 +204,7 @@ def _collapsed(per_page: int) -> str:
   stop AS (
     SELECT min(first_r) AS cut FROM (
       SELECT first_r, dense_rank() OVER (ORDER BY first_r) AS ord FROM placed)
-    WHERE ord = {K + 1}),
+    WHERE ord = {k + 1}),
   kept AS (SELECT * FROM placed, stop WHERE {keep})"""
 
 
@@ -233,6 +235,25 @@ _HASHED = """
     SELECT text_hash, max(embedding) AS embedding FROM hashed
     JOIN embeddings ON vec_id = chunk_id GROUP BY text_hash)"""
 
+
+
+def _hybrid(k: int, pool: int) -> str:
+    return (
+        _with(
+            _DOCUMENT_CHUNKS,
+            _BODY_POSTINGS,
+            _LENGTHS,
+            _lexical(PHRASE, pool),
+            _dense(pool),
+            _fused(pool=pool),
+            _BONUS,
+            _collapsed(2, k),
+        )
+        + f"""SELECT chunk_id, path, headings, line_start, line_end, round(score, 6) AS score,
+        {_SNIPPET}, chunks_matched FROM kept"""
+    )
+
+
 ORACLES = {
     "token_counts": f"""
       SELECT term, count(*) AS n FROM ({_tokens('documents', 'doc_id', 'text')}) GROUP BY term""",
@@ -257,8 +278,8 @@ ORACLES = {
       WHERE NOT regexp_full_match(path,
         '(?s)src1/.*|.*7\.md|src(2|3)/[0-4].*\.md|(.*/)?.\.md')""",
     "path_order": """
-      SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) AS position FROM (
-        SELECT source || CASE WHEN doc_id % 2 = 0 THEN '/' ELSE '-' END || doc_id || '.md' AS path
+      SELECT path, row_number() OVER (ORDER BY string_split(path, '/'), doc_id) AS position FROM (
+        SELECT doc_id, source || CASE WHEN doc_id % 2 = 0 THEN '/' ELSE '-' END || doc_id || '.md' AS path
         FROM documents)""",
     "chunk_oversize": _with(_DOCUMENT_CHUNKS) + _CHUNK_OUT,
     "chunk_headings": _with(_CONVERSATION_CHUNKS) + _CHUNK_OUT,
@@ -284,9 +305,9 @@ ORACLES = {
         round((x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)))::FLOAT::DOUBLE, 5) + 0.0 AS x FROM (
         SELECT vec_id, unnest(range(len(embedding))) AS pos,
           (unnest(embedding) * (label + 2))::FLOAT::DOUBLE AS x FROM embeddings)""",
-    "cosine_topk": _with(_DENSE) + "SELECT chunk_id, round(score, 6) AS score FROM dense",
+    "cosine_topk": _with(_dense()) + "SELECT chunk_id, round(score, 6) AS score FROM dense",
     "rrf_fuse": _with(
-        _ROW_CHUNKS, _BODY_POSTINGS, _LENGTHS, _lexical(QUERY), _DENSE, _fused()
+        _ROW_CHUNKS, _BODY_POSTINGS, _LENGTHS, _lexical(QUERY), _dense(), _fused()
     )
     + _FUSED_OUT,
     "rrf_weighted": _with(
@@ -294,7 +315,7 @@ ORACLES = {
         _BODY_POSTINGS,
         _LENGTHS,
         _lexical(QUERY),
-        _DENSE,
+        _dense(),
         _fused(WEIGHTED.lexical, WEIGHTED.dense),
     )
     + _FUSED_OUT,
@@ -303,18 +324,8 @@ ORACLES = {
     "collapse_per_page_0": _with(*_candidate_parts(), _collapsed(0)) + _KEPT_OUT,
     "collapse_per_page_1": _with(*_candidate_parts(), _collapsed(1)) + _KEPT_OUT,
     "collapse_per_page_2": _with(*_candidate_parts(), _collapsed(2)) + _KEPT_OUT,
-    "hybrid_search": _with(
-        _DOCUMENT_CHUNKS,
-        _BODY_POSTINGS,
-        _LENGTHS,
-        _lexical(PHRASE),
-        _DENSE,
-        _fused(),
-        _BONUS,
-        _collapsed(2),
-    )
-    + f"""SELECT chunk_id, path, headings, line_start, line_end, round(score, 6) AS score,
-        {_SNIPPET}, chunks_matched FROM kept""",
+    "hybrid_search": _hybrid(K, POOL),
+    "hybrid_search_large_k": _hybrid(LARGE_K, 4 * LARGE_K),
     "get_chunk": _with(_DOCUMENT_CHUNKS) + _CHUNK_OUT + f" WHERE id = {ONE_CHUNK}",
     "get_document": _with(_DOCUMENT_CHUNKS)
     + f"SELECT id, text FROM chunks WHERE path = '{ONE_PATH}'",

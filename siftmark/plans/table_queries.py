@@ -22,7 +22,6 @@ from ..operators.fusion import candidate_pool, collapse, fuse, with_phrase_bonus
 from ..operators.lexical import (
     Bm25Index,
     corpus_stats,
-    document_frequency,
     forward,
     idf,
     postings,
@@ -38,6 +37,7 @@ REPEATED_QUERY = "the thtion the onering thtion the"
 HEADING_QUERY = "turn user the 3"
 PHRASE = "of the"
 K = 8
+LARGE_K = 200
 POOL = candidate_pool(K)
 WEIGHTED = Weights(lexical=0.3, dense=1.0)
 IGNORED = ("src1/**", "*7.md", "src{2,3}/[0-4]*.md", "**/?.md")
@@ -148,7 +148,8 @@ def path_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     mixed = F.when(F.col("doc_id") % 2 == 0, F.lit("/")).otherwise(F.lit("-"))
     path = F.concat("source", mixed, F.col("doc_id").cast("string"), F.lit(".md"))
-    ranked = with_rank(docs.select(path.alias("path")), [path_components("path")], "position", None)
+    order = [path_components("path"), F.col("doc_id")]
+    ranked = with_rank(docs.select("doc_id", path.alias("path")), order, "position", None)
     return ranked.select("path", "position")
 
 
@@ -176,9 +177,8 @@ def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def term_df_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = _index(row_chunks(spark, sf_dir))
-    counted = document_frequency(index.postings())
     value = F.round(idf(F.lit(index.n_docs), F.col("df")), 6)
-    return counted.select("term", "df", value.alias("idf"))
+    return index.terms.select("term", "df", value.alias("idf"))
 
 
 def doc_len_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -318,6 +318,13 @@ def hybrid_search_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hit_rows(_engine(spark, sf_dir).search(QUERY, K, query_vector=vector))
 
 
+def hybrid_search_large_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pool of 800 chunks, fetched by the same plan as a small one."""
+    vector = _query_vector(_vectors(spark, sf_dir))
+    engine = _engine(spark, sf_dir, stem=False, per_page=2)
+    return _hit_rows(engine.search(PHRASE, LARGE_K, query_vector=vector))
+
+
 # --- lookups ------------------------------------------------------------------
 
 
@@ -379,7 +386,7 @@ QUERIES = {
         bm25_topk, bm25_inverted_topk, bm25_repeated_term, bm25_heading_boost, bm25_stemmed,
         l2_normalized, cosine_topk, rrf_fuse, rrf_weighted, phrase_bonus,
         collapse_per_page_0, collapse_per_page_1, collapse_per_page_2,
-        hybrid_search, hybrid_search_stemmed,
+        hybrid_search, hybrid_search_stemmed, hybrid_search_large_k,
         get_chunk, get_document, documents_as_parts,
         cache_hits_misses, cache_vectors, cache_validation,
     )

@@ -12,20 +12,18 @@ from siftmark.operators.fusion import fuse
 from siftmark.session import local_rows
 
 CORPUS = {
-    "rust/tokio.md": "# Tokio\n\n## Runtime\n\nThe tokio runtime drives async tasks.\n\n"
-    "## Spawning\n\nUse `tokio::spawn` to spawn a task onto the runtime. "
-    "A spawned task runs concurrently.\n",
-    "rust/errors.md": "# Error handling\n\nUse `anyhow` for applications and `thiserror` "
-    "for libraries. The `?` operator propagates errors.\n",
-    "git/rebase.md": "# Git rebase\n\n## Interactive\n\n`git rebase -i` opens an interactive "
-    "rebase to squash, reorder, or edit commits.\n",
-    "db/sqlite.md": "# SQLite indexes\n\nCreate an index with `CREATE INDEX`. "
-    "Covering indexes avoid table lookups.\n",
-    "misc/notes.md": "# Notes\n\nRandom notes about shell aliases and dotfiles.\n",
+    "bees/hives.md": "# Hives\n\n## Winter cover\n\nWrap each hive in felt before frost comes.\n\n"
+    "## Splitting\n\nCall `hive::split` in May, and a strong colony becomes two. "
+    "Feed both with syrup afterwards.\n",
+    "bees/stings.md": "# Stings\n\nA cold spoon and a little vinegar calm the skin within minutes.\n",
+    "pond/pumps.md": "# Pond pumps\n\n## Cleaning\n\nRinse the pump filter in pond water, "
+    "never under the tap.\n",
+    "soil/lime.md": "# Liming\n\nSpread lime in autumn on beds where `Brassica oleracea` failed.\n",
+    "yard/todo.md": "# Todo\n\nMend the gate and oil both of its hinges.\n",
 }
-TWO_DOCS = {
-    "a.md": "# One\nalpha tide\n\n## Two\nalpha tide\n\n### Three\nalpha tide\n",
-    "b.md": "# Bee\nalpha ridge\n",
+MARSH = {
+    "m.md": "# Upper\nsalt marsh\n\n## Middle\nsalt marsh\n\n### Lower\nsalt marsh\n",
+    "n.md": "# Dune\nsalt grass\n",
 }
 
 
@@ -48,36 +46,36 @@ def corpus(spark, corpus_root):
 
 
 @pytest.fixture(scope="module")
-def two_docs_root(tmp_path_factory):
-    return write_files(tmp_path_factory.mktemp("two"), TWO_DOCS)
+def marsh_root(tmp_path_factory):
+    return write_files(tmp_path_factory.mktemp("marsh"), MARSH)
 
 
 def test_chunk_ids_paths_and_lines(corpus):
     rows = corpus.chunks.orderBy("id").collect()
     assert [(r.id, r.path, list(r.heading_path), r.line_start, r.line_end) for r in rows] == [
-        (0, "db/sqlite.md", ["SQLite indexes"], 1, 3),
-        (1, "git/rebase.md", ["Git rebase"], 1, 1),
-        (2, "git/rebase.md", ["Git rebase", "Interactive"], 3, 5),
-        (3, "misc/notes.md", ["Notes"], 1, 3),
-        (4, "rust/errors.md", ["Error handling"], 1, 3),
-        (5, "rust/tokio.md", ["Tokio"], 1, 1),
-        (6, "rust/tokio.md", ["Tokio", "Runtime"], 3, 5),
-        (7, "rust/tokio.md", ["Tokio", "Spawning"], 7, 9),
+        (0, "bees/hives.md", ["Hives"], 1, 1),
+        (1, "bees/hives.md", ["Hives", "Winter cover"], 3, 5),
+        (2, "bees/hives.md", ["Hives", "Splitting"], 7, 9),
+        (3, "bees/stings.md", ["Stings"], 1, 3),
+        (4, "pond/pumps.md", ["Pond pumps"], 1, 1),
+        (5, "pond/pumps.md", ["Pond pumps", "Cleaning"], 3, 5),
+        (6, "soil/lime.md", ["Liming"], 1, 3),
+        (7, "yard/todo.md", ["Todo"], 1, 3),
     ]
 
 
 def test_relevance(corpus):
-    best = corpus.search("tokio spawn task", 3).collect()[0]
-    assert best.path == "rust/tokio.md" and "Spawning" in best.heading_path
-    assert corpus.search("git rebase interactive", 3).collect()[0].path == "git/rebase.md"
+    best = corpus.search("splitting a colony", 3).collect()[0]
+    assert (best.chunk_id, best.line_start) == (2, 7)
+    assert corpus.search("rinsing the pump's filter", 2).collect()[0].chunk_id == 5
 
 
 def test_lookups_and_stats(corpus):
-    text = corpus.get_document("rust//tokio.md")
-    assert "tokio runtime" in text and "tokio::spawn" in text
-    assert text.count("\n\n## ") == 2
-    assert corpus.get_document("nope.md") is None
-    assert corpus.get_chunk(7).text.startswith("## Spawning")
+    assert corpus.get_document("bees//hives.md") == "\n\n".join(
+        corpus.get_chunk(i).text for i in range(3)
+    )
+    assert corpus.get_document("attic.md") is None
+    assert corpus.get_chunk(2).text.startswith("## Splitting")
     assert corpus.get_chunk(8) is None and corpus.get_chunk(-1) is None
     stats = corpus.stats()
     assert (stats["files"], stats["chunks"], stats["dense"], stats["dim"]) == (5, 8, False, 0)
@@ -85,34 +83,44 @@ def test_lookups_and_stats(corpus):
 
 
 def test_empty_queries(corpus):
-    for query, k in (("   ", 5), ("\u3000\t", 5), ("tokio", 0), ("zzzunknown", 5)):
+    for query, k in (("   ", 5), ("\u3000\t", 5), ("hive", 0), ("qqzunseen", 5)):
         assert corpus.search(query, k).collect() == []
     assert corpus.search("...", 5).collect() == []
 
 
 def test_phrase_bonus_is_added_once_per_chunk(corpus):
-    plain = {r.chunk_id: r.score for r in corpus.search("runtime tokio", 8).collect()}
-    phrase = {r.chunk_id: r.score for r in corpus.search("Tokio Runtime", 8).collect()}
-    assert 6 in phrase
-    assert phrase[6] - plain[6] == pytest.approx(0.02)
+    plain = {r.chunk_id: r.score for r in corpus.search("cover winter", 8).collect()}
+    phrase = {r.chunk_id: r.score for r in corpus.search("Winter COVER", 8).collect()}
+    assert phrase[1] - plain[1] == pytest.approx(0.02)
 
 
-def test_pool_larger_than_pushed_down_filter(corpus):
-    small = corpus.search("use the tokio runtime", 8).collect()
-    large = corpus.search("use the tokio runtime", 2000).collect()
-    assert large[: len(small)] == small
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_collapse_and_matched_counts(spark, two_docs_root):
-    engine = SearchEngine.build(spark, Config(roots=[two_docs_root], lexical_only=True))
-    rows = engine.search("alpha", 2).collect()
-    assert {r.path: r.chunks_matched for r in rows} == {"a.md": 3, "b.md": 1}
-    engine = SearchEngine.build(
-        spark, Config(roots=[two_docs_root], lexical_only=True, per_page=0)
-    )
-    rows = engine.search("alpha", 4).collect()
-    assert len(rows) == 4
-    assert [r.chunks_matched for r in rows if r.path == "a.md"] == [3, 3, 3]
+def test_hits_come_from_pruned_slabs_at_any_k(corpus):
+    small = corpus.search("the hive in frost", 8)
+    large = corpus.search("the hive in frost", 2000)
+    for hits in (small, large):
+        assert "dynamicpruningexpression(_slab" in executed(hits)
+    assert large.collect()[: small.count()] == small.collect()
+
+
+def test_collapse_and_matched_counts(spark, marsh_root):
+    engine = SearchEngine.build(spark, Config(roots=[marsh_root], lexical_only=True))
+    rows = engine.search("salt", 2).collect()
+    assert {r.path: r.chunks_matched for r in rows} == {"m.md": 3, "n.md": 1}
+    engine = SearchEngine.build(spark, Config(roots=[marsh_root], lexical_only=True, per_page=0))
+    rows = engine.search("salt", 4).collect()
+    assert sorted((r.path, r.chunks_matched) for r in rows) == [("m.md", 3)] * 3 + [("n.md", 1)]
+
+
+def test_close_deletes_the_tables(spark, marsh_root, monkeypatch):
+    gone = []
+    monkeypatch.setattr("siftmark.plans.engine.drop_tables", gone.append)
+    with SearchEngine.build(spark, Config(roots=[marsh_root], lexical_only=True)) as engine:
+        assert engine.table.count == 4 and not gone
+    assert gone == [spark]
 
 
 def test_same_path_under_two_roots_merges(spark, tmp_path):
@@ -143,19 +151,19 @@ def run_cli(spark, *argv):
 def test_cli(spark, corpus_root):
     base = ("--root", corpus_root, "--lexical-only")
     assert json.loads(run_cli(spark, *base, "index"))["chunks"] == 8
-    hits = json.loads(run_cli(spark, "search", "tokio spawn", "--json", "-k", "2", *base))
+    hits = json.loads(run_cli(spark, "search", "splitting colony", "--json", "-k", "2", *base))
     assert list(hits[0]) == [
         "chunk_id", "path", "heading_path", "line_start", "line_end", "score", "snippet",
         "chunks_matched",
     ]
-    text = run_cli(spark, *base, "search", "tokio spawn", "-k", "1").splitlines()
+    text = run_cli(spark, *base, "search", "splitting colony", "-k", "1").splitlines()
     assert text[0].startswith(" 1. [0.") and text[0].endswith(
-        "rust/tokio.md:7-9  Tokio > Spawning"
+        "bees/hives.md:7-9  Hives > Splitting"
     )
-    assert text[1] == "    ## Spawning"
-    assert json.loads(run_cli(spark, *base, "show", "--chunk", "3"))["path"] == "misc/notes.md"
-    assert run_cli(spark, *base, "show", "--path", "misc/notes.md") == CORPUS["misc/notes.md"]
-    for bad in (("show", "--chunk", "99"), ("show", "--path", "nope.md")):
+    assert text[1] == "    ## Splitting"
+    assert json.loads(run_cli(spark, *base, "show", "--chunk", "7"))["path"] == "yard/todo.md"
+    assert run_cli(spark, *base, "show", "--path", "yard/todo.md") == CORPUS["yard/todo.md"]
+    for bad in (("show", "--chunk", "99"), ("show", "--path", "attic.md")):
         with pytest.raises(LookupError):
             run_cli(spark, *base, *bad)
 
@@ -181,14 +189,14 @@ def test_cli_config_from_environment(monkeypatch):
 
 def test_search_equals_composition_on_chunk_table(spark, corpus):
     """The engine's single list equals fusing by hand with an empty dense list."""
-    lexical = corpus.lexical.search("tokio spawn task", 12)
+    lexical = corpus.lexical.search("splitting a colony", 12)
     none = VectorIndex.build(
         local_rows(spark, chunk_id=[0], embedding=[[1.0, 0.0]]).selectExpr(
             "chunk_id", "cast(embedding as array<float>) embedding"
         )
     ).search([0.0, 1.0], 12).where("false")
     fused = fuse(lexical, none, k=12, at_most=12).collect()
-    found = corpus.search("tokio spawn task", 3).collect()
+    found = corpus.search("splitting a colony", 3).collect()
     assert found[0].chunk_id == fused[0].chunk_id
     assert found[0].score == pytest.approx(1 / 61)
 

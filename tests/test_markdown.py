@@ -19,41 +19,41 @@ def chunks(source, budget=256, overlap=32):
 
 def test_nesting_and_line_numbers():
     found = chunks(
-        "# Tokio\nintro\n## Runtime\nruntime body\n### Spawning\nspawn body\n## Shutdown\nbye\n"
+        "# Boats\nall kinds\n### Oars\nof ash wood\n## Sails\nred\nor white\n# Nets\nmended\n## Floats\n"
     )
-    assert [c.heading_path for c in found] == [
-        ["Tokio"], ["Tokio", "Runtime"], ["Tokio", "Runtime", "Spawning"], ["Tokio", "Shutdown"],
+    assert [(c.heading_path, c.line_start, c.line_end) for c in found] == [
+        (["Boats"], 1, 2),
+        (["Boats", "Oars"], 3, 4),
+        (["Boats", "Sails"], 5, 7),
+        (["Nets"], 8, 9),
+        (["Nets", "Floats"], 10, 10),
     ]
-    assert (found[2].line_start, found[2].line_end) == (5, 6)
-    assert (found[3].line_start, found[3].line_end) == (7, 8)
-    assert found[0].text == "# Tokio\nintro" and found[2].text == "### Spawning\nspawn body"
+    assert found[2].text == "## Sails\nred\nor white"
 
 
 def test_preamble_and_heading_whitespace():
-    first, second = chunks("preamble text\n# H\nbody\n")
-    assert (first.heading_path, first.line_start) == ([], 1)
-    assert second.heading_path == ["H"]
-    first, second = chunks("#notahead\n# Real\nbody\n")
-    assert first.heading_path == [] and "#notahead" in first.text
-    assert second.heading_path == ["Real"]
+    found = chunks("dear reader,\n##no space here\n\n##\twith a tab\nthe end\n")
+    assert [(c.heading_path, c.line_start) for c in found] == [([], 1), (["with a tab"], 4)]
+    assert found[0].text == "dear reader,\n##no space here"
 
 
 def test_fences_keep_their_lines_together():
-    body = "".join(f"let x{i} = {i};\n" for i in range(10))
-    found = chunks(f"# Code\n```rust\n{body}```\nafter the fence\n", 4, 0)
-    assert all("let x9" in c.text for c in found if "```rust" in c.text)
-    assert any("after the fence" in c.text for c in found)
-    found = chunks("# T\n~~~\nlong line one\nlong line two\nlong line three\n~~~\ntail\n", 3, 0)
-    assert any("~~~" in c.text and "one" in c.text and "three" in c.text for c in found)
+    code = "\n".join(f"step {n} of nine" for n in range(1, 10))
+    for fence in ("```", "~~~~"):
+        found = chunks(f"# Recipe\n{fence}sh\n{code}\n{fence}\nserve it warm\n", 5, 0)
+        (fenced,) = [c for c in found if fence in c.text]
+        assert fenced.text.count(fence) == 2 and code in fenced.text
+        assert found[-1].text.endswith("serve it warm")
 
 
 def test_overlap_and_budget():
-    found = chunks("# Top\n" + "".join(f"line{i:02}\n" for i in range(20)), 5, 2)
-    assert len(found) >= 3 and found[0].line_start == 1 and found[-1].line_end == 21
+    lines = [f"verse {n}" for n in range(30)]
+    found = chunks("\n".join(["# Song", *lines]), 8, 4)
+    assert (found[0].line_start, found[-1].line_end) == (1, 31)
     assert all(b.line_start == a.line_end - 1 for a, b in zip(found, found[1:]))
-    found = chunks("# H\nw w w w\nw w w w\nw w w w\nw w w w\n", 6, 0)
-    assert len(found) >= 3
-    assert all(len(c.text.split()) <= 6 or "\n" not in c.text for c in found)
+    assert all(count_tokens(c.text) <= 8 for c in found)
+    plain = chunks("\n".join(["# Song", *lines]), 8, 0)
+    assert [c.line_start for c in plain[1:]] == [c.line_end + 1 for c in plain[:-1]]
 
 
 def spans(tokens, budget, overlap):

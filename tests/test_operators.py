@@ -32,10 +32,10 @@ def ids(df):
 
 
 def test_more_matches_and_heading_hits_rank_higher(spark):
-    rows = [(0, ["Tokio"], "spawn a task with spawn"), (1, ["Other"], "spawn once")]
-    assert ids(Bm25Index.build(chunk_frame(spark, rows)).search("tokio spawn task", 2))[0] == 0
-    rows = [(0, ["Runtime"], "unrelated body text here"), (1, ["Other"], "runtime in body only")]
-    assert ids(Bm25Index.build(chunk_frame(spark, rows)).search("runtime", 2))[0] == 0
+    rows = [(0, ["Ferry"], "one ticket"), (1, ["Harbour"], "ticket desk, ticket office, ticket hall")]
+    assert ids(Bm25Index.build(chunk_frame(spark, rows)).search("a ticket", 2)) == [1, 0]
+    rows = [(0, ["Gangway"], "mind the ferry and its rails"), (1, ["Ferry"], "leaves at noon from pier four")]
+    assert ids(Bm25Index.build(chunk_frame(spark, rows)).search("ferry", 2)) == [1, 0]
 
 
 def test_weighted_frequencies_and_lengths(spark):
@@ -75,6 +75,9 @@ def test_bm25_equals_brute_force(spark, inverted):
         expected = brute_bm25(texts, query, 25)
         assert [i for i, _ in found] == [i for i, _ in expected]
         assert [s for _, s in found] == pytest.approx([s for _, s in expected], abs=1e-8)
+    frequency = Counter(r.term for r in index.postings().collect())
+    assert {r.term: r.df for r in index.terms.collect()} == frequency
+    assert index.frequencies(["tide", "the", "unseen"]) == {t: frequency[t] for t in ("tide", "the")}
     terms = {(r.term, r.chunk_id): (r.tf, r.doc_len) for r in index.postings().collect()}
     assert terms == {
         (r.term, r.chunk_id): (r.tf, r.doc_len) for r in postings(index.forward).collect()
@@ -113,20 +116,21 @@ def vector_frame(spark, rows):
 
 
 def test_vectors(spark):
-    (hit,) = VectorIndex.build(vector_frame(spark, [[3.0, 4.0]])).search([0.6, 0.8], 1).collect()
+    (hit,) = VectorIndex.build(vector_frame(spark, [[5.0, 12.0]])).search([5 / 13, 12 / 13], 1).collect()
     assert hit.score == pytest.approx(1, abs=1e-6)
-    index = VectorIndex.build(vector_frame(spark, [[1.0, 0.0], [0.0, 1.0], [1.0, 1.0]]))
-    assert ids(index.search([1.0, 0.0], 2)) == [0, 2]
-    assert [r.score for r in index.search([-1.0, 0.0], 9).collect()][-1] == -1.0
-    (zero,) = VectorIndex.build(vector_frame(spark, [[0.0, 0.0]])).search([1.0, 0.0], 1).collect()
+    index = VectorIndex.build(vector_frame(spark, [[0.0, 2.0], [-3.0, 0.0], [2.0, 2.0], [1.0, 7.0]]))
+    assert ids(index.search([0.0, 1.0], 3)) == [0, 3, 2]
+    last = index.search([1.0, 0.0], 9).collect()[-1]
+    assert (last.chunk_id, last.score) == (1, -1.0)
+    (zero,) = VectorIndex.build(vector_frame(spark, [[0.0] * 3])).search([0.0, 0.0, 1.0], 1).collect()
     assert (zero.chunk_id, zero.score) == (0, 0.0)
-    with pytest.raises(Exception, match="must have 2 components"):
-        VectorIndex.build(vector_frame(spark, [[1.0]]), dim=2).rows.collect()
+    with pytest.raises(Exception, match="must have 3 components"):
+        VectorIndex.build(vector_frame(spark, [[1.0, 2.0]]), dim=3).rows.collect()
     with pytest.raises(ValueError):
-        index.search([1.0], 1)
+        index.search([1.0, 2.0, 3.0], 1)
     empty = VectorIndex.build(vector_frame(spark, [[1.0]]).limit(0))
     assert len(empty) == 0 and empty.is_empty() and empty.search([], 3).collect() == []
-    assert len(index) == 3 and not index.is_empty()
+    assert len(index) == 4 and not index.is_empty()
 
 
 def test_dense_search_keeps_only_the_best_rows_per_task(spark):
@@ -148,22 +152,22 @@ def test_fuse(spark, at_most):
         frames = ranked(spark, lexical), ranked(spark, dense)
         return fuse(*frames, at_most=at_most, **more).collect()
 
-    out = run([(1, 5), (2, 4)], [(3, 0.9), (2, 0.8)])
-    assert (out[0].chunk_id, out[0].lexical_rank, out[0].dense_rank, len(out)) == (2, 2, 2, 3)
-    assert [r.chunk_id for r in out[1:]] == [3, 1]  # equal scores: a dense score wins
-    out = run([(1, 1), (2, 1), (3, 1)], [], k=2)
-    assert [r.chunk_id for r in out] == [1, 2]
-    assert run([(1, 1)], [(2, 1)], weights=Weights(0.1, 1.0))[0].chunk_id == 2
-    assert run([(3, 1), (7, 1)], [(7, 0.5), (3, 0.5)])[0].chunk_id == 3
+    out = run([(40, 9), (41, 7), (42, 6)], [(50, 0.7), (41, 0.6), (51, 0.2)])
+    assert (out[0].chunk_id, out[0].lexical_rank, out[0].dense_rank, len(out)) == (41, 2, 2, 5)
+    # Equal scores: the row with a dense score comes first.
+    assert [r.chunk_id for r in out[1:]] == [50, 40, 51, 42]
+    assert [r.chunk_id for r in run([(8, 2), (6, 2), (7, 2)], [], k=2)] == [6, 7]
+    assert run([(5, 3)], [(9, 3)], weights=Weights(0.2, 0.9))[0].chunk_id == 9
+    assert run([(12, 4), (11, 4)], [(12, 0.3), (11, 0.3)])[0].chunk_id == 11
 
 
 def test_fuse_accepts_given_ranks(spark):
     lists = [
         spark.createDataFrame(rows, RANKED + ", rank long")
-        for rows in ([(3, 1.0, 1), (7, 1.0, 2)], [(7, 0.5, 1), (3, 0.5, 2)])
+        for rows in ([(21, 2.0, 1), (20, 2.0, 2)], [(20, 0.1, 1), (21, 0.1, 2)])
     ]
     out = fuse(*lists).collect()
-    assert [r.chunk_id for r in out] == [3, 7] and out[0].score == out[1].score
+    assert [r.chunk_id for r in out] == [20, 21] and out[0].score == out[1].score
 
 
 def test_pool_and_bonus(spark):
@@ -225,6 +229,8 @@ def test_repeated_keys_are_dealt_over_partitions(spark):
     assert sorted(r.i for r in rows) == list(range(900))
     assert [r.k for r in sorted(rows, key=lambda r: r.p)] == sorted(keys)
     assert max(Counter(r.p for r in rows).values()) < 450
+    again = ordering.range_partition(frame.repartition(7), F.col("k"), ["i"])
+    assert [r.i for r in again.collect()] == [r.i for r in placed.collect()]
 
 
 def test_numbering_is_dense_and_lookups_exact(spark):
@@ -239,6 +245,10 @@ def test_numbering_is_dense_and_lookups_exact(spark):
     found = {r.id: r.k for r in table.lookup(wanted).collect()}
     assert found == {i: rows[i] for i in wanted if i in rows}
     assert "PushedFilters: [In(_pos" in plan(table.lookup([5, 7]))
+    ids_wanted = spark.createDataFrame([(i, f"note {i}") for i in wanted], "i long, note string")
+    for at_most in (100, 10**9):
+        got = {r.i: (r.k, r.note) for r in table.fetch(ids_wanted, "i", at_most).collect()}
+        assert got == {i: (rows[i], f"note {i}") for i in wanted if i in rows}
 
 
 def test_rank_without_a_bound_equals_the_window(spark):

@@ -31,17 +31,18 @@ def listed(spark, *roots, ignore=(), inline_entries=10_000):
 
 
 WALK = [
-    "b.md", "sub/a.markdown", "sub/n.txt", ".hidden/h.md", "node_modules/n.md", "target/t.md",
-    "_u.md", "_drafts/x.mdx", "X.MD", "sub/.dot.md", "sub/deep/er/z.md", "sub/node_modules/q.md",
+    "tea.md", "pots/green.markdown", "pots/list.csv", ".cache/c.md", "node_modules/pkg/r.md",
+    "pots/target/o.md", "_u.md", "_drafts/x.mdx", "TEA.MD", "pots/.dot.md", "pots/far/away/z.md",
+    "target", "pots/node_modules/q.md",
 ]
-FOUND = ["_drafts/x.mdx", "_u.md", "b.md", "sub/a.markdown", "sub/deep/er/z.md"]
+FOUND = ["_drafts/x.mdx", "_u.md", "pots/far/away/z.md", "pots/green.markdown", "tea.md"]
 
 
 @pytest.mark.parametrize("inline_entries", [10_000, 0, 3])
 def test_walk(spark, tmp_path, inline_entries):
     root = write(tmp_path / ".root", WALK)
-    os.symlink(tmp_path / ".root" / "b.md", tmp_path / ".root" / "link.md")
-    os.symlink(tmp_path / ".root" / "sub", tmp_path / ".root" / "linked")
+    os.symlink(tmp_path / ".root" / "tea.md", tmp_path / ".root" / "link.md")
+    os.symlink(tmp_path / ".root" / "pots", tmp_path / ".root" / "linked")
     assert listed(spark, root, inline_entries=inline_entries) == FOUND
     os.symlink(root, tmp_path / "alias")
     assert listed(spark, str(tmp_path / "alias"), inline_entries=inline_entries) == FOUND
@@ -57,10 +58,10 @@ def test_order_and_ids(spark, tmp_path):
 
 
 def test_ignore_globs_and_their_limits(spark, tmp_path):
-    root = write(tmp_path, ["index.md", "a/b.md", "log/a.md", "a/index.md"])
-    assert listed(spark, root, ignore=("index.md",)) == ["a/b.md", "a/index.md", "log/a.md"]
-    assert "log/a.md" in listed(spark, root, ignore=("log",))
-    assert "log/a.md" not in listed(spark, root, ignore=("log/**",))
+    root = write(tmp_path, ["menu.md", "tea/menu.md", "tea/oolong.md", "old/list.md"])
+    assert listed(spark, root, ignore=("menu.md",)) == ["old/list.md", "tea/menu.md", "tea/oolong.md"]
+    assert "old/list.md" in listed(spark, root, ignore=("old",))
+    assert "old/list.md" not in listed(spark, root, ignore=("old/**",))
     assert listed(spark, root, ignore=("*.md",)) == []
     assert len(listed(spark, root, ignore=("[z", "{a"))) == 4  # invalid: logged, dropped
 

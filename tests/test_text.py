@@ -1,5 +1,7 @@
 """Words, identifiers, stemming, snippets."""
 
+import random
+
 import hypothesis.strategies as st
 import pyarrow as pa
 import pytest
@@ -8,6 +10,7 @@ from hypothesis import given, settings
 from pyspark.sql import functions as F
 
 from siftmark.functions import text as X
+from siftmark.functions.text import VERBATIM
 from siftmark.functions.stemming import stem, stem_token, stem_values
 from siftmark.operators.lexical import query_terms
 from siftmark.session import local_rows
@@ -59,6 +62,30 @@ def test_words_match_brute_force_segments(spark, texts):
     assert column(spark, texts, X.words) == [reference_words.words(t) for t in lowered]
 
 
+def test_marks_and_hebrew_quotes_match_icu(spark):
+    """Any number of marks around mid-word characters, against the JVM's ICU."""
+    rng = random.Random(4)
+    letters, points = list("aB19éאבשカ²") + ["日"], list("..:-,;'\" _")
+
+    def marked():
+        c = rng.choice(letters + points)
+        marks = ["\u0301", "\u0308"] + ["\u05b0"] * (c in letters and c != "²")
+        return c + "".join(rng.choices(marks, k=rng.choice([0, 0, 0, 1, 2, 3, 4])) * (c != "_"))
+
+    texts = ["".join(marked() for _ in range(rng.randrange(1, 10))) for _ in range(1500)]
+    for before, after in (("a", "b"), ("א", "ב"), ("1", "2"), ("中", "x"), ("中", "文")):
+        for mid in "',._\"":
+            texts += [
+                before + "\u0301" * i + mid + "\u0301" * (j * (mid != "_")) + after
+                for i in range(6)
+                for j in range(6)
+            ]
+    texts += ["א'.a", "א'", "א'_x", "א'\u0301-9", "א\"ב"]
+    cut = reference_words.icu_segments(spark)
+    lowered = column(spark, texts, F.lower)
+    assert column(spark, texts, X.words) == [reference_words.words(t, cut) for t in lowered]
+
+
 def test_words_match_brute_force_on_given_text(spark):
     for name, col in (("documents", "text"), ("pages", "html"), ("conversations", "text")):
         rows = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
@@ -93,10 +120,14 @@ def test_stems_of_the_published_vocabulary():
 
 
 def test_only_alphabetic_tokens_are_stemmed(spark):
-    assert stem_token("tokio::spawned") == "tokio::spawned"
-    assert stem_token("running2") == "running2"
-    assert stem_values(pa.array(["running", "a_b"])).to_pylist() == ["run", "a_b"]
-    assert query_terms(spark, "Running my_vars run") == {"run": 2, "my_vars": 1, "my": 1, "var": 1}
+    found = column(spark, ["hunting foxes2 a_b::running", "été şàngings"], lambda c: X.mark_verbatim(X.tokens(c)))
+    assert [t.startswith(VERBATIM) for t in found[0]] == [False, True, True, False, False, False]
+    assert stem_values(pa.array(found[0])).to_pylist() == [
+        "hunt", "foxes2", "a_b::running", "a", "b", "run",
+    ]
+    assert not any(t.startswith(VERBATIM) for t in found[1])
+    assert stem_token(VERBATIM + "hunting") == "hunting"
+    assert query_terms(spark, "Hunting my_foxes hunt") == {"hunt": 2, "my_foxes": 1, "my": 1, "fox": 1}
 
 
 @given(st.text("abcdefghilmnoprstuvyz", min_size=1, max_size=12))
