@@ -1,11 +1,11 @@
 """DuckDB statements giving the results ``table_queries`` must reproduce.
 
-Written against the tables alone: no Spark result feeds into them. The stemmed
-queries have none, since plain SQL has no Snowball stemmer.
+Written against the tables alone: no Spark result feeds into them.
 """
 
 from __future__ import annotations
 
+from .porter_sql import stems
 from .table_queries import (
     HEADING_QUERY,
     LARGE_K,
@@ -41,15 +41,12 @@ def _words(relation: str, keys: str, text: str) -> str:
 
 
 def _tokens(relation: str, keys: str, text: str) -> str:
-    """(keys, term) rows: words, and the parts of identifiers."""
-    words = _words(relation, keys, text)
+    """(keys, term) rows: words, and the parts of identifiers; one pass over the text."""
     return f"""
-      SELECT {keys}, w AS term FROM ({words})
-      UNION ALL
-      SELECT {keys}, part AS term FROM (
-        SELECT {keys}, unnest(string_split_regex(w, '[_.:-]+')) AS part
-        FROM ({words}) WHERE regexp_matches(w, '{_INTERNAL}'))
-      WHERE part <> ''"""
+      SELECT {keys}, unnest(CASE WHEN regexp_matches(w, '{_INTERNAL}')
+        THEN list_prepend(w, list_filter(string_split_regex(w, '[_.:-]+'), lambda p: p <> ''))
+        ELSE [w] END) AS term
+      FROM ({_words(relation, keys, text)})"""
 
 
 _ROW_CHUNKS = """
@@ -121,6 +118,17 @@ _BODY_POSTINGS = f"""
     SELECT id, term, count(*)::DOUBLE AS tf FROM ({_tokens('chunks', 'id', 'text')})
     GROUP BY id, term)"""
 
+def _stemmed_postings(query: str) -> str:
+    return f"""
+  counted_tokens AS MATERIALIZED (
+    SELECT id, term, count(*) AS c FROM ({_tokens('chunks', 'id', 'text')}) GROUP BY id, term),
+  vocabulary AS (
+    SELECT term FROM counted_tokens UNION SELECT term FROM ({_query_tokens(query)})),{stems('vocabulary')},
+  posted AS (
+    SELECT id, stem AS term, sum(c)::DOUBLE AS tf FROM counted_tokens JOIN stems USING (term)
+    GROUP BY id, stem)"""
+
+
 _HEADING_POSTINGS = f"""
   headed AS (SELECT id, unnest(trail) AS title FROM chunks),
   posted AS (
@@ -137,10 +145,13 @@ _LENGTHS = """
   corpus AS (SELECT count(*) AS n_docs, avg(dl) AS avg_dl FROM lengths)"""
 
 
-def _lexical(query: str, pool: int = POOL) -> str:
+def _lexical(query: str, pool: int = POOL, stemmed: bool = False) -> str:
     """``lexical``: the pool of (chunk_id, score) of a query."""
+    found = _query_tokens(query)
+    if stemmed:
+        found = f"SELECT stem AS term FROM ({found}) q JOIN stems USING (term)"
     return f"""
-  wanted AS (SELECT term, count(*) AS qtf FROM ({_query_tokens(query)}) GROUP BY term),
+  wanted AS (SELECT term, count(*) AS qtf FROM ({found}) GROUP BY term),
   frequency AS (SELECT term, count(*) AS df FROM posted SEMI JOIN wanted USING (term) GROUP BY term),
   lexical AS (
     SELECT id AS chunk_id, round(sum(qtf * ln(1 + (n_docs - df + 0.5) / (df + 0.5))
@@ -182,10 +193,11 @@ def _fused(lexical_weight: float = 1.0, dense_weight: float = 1.0, pool: int = P
     ORDER BY score DESC, dense_score DESC NULLS LAST, chunk_id LIMIT {pool})"""
 
 
-_BONUS = f"""
+def _bonus(query: str) -> str:
+    return f"""
   candidates AS (
     SELECT f.chunk_id, c.* EXCLUDE (id),
-      f.score + CASE WHEN contains(lower(c.text), lower('{PHRASE}')) THEN 0.02 ELSE 0 END AS score
+      f.score + CASE WHEN contains(lower(c.text), lower('{query}')) THEN 0.02 ELSE 0 END AS score
     FROM fused f JOIN chunks c ON c.id = f.chunk_id)"""
 
 
@@ -214,7 +226,7 @@ def _with(*parts: str) -> str:
 
 
 def _candidate_parts() -> tuple[str, ...]:
-    return (_ROW_CHUNKS, _BODY_POSTINGS, _LENGTHS, _lexical(PHRASE), _NO_DENSE, _fused(), _BONUS)
+    return (_ROW_CHUNKS, _BODY_POSTINGS, _LENGTHS, _lexical(PHRASE), _NO_DENSE, _fused(), _bonus(PHRASE))
 
 
 def _top(chunks: str, posted: str, query: str) -> str:
@@ -237,17 +249,17 @@ _HASHED = """
 
 
 
-def _hybrid(k: int, pool: int) -> str:
+def _hybrid(k: int, pool: int, query: str = PHRASE, per_page: int = 2, stemmed: bool = False) -> str:
     return (
         _with(
             _DOCUMENT_CHUNKS,
-            _BODY_POSTINGS,
+            _stemmed_postings(query) if stemmed else _BODY_POSTINGS,
             _LENGTHS,
-            _lexical(PHRASE, pool),
+            _lexical(query, pool, stemmed),
             _dense(pool),
             _fused(pool=pool),
-            _BONUS,
-            _collapsed(2, k),
+            _bonus(query),
+            _collapsed(per_page, k),
         )
         + f"""SELECT chunk_id, path, headings, line_start, line_end, round(score, 6) AS score,
         {_SNIPPET}, chunks_matched FROM kept"""
@@ -299,6 +311,14 @@ ORACLES = {
     "bm25_topk": _top(_ROW_CHUNKS, _BODY_POSTINGS, QUERY),
     "bm25_inverted_topk": _top(_ROW_CHUNKS, _BODY_POSTINGS, QUERY),
     "bm25_repeated_term": _top(_ROW_CHUNKS, _BODY_POSTINGS, REPEATED_QUERY),
+    "bm25_stemmed": _with(
+        _ROW_CHUNKS, _stemmed_postings(QUERY), _LENGTHS, _lexical(QUERY, stemmed=True)
+    )
+    + "SELECT chunk_id, round(score, 6) AS score FROM lexical",
+    "stemmed_terms": f"""
+      WITH vocabulary AS (SELECT DISTINCT term FROM ({_tokens('documents', 'doc_id', 'text')})),
+      {stems('vocabulary')}
+      SELECT term, stem FROM stems""",
     "bm25_heading_boost": _top(_CONVERSATION_CHUNKS, _HEADING_POSTINGS, HEADING_QUERY),
     "l2_normalized": """
       SELECT vec_id, pos, 
@@ -326,6 +346,7 @@ ORACLES = {
     "collapse_per_page_2": _with(*_candidate_parts(), _collapsed(2)) + _KEPT_OUT,
     "hybrid_search": _hybrid(K, POOL),
     "hybrid_search_large_k": _hybrid(LARGE_K, 4 * LARGE_K),
+    "hybrid_search_stemmed": _hybrid(K, POOL, QUERY, per_page=1, stemmed=True),
     "get_chunk": _with(_DOCUMENT_CHUNKS) + _CHUNK_OUT + f" WHERE id = {ONE_CHUNK}",
     "get_document": _with(_DOCUMENT_CHUNKS)
     + f"SELECT id, text FROM chunks WHERE path = '{ONE_PATH}'",

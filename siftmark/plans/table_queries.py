@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config, Weights
 from ..functions import text as X
+from ..functions.stemming import stem_values
 from ..operators.chunking import build_chunks, order_documents, path_components
 from ..operators.dense import VectorIndex, l2_normalize
 from ..operators.documents import document_chunks as one_document
@@ -105,6 +106,13 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exploded.groupBy("term").agg(F.count("*").alias("n"))
 
 
+def stemmed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct token and its stem."""
+    found = _documents(spark, sf_dir).select(F.explode(X.tokens("text")).alias("term")).distinct()
+    marked = X.mark_verbatim(F.array("term"))[0]
+    return found.select("term", F.arrow_udf("string")(stem_values)(marked).alias("stem"))
+
+
 def identifier_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _documents(spark, sf_dir).select("doc_id", F.explode(X.words("text")).alias("word"))
     return (
@@ -380,7 +388,7 @@ def cache_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     query.__name__: query
     for query in (
-        token_counts, identifier_parts, alphabetic_words, snippets, indexable_texts,
+        token_counts, stemmed_terms, identifier_parts, alphabetic_words, snippets, indexable_texts,
         ignore_filter, path_order, chunk_oversize, chunk_headings,
         bm25_postings, term_df_idf, doc_len_stats, index_stats,
         bm25_topk, bm25_inverted_topk, bm25_repeated_term, bm25_heading_boost, bm25_stemmed,
