@@ -3,4 +3,6 @@
 from .config import Config, Weights
 from .plans.engine import SearchEngine
 
-__all__ = ["Config", "SearchEngine", "Weights"]
+__version__ = "0.2.0"
+
+__all__ = ["Config", "SearchEngine", "Weights", "__version__"]

@@ -11,6 +11,7 @@ from dataclasses import replace
 
 from pyspark.sql import SparkSession
 
+from . import __version__
 from .config import DEFAULT_MODEL_REPO, ENV_PREFIX, Config, env_list, env_value
 from .operators.documents import SEPARATOR
 from .plans.engine import SearchEngine
@@ -56,6 +57,7 @@ def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(
         prog="siftmark", description=__doc__, parents=[_global_flags(defaults=True)]
     )
+    top.add_argument("--version", action="version", version=f"siftmark {__version__}")
     commands = top.add_subparsers(dest="command", required=True)
     commands.add_parser("index", parents=[shared], help="build the index and print statistics")
     search = commands.add_parser("search", parents=[shared], help="run one query")

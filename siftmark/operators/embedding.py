@@ -46,6 +46,13 @@ def embed_rows(texts: DataFrame, embedder: Embedder) -> DataFrame:
     return texts.select("text_hash", "text").mapInArrow(run, EMBEDDING_CACHE)
 
 
+def newest_last(entries: DataFrame) -> DataFrame:
+    """Cache entries with a ``generation`` that rises with every write."""
+    if "generation" in entries.columns:
+        return entries
+    return entries.withColumn("generation", F.lit(""))
+
+
 def copies_per_text(hashed: DataFrame) -> DataFrame:
     """(text_hash, leader, copies): the lowest id and the row count of each text."""
     return hashed.groupBy("text_hash").agg(
@@ -75,8 +82,8 @@ class EmbeddedTexts:
 def get_or_embed(texts: DataFrame, cached: DataFrame, embedder: Embedder) -> EmbeddedTexts:
     """Vectors for (chunk_id, text) rows, running the model once per missing text.
 
-    Hashes, not texts, go through the grouping and cache joins; texts move only for
-    the one leader row of each missing hash.
+    Hashes, not texts, go through the grouping and the cache joins. Texts are joined
+    once more, by chunk id, to the one leader row of each missing hash.
     """
     hashed = materialize(texts.select("chunk_id", text_hash("text").alias("text_hash")), "hashes")
     copies = materialize(copies_per_text(hashed), "copies")
@@ -92,7 +99,7 @@ def get_or_embed(texts: DataFrame, cached: DataFrame, embedder: Embedder) -> Emb
         parts = partitions_for(texts.sparkSession, counts.misses, _EMBED_ROWS)
         even = leaders.repartition(parts, "text_hash")
         added = materialize(embed_rows(even, embedder), "embeddings")
-        entries = cached.unionByName(added)
+        entries = newest_last(cached).unionByName(added.withColumn("generation", F.lit("~")))
     sample = entries.select("dim").first()
     return EmbeddedTexts(
         vectors=attach_vectors(hashed, copies, entries, counts.hits + counts.misses),
@@ -107,9 +114,10 @@ def attach_vectors(hashed: DataFrame, copies: DataFrame, entries: DataFrame, row
     """(chunk_id, embedding) of every row whose hash is among the cache entries.
 
     Very frequent texts leave the shuffle: their vectors, at most ``HOT_SHARE`` of
-    them, are broadcast instead. Duplicate entries of one text count once.
+    them, are broadcast instead. Of several entries of one text the last written counts.
     """
-    unique = entries.groupBy("text_hash").agg(F.max("embedding").alias("embedding"))
+    last = F.max(F.struct("generation", "embedding")).getField("embedding")
+    unique = newest_last(entries).groupBy("text_hash").agg(last.alias("embedding"))
     limit = max(_HOT_MINIMUM, rows // HOT_SHARE)
     hot = [r.text_hash for r in copies.where(F.col("copies") > limit).select("text_hash").collect()]
     joined = hashed.join(unique, "text_hash")

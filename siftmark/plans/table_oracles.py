@@ -174,6 +174,18 @@ def _dense(pool: int = POOL) -> str:
         / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 9) AS score
     FROM embeddings, probe ORDER BY score DESC, chunk_id LIMIT {pool})"""
 
+_DENSE_BY_DOCUMENT = """
+  first_chunks AS (
+    SELECT regexp_extract(path, '([0-9]+)[.]md$', 1)::BIGINT AS doc_id, min(id) AS id
+    FROM chunks GROUP BY 1),
+  probe AS (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1),
+  dense AS (
+    SELECT first_chunks.id AS chunk_id,
+      round(list_dot_product(embedding::DOUBLE[], q::DOUBLE[])
+        / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 9) AS score
+    FROM embeddings JOIN first_chunks ON doc_id = vec_id, probe
+    ORDER BY score DESC, chunk_id LIMIT {pool})"""
+
 _NO_DENSE = """
   dense AS (SELECT 0::BIGINT AS chunk_id, 0.0::DOUBLE AS score WHERE false)"""
 
@@ -256,7 +268,7 @@ def _hybrid(k: int, pool: int, query: str = PHRASE, per_page: int = 2, stemmed:
             _stemmed_postings(query) if stemmed else _BODY_POSTINGS,
             _LENGTHS,
             _lexical(query, pool, stemmed),
-            _dense(pool),
+            _DENSE_BY_DOCUMENT.format(pool=pool),
             _fused(pool=pool),
             _bonus(query),
             _collapsed(per_page, k),
@@ -349,7 +361,8 @@ ORACLES = {
     "hybrid_search_stemmed": _hybrid(K, POOL, QUERY, per_page=1, stemmed=True),
     "get_chunk": _with(_DOCUMENT_CHUNKS) + _CHUNK_OUT + f" WHERE id = {ONE_CHUNK}",
     "get_document": _with(_DOCUMENT_CHUNKS)
-    + f"SELECT id, text FROM chunks WHERE path = '{ONE_PATH}'",
+    + f"""SELECT path, string_agg(text, chr(10) || chr(10) ORDER BY id) AS text
+      FROM chunks WHERE path = '{ONE_PATH}' GROUP BY path""",
     "documents_as_parts": """
       SELECT source AS path, doc_id AS id, CASE WHEN doc_id = min(doc_id) OVER (PARTITION BY source)
         THEN text ELSE chr(10) || chr(10) || text END AS part FROM documents""",
@@ -360,7 +373,32 @@ ORACLES = {
     + """SELECT chunk_id, len(embedding) AS dim, round(embedding[1]::DOUBLE, 6) + 0.0 AS first,
         round(embedding[-1]::DOUBLE, 6) + 0.0 AS last FROM hashed JOIN cached USING (text_hash)""",
     "cache_validation": """
-      SELECT bool_and(len(embedding) = dim AND len(list_filter(embedding,
-        lambda x: x IS NULL OR NOT isfinite(x))) = 0) AS consistent
-      FROM embeddings, (SELECT len(embedding) AS dim FROM embeddings LIMIT 1)""",
+      WITH given AS (
+        SELECT bool_and(len(embedding) = dim AND len(list_filter(embedding,
+          lambda x: x IS NULL OR NOT isfinite(x))) = 0) AS consistent
+        FROM embeddings, (SELECT len(embedding) AS dim FROM embeddings LIMIT 1))
+      SELECT 'given' AS "case", consistent FROM given
+      UNION ALL SELECT unnest(['shorter', 'not finite', 'null']), false""",
+    "cache_overwrite": """
+      WITH rows AS (
+        SELECT doc_id, sha256(text) AS h, embedding, vec_id % 2 = 1 AS again
+        FROM documents JOIN embeddings ON vec_id = doc_id),
+      written AS (
+        SELECT h, 0 AS generation, embedding FROM rows
+        UNION ALL
+        SELECT h, 1, list_transform(embedding, lambda x: -x) FROM rows WHERE again),
+      last AS (
+        SELECT h, max(embedding) AS embedding FROM written JOIN (
+          SELECT h, max(generation) AS generation FROM written GROUP BY h) USING (h, generation)
+        GROUP BY h)
+      SELECT doc_id AS chunk_id, round(embedding[1]::DOUBLE, 6) + 0.0 AS first
+      FROM documents JOIN last ON h = sha256(text)""",
+    "embed_misses": """
+      WITH known AS (
+        SELECT text, max(doc_id) AS id FROM documents WHERE doc_id % 3 = 0 GROUP BY text)
+      SELECT doc_id AS chunk_id,
+        CASE WHEN id IS NULL THEN length(d.text) ELSE -1 END::DOUBLE AS first,
+        CASE WHEN id IS NULL THEN length(d.text) - length(replace(d.text, 'e', ''))
+          ELSE id END::DOUBLE AS second
+      FROM documents d LEFT JOIN known USING (text)""",
 }

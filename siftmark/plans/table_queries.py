@@ -16,9 +16,8 @@ from ..functions import text as X
 from ..functions.stemming import stem_values
 from ..operators.chunking import build_chunks, order_documents, path_components
 from ..operators.dense import VectorIndex, l2_normalize
-from ..operators.documents import document_chunks as one_document
-from ..operators.documents import document_parts
-from ..operators.embedding import attach_vectors, copies_per_text, hit_counts
+from ..operators.documents import document_parts, document_text
+from ..operators.embedding import attach_vectors, copies_per_text, get_or_embed, hit_counts
 from ..operators.fusion import candidate_pool, collapse, fuse, with_phrase_bonus
 from ..operators.lexical import (
     Bm25Index,
@@ -28,8 +27,8 @@ from ..operators.lexical import (
     postings,
 )
 from ..operators.ordering import NumberedTable, with_rank
-from ..session import local_rows, materialize, spread
-from ..sources.embedding_cache import is_consistent
+from ..session import local_rows, materialize, table_path
+from ..sources.embedding_cache import EmbeddingCache, is_consistent
 from ..sources.tables import documents_from_table, drop_ignored
 from .engine import SearchEngine
 
@@ -51,7 +50,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", "source", "text")
 
 
 def _file_path() -> Column:
@@ -305,7 +304,11 @@ def collapse_per_page_2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _engine(spark: SparkSession, sf_dir: str, **settings) -> SearchEngine:
     cfg = Config(lexical_only=True, **settings)
     engine = SearchEngine.from_documents(document_files(spark, sf_dir), cfg)
-    engine.use_vectors(_vectors(spark, sf_dir))
+    # The vector of a document stands for its first chunk.
+    number = F.regexp_extract("path", "([0-9]+)[.]md$", 1).cast("long")
+    first = engine.chunks.groupBy(number.alias("vec_id")).agg(F.min("id").alias("chunk_id"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    engine.use_vectors(vectors.join(first, "vec_id").select("chunk_id", "embedding"))
     return engine
 
 
@@ -341,8 +344,9 @@ def get_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def get_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = document_chunks(spark, sf_dir).rows()
-    return one_document(chunks, ONE_PATH).select("id", "text")
+    """The whole text of one document, as the engine's lookup returns it."""
+    text = document_text(document_chunks(spark, sf_dir).rows(), ONE_PATH)
+    return local_rows(spark, path=[ONE_PATH], text=[text])
 
 
 def documents_as_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -382,7 +386,54 @@ def cache_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cache_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return local_rows(spark, consistent=[is_consistent(_cached(spark, sf_dir))])
+    """The given vectors, and the same with one vector spoilt in each of three ways."""
+    cached = materialize(_cached(spark, sf_dir), "cached")
+    least = cached.agg(F.min("text_hash").alias("h")).first().h
+    one = F.col("text_hash") == least
+    spoilt = {
+        "given": F.col("embedding"),
+        "shorter": F.slice("embedding", 1, F.size("embedding") - 1),
+        "not finite": F.transform("embedding", lambda x: (x * F.lit(float("nan"))).cast("float")),
+        "null": F.lit(None).cast("array<float>"),
+    }
+    found = [
+        is_consistent(cached.withColumn("embedding", F.when(one, new).otherwise(F.col("embedding"))))
+        for new in spoilt.values()
+    ]
+    return local_rows(spark, case=list(spoilt), consistent=found)
+
+
+def cache_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two generations of a cache: odd documents' vectors are written again, negated."""
+    hashed = materialize(_hashed(spark, sf_dir), "hashes")
+    rows = hashed.join(_vectors(spark, sf_dir), "chunk_id").withColumn("dim", F.size("embedding"))
+    cache = EmbeddingCache(spark, table_path(spark, "cache"))
+    cache.save(rows)
+    negated = F.transform("embedding", lambda x: -x)
+    cache.save(rows.where(F.col("chunk_id") % 2 == 1).withColumn("embedding", negated))
+    found = attach_vectors(hashed, copies_per_text(hashed), cache.load(), hashed.count())
+    first = F.get("embedding", F.lit(0)).cast("double")
+    return found.select("chunk_id", F.round(first, 6).alias("first"))
+
+
+class LetterCounts:
+    """An embedder that SQL can repeat: text length and number of ``e``."""
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return [[float(len(t)), float(t.count("e"))] for t in texts]
+
+
+def embed_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors through the cache, which holds every third document as (-1, id)."""
+    docs = _documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text")
+    known = docs.where(F.col("chunk_id") % 3 == 0).select(
+        X.text_hash("text").alias("text_hash"),
+        F.lit(2).alias("dim"),
+        F.array(F.lit(-1.0), F.col("chunk_id").cast("double")).cast("array<float>").alias("embedding"),
+    )
+    found = get_or_embed(docs, known, LetterCounts()).vectors
+    at = [F.get("embedding", F.lit(i)).cast("double") for i in (0, 1)]
+    return found.select("chunk_id", at[0].alias("first"), at[1].alias("second"))
 
 
 QUERIES = {
@@ -396,6 +447,6 @@ QUERIES = {
         collapse_per_page_0, collapse_per_page_1, collapse_per_page_2,
         hybrid_search, hybrid_search_stemmed, hybrid_search_large_k,
         get_chunk, get_document, documents_as_parts,
-        cache_hits_misses, cache_vectors, cache_validation,
+        cache_hits_misses, cache_vectors, cache_validation, cache_overwrite, embed_misses,
     )
 }

@@ -1,4 +1,4 @@
-"""Session helpers: the shared folder, written intermediates, input spreading."""
+"""Session helpers: the shared folder and written intermediates."""
 
 from __future__ import annotations
 
@@ -9,13 +9,18 @@ import zipfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
 _local_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
 
 
+def runs_locally(spark: SparkSession) -> bool:
+    """Whether driver and tasks share one process and so one disk (not local-cluster)."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
@@ -28,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
     )
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not runs_locally(spark):
         raise ValueError(f"set {_SETTING} to a folder shared by all executors")
     app = spark.sparkContext.applicationId
     if app not in _local_dirs:
@@ -72,18 +77,6 @@ def partitions_for(spark: SparkSession, rows: int, rows_each: int) -> int:
     return max(1, min(most, max(spark.sparkContext.defaultParallelism, rows // rows_each)))
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use every core on a plain scan that is read as fewer partitions than cores.
-
-    Hash-partitions by ``keys`` (deterministic on re-run). A large input already
-    has more splits than cores and passes through without a shuffle.
-    """
-    spark = df.sparkSession
-    if df.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism:
-        return df
-    return df.repartition(spark.sparkContext.defaultParallelism, *[F.col(k) for k in keys])
-
-
 def local_rows(spark: SparkSession, **columns: list) -> DataFrame:
     """A handful of driver-side rows as a local relation.
 

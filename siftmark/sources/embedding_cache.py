@@ -11,6 +11,7 @@ import logging
 import os
 import time
 import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 
 from ..config import Config, env_value
 from ..schemas import EMBEDDING_CACHE
-from ..session import shared_dir
+from ..session import runs_locally, shared_dir
 
 log = logging.getLogger("siftmark")
 
@@ -38,7 +39,7 @@ def cache_path(cfg: Config, spark: SparkSession | None = None) -> str:
     executors cannot see the driver's home, the shared folder takes its place.
     """
     base = cfg.cache_dir or env_value("CACHE_DIR")
-    if base is None and spark and not spark.sparkContext.master.startswith("local"):
+    if base is None and spark and not runs_locally(spark):
         base = f"{shared_dir(spark)}/siftmark-embeddings"
     if base is None:
         home = os.environ.get("XDG_CACHE_HOME") or os.path.expanduser("~/.cache")
@@ -82,7 +83,8 @@ class EmbeddingCache:
         return cls(spark, cache_path(cfg, spark))
 
     def empty(self) -> DataFrame:
-        return self.spark.createDataFrame([], EMBEDDING_CACHE)
+        none = self.spark.createDataFrame([], EMBEDDING_CACHE)
+        return none.withColumn("generation", F.lit(""))
 
     def load(self) -> DataFrame:
         """Cached entries; empty when missing, unreadable or inconsistent. Never fails."""
@@ -91,6 +93,9 @@ class EmbeddingCache:
                 return self.empty()
             entries = self.spark.read.schema(EMBEDDING_CACHE).parquet(
                 f"{self.path}/{_GENERATION}*"
+            ).select(
+                "*",
+                F.regexp_extract("_metadata.file_path", f"/{_GENERATION}([^/]+)/", 1).alias("generation"),
             )
             if not is_consistent(entries):
                 log.warning("ignoring %s: its vectors differ in length or are not finite", self.path)
@@ -101,12 +106,19 @@ class EmbeddingCache:
             return self.empty()
 
     def get(self, text: str) -> list[float] | None:
+        """Vector of a text, the one written last."""
         key = hashlib.sha256(text.encode()).hexdigest()
-        rows = self.load().where(F.col("text_hash") == key).select("embedding").take(1)
+        found = self.load().where(F.col("text_hash") == key)
+        rows = found.orderBy(F.desc("generation"), F.desc("embedding")).select("embedding").take(1)
         return list(rows[0].embedding) if rows else None
 
+    def insert(self, text: str, vector: Sequence[float]) -> None:
+        """Set the vector of one text; it replaces an earlier one."""
+        row = (hashlib.sha256(text.encode()).hexdigest(), len(vector), [float(x) for x in vector])
+        self.save(self.spark.createDataFrame([row], EMBEDDING_CACHE))
+
     def save(self, entries: DataFrame) -> None:
-        """Add (text_hash, dim, embedding) rows as one new generation."""
+        """Add (text_hash, dim, embedding) rows as one new generation, the newest."""
         staged = f"{self.path}/.staging-{uuid.uuid4().hex}"
         entries.select(*EMBEDDING_CACHE.names).write.parquet(staged)
         final = f"{self.path}/{_GENERATION}{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"

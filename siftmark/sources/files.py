@@ -106,7 +106,9 @@ def list_files(spark: SparkSession, cfg: Config, inline_entries: int = 10_000) -
     level = spark.createDataFrame(folders, _ENTRIES)
     remaining = len(folders)
     while remaining:
-        spread = level.repartition(F.col("file"))
+        # A number of its own keeps adaptive execution from merging a level's folders.
+        tasks = min(remaining, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        spread = level.repartition(tasks, F.col("file"))
         listed = materialize(spread.mapInArrow(_list_level, _ENTRIES), "listing")
         listing = listing.unionByName(listed.where(~F.col("is_dir")))
         level = listed.where("is_dir")

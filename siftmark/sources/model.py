@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import SparkSession
 
 from ..config import BATCH_SIZE, MAX_TOKENS, QUERY_INSTRUCTION, Config
+from ..session import runs_locally
 
 MODEL_FILE = "model.onnx"
 TOKENIZER_FILE = "tokenizer.json"
@@ -68,7 +69,7 @@ class OnnxEmbedder:
     def load(cls, spark: SparkSession, cfg: Config) -> OnnxEmbedder:
         model, tokenizer = resolve_files(cfg)
         embedder = cls(model, tokenizer, cfg.model_dir or cfg.model_repo)
-        if not spark.sparkContext.master.startswith("local"):
+        if not runs_locally(spark):
             for name, path in embedder._paths.items():
                 spark.sparkContext.addFile(path)
                 embedder._shipped[name] = os.path.basename(path)

@@ -168,6 +168,12 @@ def test_cli(spark, corpus_root):
             run_cli(spark, *base, *bad)
 
 
+def test_cli_version(capsys):
+    with pytest.raises(SystemExit) as stopped:
+        cli.parser().parse_args(["--version"])
+    assert stopped.value.code == 0 and capsys.readouterr().out.startswith("siftmark ")
+
+
 def test_cli_errors(monkeypatch):
     monkeypatch.delenv("SIFTMARK_ROOTS", raising=False)
     assert cli.main(["index"]) == 1

@@ -168,6 +168,21 @@ def test_cache_round_trip(spark, tmp_path):
     assert not [n for n in os.listdir(cache.path) if n.startswith(".staging")]
 
 
+def test_cache_last_write_wins(spark, tmp_path):
+    cache = C.EmbeddingCache(spark, str(tmp_path / "c"))
+    cache.insert("kettle", [9.0, 0.0])
+    cache.save(entries(spark, [(sha("kettle"), 2, [1.0, 0.0]), (sha("teapot"), 2, [5.0, 5.0])]))
+    cache.insert("teapot", [0.0, 2.0])
+    assert cache.get("kettle") == [1.0, 0.0] and cache.get("teapot") == [0.0, 2.0]
+    texts = spark.createDataFrame([(1, "kettle"), (2, "teapot")], "chunk_id long, text string")
+    found = get_or_embed(texts, cache.load(), None)
+    assert (found.hits, found.misses) == (2, 0)
+    assert {r.chunk_id: list(r.embedding) for r in found.vectors.collect()} == {
+        1: [1.0, 0.0],
+        2: [0.0, 2.0],
+    }
+
+
 def test_cache_path_precedence(monkeypatch, tmp_path):
     monkeypatch.setenv("SIFTMARK_CACHE_DIR", "/from/env")
     assert C.cache_path(Config(model_repo="o/m")) == "/from/env/o__m"
