@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..config import DEFAULT_WEIGHTS, PHRASE_BONUS, RRF_K, Weights
 from ..functions.text import contains_phrase
-from .ordering import with_rank
+from .ordering import first_rows, with_rank
 
 
 def candidate_pool(k: int) -> int:
@@ -43,14 +43,13 @@ def fuse(
         return F.coalesce(F.lit(weight) / (F.lit(RRF_K) + F.col(rank)), F.lit(0.0))
 
     score = share(weights.lexical, "lexical_rank") + share(weights.dense, "dense_rank")
-    return (
+    both = (
         _ranked(lexical, "lexical", at_most)
         .join(_ranked(dense, "dense", at_most), "chunk_id", "full_outer")
         .withColumn("score", score)
-        .orderBy(F.desc("score"), F.desc_nulls_last("dense_score"), "chunk_id")
-        .limit(k)
-        .select("chunk_id", "score", "lexical_rank", "dense_rank")
     )
+    order = [F.desc("score"), F.desc_nulls_last("dense_score"), F.asc("chunk_id")]
+    return first_rows(both, order, k).select("chunk_id", "score", "lexical_rank", "dense_rank")
 
 
 def with_phrase_bonus(candidates: DataFrame, phrase: str) -> DataFrame:
@@ -73,11 +72,10 @@ def collapse(candidates: DataFrame, k: int, per_page: int) -> DataFrame:
         "chunks_matched", F.count("*").over(Window.partitionBy("path"))
     )
     if per_page == 0:
-        return placed.orderBy("_at").limit(k).drop("_at")
+        return first_rows(placed, [F.asc("_at")], k).drop("_at")
     leaders = candidates.groupBy("path").agg(F.min(position).alias("first"))
     stop = (
-        leaders.orderBy("first")
-        .limit(k + 1)
+        first_rows(leaders, [F.asc("first")], k + 1)
         .agg(F.when(F.count("*") > k, F.max("first")).alias("stop"))
     )
     nth = F.row_number().over(Window.partitionBy("path").orderBy("_at"))

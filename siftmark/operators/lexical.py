@@ -241,13 +241,6 @@ def score_postings(matched: DataFrame, weights: dict[str, float], avg_doc_len: f
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
-    """Best ``k`` rows by score, then id.
-
-    A usual ``k`` is a per-task top-k and one small merge. That merge holds ``k``
-    rows of every task, so a very large ``k`` is numbered in parallel instead.
-    """
-    order = [F.desc("score"), F.asc("chunk_id")]
-    if k <= ordering.WINDOW_ROWS:
-        return scored.orderBy(*order).limit(k)
-    placed = ordering.with_rank(scored, order, "rank", None)
-    return placed.where(F.col("rank") <= k).select("chunk_id", "score")
+    """Best ``k`` rows by score, then id."""
+    best = ordering.first_rows(scored, [F.desc("score"), F.asc("chunk_id")], k)
+    return best.select("chunk_id", "score")

@@ -23,6 +23,8 @@ _ROW_MASK = (1 << _PART_SHIFT) - 1
 
 # A list cut to at most this many rows may be numbered by one plain window.
 WINDOW_ROWS = 200_000
+# A top-k may merge this many rows (k of every task) in one task.
+MERGED_ROWS = 10_000_000
 # Ids of a lookup become filters of this many values each, which the parquet reader
 # tests one by one instead of by their span.
 _IN_GROUP = 10
@@ -144,6 +146,18 @@ def number_in_place(ordered: DataFrame, id_name: str, name: str) -> NumberedTabl
     return NumberedTable(staged, offsets, id_name)
 
 
+def first_rows(df: DataFrame, order: list[Column], k: int) -> DataFrame:
+    """The first ``k`` rows in the total order ``order``.
+
+    A usual ``k`` is a per-task top-k and one small merge. As that merge holds ``k``
+    rows of every task, a very large ``k`` is numbered in parallel instead.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if k * tasks <= MERGED_ROWS:
+        return df.orderBy(*order).limit(k)
+    return with_rank(df, order, "_rank", None).where(F.col("_rank") <= k).drop("_rank")
+
+
 def with_rank(df: DataFrame, order: list[Column], rank: str, at_most: int | None) -> DataFrame:
     """Add the 1-based position of every row in the total order ``order``.
 

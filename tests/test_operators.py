@@ -89,10 +89,18 @@ def test_very_large_k_is_numbered_in_parallel(spark, monkeypatch):
     index = Bm25Index.build(frame)
     usual = [tuple(r) for r in index.search("tide", 25).collect()]
     monkeypatch.setattr(ordering, "WINDOW_ROWS", 10)
+    monkeypatch.setattr(ordering, "MERGED_ROWS", 10)
     found = [tuple(r) for r in index.search("tide", 25).collect()]
     assert sorted(found, key=lambda r: (-r[1], r[0])) == usual
     ranked = fuse(index.search("tide", 25), index.search("tide", 25), k=25, at_most=25).collect()
+    ranked.sort(key=lambda r: (-r.score, r.chunk_id))
     assert [r.chunk_id for r in ranked] == [i for i, _ in usual]
+    rows = spark.createDataFrame([(i, 0.1 * (i % 4), f"p{i % 7}") for i in range(40)], RANKED + ", path string")
+    for per_page in (0, 2):
+        found = collapse(rows, 5, per_page).collect()
+        found.sort(key=lambda r: (-r.score, r.chunk_id))
+        plain = [(r.chunk_id, r.score, r.path) for r in rows.collect()]
+        assert [r.chunk_id for r in found] == sequential_collapse(plain, 5, per_page)
 
 
 def plan(df):
