@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Text handed to one step of a Python worker; bounds its memory whatever the rows hold.
 STEP_BYTES = 4 << 20
@@ -55,7 +56,7 @@ def append_columns(
     name of a field are replaced.
     """
     out = T.StructType([T.StructField(n, t) for n, t in fields])
-    names = [n for n, _ in fields]
+    names, empty = [n for n, _ in fields], to_arrow_type(out)
 
     @F.arrow_udf(out)
     def appended(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -66,10 +67,7 @@ def append_columns(
                 pa.StructArray.from_arrays(work(s.column("t")), names)
                 for s in slices([batch], "t")
             ]
-            if parts:
-                yield pa.concat_arrays(parts)
-            else:
-                yield pa.array([], pa.struct([]))
+            yield pa.concat_arrays(parts) if parts else pa.array([], empty)
 
     # Not deterministic: else a later filter would run the function a second time.
     call = appended.asNondeterministic()(F.col(text).alias("t"))
