@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, partitions_for
 from .common import mix64, slices, texts_of
 
 TREES = 16
@@ -38,6 +38,8 @@ BEST = 8
 #: Chance to miss a link at the threshold in all trees, which sets the least depth.
 MISS = 2e-5
 ROWS_EACH = 50_000
+#: Rows a task should have at least of pairs with texts, of links, of region members.
+PAIRS_EACH, LINKS_EACH, MEMBERS_EACH = 1_000, 50_000, 5_000
 
 _TABLE = 4096
 _FACTORS = mix64(np.arange(1, _TABLE + 1, dtype=np.uint64)) | np.uint64(1)
@@ -338,7 +340,9 @@ def outsiders(nodes: DataFrame, rule: Rule) -> DataFrame:
     members = rows.join(regions, ["tree", "prefix"]).select(
         region.alias("region"), "id", "total", "largest", (F.col("comp") != F.col("main")).alias("outside")
     )
-    members = materialize(members, "forest_regions").join(nodes, "id")
+    members = materialize(members, "forest_regions")
+    tasks = partitions_for(nodes.sparkSession, members.count(), MEMBERS_EACH)
+    members = members.join(nodes, "id")
     entry = F.struct("id", "size", "comp", "labels")
 
     def blocks(df: DataFrame, rows: str, each: int, name: str) -> DataFrame:
@@ -378,14 +382,15 @@ def outsiders(nodes: DataFrame, rule: Rule) -> DataFrame:
                 a, b = np.concatenate(low), np.concatenate(high)
                 yield pa.record_batch([pa.array(a, arrow), pa.array(b, arrow)], ["a", "b"])
 
-    return met.select("few", "many").mapInArrow(compare, f"a {kind}, b {kind}").distinct()
+    met = met.select("few", "many").coalesce(tasks)
+    return met.mapInArrow(compare, f"a {kind}, b {kind}").distinct()
 
 
 # --- confirmation and components -------------------------------------------------
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough.
+    """The pairs (a, b), a written table, whose full shingle sets are similar enough.
 
     A document is in at most ``2 * TREES * NEAREST`` pairs of one visit, so neither
     join has a hot key.
@@ -407,51 +412,70 @@ def confirm(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
 
     held = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     held = held.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return held.select("a", "b", "text_a", "text_b").mapInArrow(check, f"a {kind}, b {kind}")
+    tasks = partitions_for(pairs.sparkSession, pairs.count(), PAIRS_EACH)
+    held = held.select("a", "b", "text_a", "text_b").coalesce(tasks)
+    return held.mapInArrow(check, f"a {kind}, b {kind}")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """id, comp (smallest reachable id) of every id in links (a, b).
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over one partition of edges (a < b), all edges of a ``b`` together.
 
-    Alternating large and small stars: each step is two aggregations and joins on the
-    links, written out, until they are stars. No neighbour list is ever gathered.
+    Yields (a, b, loose): every id under the smallest one it is joined to here, and how
+    many ids came in with several parents. Memory follows the partition, not a component.
     """
+    tables = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
+    if not tables:
+        return
+    table = pa.concat_tables(tables)
+    kind = table.schema.field("a").type
+    pairs = np.unique(np.stack([table.column(c).to_numpy() for c in "ab"], 1), axis=0)
+    ids, index = np.unique(pairs, return_inverse=True)
+    parent = list(range(len(ids)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for x, y in index.reshape(pairs.shape).tolist():
+        low, high = sorted((root(x), root(y)))
+        parent[high] = low
+    top = np.array([root(x) for x in range(len(ids))])
+    below = np.flatnonzero(top != np.arange(len(ids)))
+    loose = np.zeros(len(below), np.int64)
+    loose[0] = len(pairs) - len(np.unique(pairs[:, 1]))
+    yield pa.record_batch(
+        [pa.array(ids[top[below]], kind), pa.array(ids[below], kind), pa.array(loose)],
+        ["a", "b", "loose"],
+    )
 
-    def state(edges: DataFrame):
-        row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % 2**40).alias("h")).first()
-        return row.n, row.h
 
-    edges = materialize(
-        links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .where(F.col("a") < F.col("b"))
-        .distinct(),
-        "component_edges",
-    )
-    now = state(edges)
-    while now[0]:
-        # Large star: every larger neighbour moves to the smallest of the neighbourhood.
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = (
-            both.join(least, "a")
-            .where(F.col("b") > F.col("a"))
-            .select(F.col("m").alias("a"), "b")
-            .where(F.col("a") < F.col("b"))
-            .distinct()
-        )
-        large = materialize(large, "component_large")
-        # Small star: smaller neighbours and the vertex itself move to the smallest one.
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
-        moved = large.join(least, "b")
-        small = (
-            moved.select(F.col("m").alias("a"), F.col("b"))
-            .unionByName(moved.where(F.col("a") != F.col("m")).select(F.col("m").alias("a"), F.col("a").alias("b")))
-            .distinct()
+def components(links: DataFrame) -> DataFrame:
+    """id, comp (smallest reachable id) of every id in links (a, b).
+
+    Each round deals the edges out by their larger end, contracts every partition by
+    itself and writes what is left, until no id has two parents; then parents are
+    replaced by their parents until all are roots. No component is ever gathered.
+    """
+    kind = links.schema["a"].dataType.simpleString()
+    tasks = partitions_for(links.sparkSession, links.count(), LINKS_EACH)
+    edges = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    edges = edges.where(F.col("a") < F.col("b"))
+    loose = 1
+    while loose:
+        left = edges.select("a", "b").repartition("b").coalesce(tasks)
+        made = left.mapInArrow(_contracted, f"a {kind}, b {kind}, loose long")
+        edges = materialize(made, "component_edges")
+        loose = edges.agg(F.sum("loose").alias("n")).first().n
+    above = 1
+    while above:
+        up = edges.select(F.col("b").alias("a"), F.col("a").alias("higher"))
+        moved = edges.join(up, "a", "left").select(
+            F.coalesce("higher", "a").alias("a"), "b", F.col("higher").isNotNull().alias("moved")
         )
-        edges = materialize(small, "component_edges")
-        before, now = now, state(edges)
-        if before == now:
-            break
+        edges = materialize(moved.coalesce(tasks), "component_edges")
+        above = edges.where("moved").count()
     roots = edges.select("a").distinct().select(F.col("a").alias("id"), F.col("a").alias("comp"))
     return edges.select(F.col("b").alias("id"), F.col("a").alias("comp")).unionByName(roots)
 
@@ -477,15 +501,17 @@ def near_duplicates(
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
 
     pairs, crowded = candidates(nodes, rule, rows)
-    pairs = materialize(pairs, "forest_pairs")
+    few = partitions_for(docs.sparkSession, rows, LINKS_EACH)
+    pairs = materialize(pairs.coalesce(few), "forest_pairs")
     links = materialize(confirm(pairs, texts, rule), "forest_links")
     of = materialize(components(links), "forest_components")
     tested = pairs
-    near = materialize(nodes.join(crowded, "id"), "forest_near")
+    near = materialize(nodes.join(crowded, "id").coalesce(few), "forest_near")
     while not near.isEmpty():
         now = near.join(of, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        more = outsiders(materialize(now, "forest_near"), rule)
-        more = materialize(more.join(tested, ["a", "b"], "left_anti"), "forest_pairs")
+        more = outsiders(materialize(now.coalesce(few), "forest_near"), rule)
+        more = more.join(tested, ["a", "b"], "left_anti").coalesce(few)
+        more = materialize(more, "forest_pairs")
         found = materialize(confirm(more, texts, rule), "forest_links")
         if found.isEmpty():
             break
