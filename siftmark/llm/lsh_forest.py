@@ -39,7 +39,7 @@ BEST = 8
 MISS = 2e-5
 ROWS_EACH = 50_000
 #: Rows a task should have at least of pairs with texts, of links, of region members.
-PAIRS_EACH, LINKS_EACH, MEMBERS_EACH = 1_000, 50_000, 5_000
+PAIRS_EACH, LINKS_EACH, MEMBERS_EACH = 1_000, 10_000, 5_000
 
 _TABLE = 4096
 _FACTORS = mix64(np.arange(1, _TABLE + 1, dtype=np.uint64)) | np.uint64(1)
