@@ -110,8 +110,8 @@ def fit(
 
     taken = labelled_sample(docs, labels, key, text, most)
     sparse = append_columns(taken, "text", [("x", T.BinaryType())], make).select("x", "label")
-    held = sparse.collect()  # bounded by ``most`` rows
-    return fit_rows([bytes(r.x) for r in held], [r.label for r in held])
+    held = sparse.toArrow()  # bounded by ``most`` rows
+    return fit_rows(held["x"].to_pylist(), held["label"].to_pylist())
 
 
 def fit_rows(rows: list[bytes], grades: list[int]) -> OrdinalModel:

@@ -108,9 +108,8 @@ def character_model(counts: DataFrame) -> np.ndarray:
 
     There are at most ``_SIZE``**3 counts, whatever the corpus.
     """
-    n3 = np.zeros(_SIZE**3)
-    for row in counts.collect():
-        n3[row.gram] = row.n
+    n3, found = np.zeros(_SIZE**3), counts.toArrow()
+    n3[found["gram"].to_numpy()] = found["n"].to_numpy()
     return model_of_counts(n3)
 
 
@@ -273,8 +272,20 @@ def fit_rows(rows: list[bytes], labels: list[int], characters: np.ndarray) -> To
     if not len(y) or y.min() == y.max():
         share = float(np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6))
         return ToxicModel(characters, math.log(share / (1 - share)), {})
-    owner = np.repeat(np.arange(len(flat)), [len(f) for f in flat])
-    names, index = np.unique(np.concatenate(flat), return_inverse=True)
+    # Only features seen often enough are looked at: few of the many different ones.
+    every = np.sort(np.concatenate(flat))
+    starts = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else []
+    often = np.diff(np.r_[starts, len(every)]) >= LEAST_SEEN
+    names = every[starts][often] if len(every) else every
+    del every
+    held = []
+    for found in flat:
+        at = np.searchsorted(names, found)
+        known = at < len(names)
+        known[known] = names[at[known]] == found[known]
+        held.append(at[known].astype(np.int32))
+    owner = np.repeat(np.arange(len(held)), [len(h) for h in held])
+    index = np.concatenate(held)
     seen = np.bincount(index, minlength=len(names)).astype(np.float64)
     toxic = np.bincount(index, y[owner], len(names))
     base = y.mean()
@@ -324,8 +335,9 @@ def fit(
         return lambda column: [pa.array(_document_features(texts_of(column), characters), pa.binary())]
 
     taken = labelled_sample(docs, labels, key, text, most)
-    held = append_columns(taken, "text", [("x", T.BinaryType())], make).select("x", "label").collect()
-    return fit_rows([bytes(r.x) for r in held], [r.label for r in held], characters)
+    sparse = append_columns(taken, "text", [("x", T.BinaryType())], make).select("x", "label")
+    held = sparse.toArrow()  # bounded by ``most`` rows
+    return fit_rows(held["x"].to_pylist(), held["label"].to_pylist(), characters)
 
 
 def scorer(model: ToxicModel):
