@@ -10,7 +10,8 @@ other. Candidates are confirmed on the full sets, links are joined to components
 
 Crowded regions are then visited again: members outside a region's largest component
 are compared with all its members of other components by their minima, in blocks, and
-the ones most alike are confirmed. This repeats until a visit adds no link.
+the ones most alike that are not tested yet are confirmed. This repeats, in growing
+steps, until no untested pair is left that can still be similar enough.
 
 Null, empty and blank texts have empty sets: linked with nothing, their own component.
 Fewer words than a shingle make one shingle of the whole sequence. Repeated rows are
@@ -34,7 +35,8 @@ from .common import mix64, slices, texts_of
 TREES = 16
 DEPTH = 8
 NEAREST = 6
-BEST = 8
+#: Untested pairs of an outsider and a block in the first visit, and the growth per visit.
+BEST, GROWTH = 8, 4
 #: Chance to miss a link at the threshold in all trees, which sets the least depth.
 MISS = 2e-5
 ROWS_EACH = 50_000
@@ -309,14 +311,26 @@ def candidates(nodes: DataFrame, rule: Rule, rows: int) -> tuple[DataFrame, Data
     return pairs, crowded
 
 
-def outsiders(nodes: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs of crowded regions between documents of different components.
+def _apart(tested: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id, met: tested pairs of each of ``nodes`` with one of another component."""
+    pairs = tested
+    for end in "ab":
+        comp = nodes.select(F.col("id").alias(end), F.col("comp").alias(f"comp_{end}"))
+        pairs = pairs.join(comp, end)
+    pairs = pairs.where("comp_a != comp_b")
+    return pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("met"))
 
-    ``nodes`` (id, size, labels, comp) are those in crowded regions. Members of a region
-    outside its largest component meet all its members of other components, in blocks,
-    by how many of the ``TREES * DEPTH`` minima agree; each outsider's ``BEST`` of a
-    block that can still be similar enough are the candidates.
+
+def outsiders(nodes: DataFrame, tested: DataFrame, rule: Rule, step: int) -> DataFrame:
+    """Untested pairs of crowded regions between documents of different components.
+
+    ``nodes`` (id, size, labels, comp) are those in crowded regions, ``tested`` the pairs
+    (a, b) seen before. Members of a region outside its largest component meet all its
+    members of other components, in blocks, by how many of the ``TREES * DEPTH`` minima
+    agree. Of each outsider and block come the ``step`` best untested ones that can
+    still be similar enough (or all): as many more are ranked as were tested before.
     """
+    nodes = nodes.join(_apart(tested, nodes), "id", "left").withColumn("met", F.coalesce("met", F.lit(0)))
     kind = nodes.schema["id"].dataType.simpleString()
     depth, percent = rule.least_depth, rule.percent
     share = percent / 100
@@ -343,7 +357,7 @@ def outsiders(nodes: DataFrame, rule: Rule) -> DataFrame:
     members = materialize(members, "forest_regions")
     tasks = partitions_for(nodes.sparkSession, members.count(), MEMBERS_EACH)
     members = members.join(nodes, "id")
-    entry = F.struct("id", "size", "comp", "labels")
+    entry = F.struct("id", "size", "comp", "labels", "met")
 
     def blocks(df: DataFrame, rows: str, each: int, name: str) -> DataFrame:
         block = F.pmod(F.xxhash64("id"), F.ceil(F.expr(rows) / each))
@@ -359,15 +373,17 @@ def outsiders(nodes: DataFrame, rule: Rule) -> DataFrame:
 
     def columns(held: pa.StructArray):
         labels = np.frombuffer(b"".join(held.field("labels").to_pylist()), ">u2")
-        ids, size, comp = (held.field(c).to_numpy(zero_copy_only=False) for c in ("id", "size", "comp"))
-        return ids, size, comp, labels.reshape(-1, _MINIMA).astype(np.uint16)
+        ids, size, comp, known = (
+            held.field(c).to_numpy(zero_copy_only=False) for c in ("id", "size", "comp", "met")
+        )
+        return ids, size, comp, known, labels.reshape(-1, _MINIMA).astype(np.uint16)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             arrow = batch.schema.field("few").type.value_type.field("id").type
             for few, many in zip(batch.column("few"), batch.column("many"), strict=True):
-                ids, size, comp, labels = columns(few.values)
-                other, others, their, theirs = columns(many.values)
+                ids, size, comp, known, labels = columns(few.values)
+                other, others, their, _, theirs = columns(many.values)
                 low, high = [], []
                 for i in range(len(ids)):
                     able = (their != comp[i]) & (
@@ -375,7 +391,7 @@ def outsiders(nodes: DataFrame, rule: Rule) -> DataFrame:
                     )
                     at = np.flatnonzero(able)
                     agree = (theirs[at] == labels[i]).mean(1)
-                    order = np.lexsort((other[at], -agree))[:BEST]
+                    order = np.lexsort((other[at], -agree))[: step + int(known[i])]
                     at = at[order[agree[order] >= least]]
                     low.append(np.minimum(other[at], ids[i]))
                     high.append(np.maximum(other[at], ids[i]))
@@ -383,7 +399,8 @@ def outsiders(nodes: DataFrame, rule: Rule) -> DataFrame:
                 yield pa.record_batch([pa.array(a, arrow), pa.array(b, arrow)], ["a", "b"])
 
     met = met.select("few", "many").coalesce(tasks)
-    return met.mapInArrow(compare, f"a {kind}, b {kind}").distinct()
+    found = met.mapInArrow(compare, f"a {kind}, b {kind}").distinct()
+    return found.join(tested, ["a", "b"], "left_anti")
 
 
 # --- confirmation and components -------------------------------------------------
@@ -392,8 +409,8 @@ def outsiders(nodes: DataFrame, rule: Rule) -> DataFrame:
 def confirm(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b), a written table, whose full shingle sets are similar enough.
 
-    A document is in at most ``2 * TREES * NEAREST`` pairs of one visit, so neither
-    join has a hot key.
+    A document is in at most ``2 * TREES * NEAREST`` pairs of the trees. In a visit to
+    crowded regions one can be in as many pairs as its regions have outsiders.
     """
     kind = pairs.schema["a"].dataType.simpleString()
     words, percent = rule.words, rule.percent
@@ -507,16 +524,16 @@ def near_duplicates(
     of = materialize(components(links), "forest_components")
     tested = pairs
     near = materialize(nodes.join(crowded, "id").coalesce(few), "forest_near")
-    while not near.isEmpty():
+    left, step = near, BEST
+    while not left.isEmpty():
         now = near.join(of, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        more = outsiders(materialize(now.coalesce(few), "forest_near"), rule)
-        more = more.join(tested, ["a", "b"], "left_anti").coalesce(few)
-        more = materialize(more, "forest_pairs")
+        more = outsiders(materialize(now.coalesce(few), "forest_near"), tested, rule, step)
+        left = more = materialize(more.coalesce(few), "forest_pairs")
+        tested, step = tested.unionByName(more), step * GROWTH
         found = materialize(confirm(more, texts, rule), "forest_links")
         if found.isEmpty():
-            break
+            continue
         links = links.unionByName(found)
-        tested = tested.unionByName(more)
         of = materialize(components(links), "forest_components")
 
     of_class = classes.join(of, "id", "left").select(

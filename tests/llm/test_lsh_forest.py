@@ -64,6 +64,22 @@ def test_a_crowd_around_one_text(spark):
     assert result(near_duplicates(docs)) == brute(rows, Rule())
 
 
+@pytest.mark.parametrize("rule", [Rule(), Rule(5, 80)])
+def test_links_behind_many_near_misses(spark, rule):
+    """Pages of one template, all just under the threshold; a few pairs just above it."""
+    pick = random.Random(5)
+    part = round(200 * (100 - rule.percent + 2) / (2 * (rule.percent - 2)))
+    common = [f"w{pick.randrange(10**6)}" for _ in range(200 + rule.words)]
+    tails = [[f"u{i}x{k}" for k in range(part)] for i in range(200)]
+    for i in range(0, 48, 2):
+        tails[i + 1][:3] = tails[i][:3]
+    rows = [(pick.randrange(10**9), " ".join(common + t)) for t in tails]
+    wanted = brute(rows, rule)
+    assert sum(not kept for _, _, kept in wanted.values()) == 24
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(near_duplicates(docs, rule=rule)) == wanted
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     docs = odd_docs.where("doc_id is not null")
     rows = near_duplicates(docs).collect()
