@@ -36,6 +36,8 @@ MOST_ROWS = 8000
 MOST_FEATURES = 4096
 LEAST_SEEN = 4
 SURE = 0.7
+#: Odds of a feature over the odds of all rows: to be kept, and to be sure at any base.
+LEAST_ODDS, SURE_ODDS = 2.0, 10.0
 PULL = 1.0
 OPENINGS = (3, 4, 5, 6, 7)
 
@@ -292,13 +294,15 @@ def fit_rows(rows: list[bytes], labels: list[int], characters: np.ndarray) -> To
     # Evidence of a feature: log-likelihood ratio of its toxic share to the base.
     share = np.clip(toxic / seen, 1e-9, 1 - 1e-9)
     gain = toxic * np.log(share / base) + (seen - toxic) * np.log((1 - share) / (1 - base))
-    good = (toxic >= LEAST_SEEN) & (share > 2 * base)
+    usual = base / (1 - base)
+    good = (toxic >= LEAST_SEEN) & (share / (1 - share) > LEAST_ODDS * usual)
     order = np.lexsort((names, -np.where(good, gain, -np.inf)))
     chosen = order[: min(MOST_FEATURES, int(good.sum()))]
     place = np.full(len(names), -1)
     place[chosen] = np.arange(len(chosen))
     of, at = owner[place[index] >= 0], place[index][place[index] >= 0]
-    sure = _lower_bound(toxic[chosen], seen[chosen]) >= SURE
+    surely = max(SURE, SURE_ODDS * usual / (1 + SURE_ODDS * usual))
+    sure = _lower_bound(toxic[chosen], seen[chosen]) >= surely
     odds = np.log((toxic[chosen] + 0.5) / (seen[chosen] - toxic[chosen] + 0.5))
     b = math.log(base / (1 - base)) - 3
     prior = np.where(sure, np.maximum(odds - b, 0.0), 0.0)

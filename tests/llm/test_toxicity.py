@@ -96,3 +96,18 @@ def test_odd_rows_and_labels(spark, model, odd_docs, no_docs):
 def test_labels_lang_and_source_are_no_inputs(spark, model):
     docs = spark.createDataFrame([(1, "a text", "en"), (2, "a text", "fr")], "doc_id long, text string, lang string")
     assert len({r.score for r in X.score_documents(docs, model).collect()}) == 1
+
+
+@pytest.mark.parametrize("percent", [5, 45, 60, 90])
+def test_any_share_of_toxic_labels(percent):
+    pick = np.random.default_rng(4)
+    plain = [f"{a}{b}{c}" for a in "bdfgklm" for b in ("ara", "eno", "ilu", "omi") for c in "nrstv"]
+    bad = ["idiot", "moron", "clown", "trash"]
+    labels = [int(i % 100 < percent) for i in range(1500)]
+    texts = [[*pick.choice(plain, 20), *([bad[i % 4]] if y else [])] for i, y in enumerate(labels)]
+    characters = X.model_of_counts(np.zeros(X._SIZE**3))
+    rows = X._document_features([" ".join(t) for t in texts], characters)
+    score = X.scorer(X.fit_rows(rows, labels, characters))
+    clean = [" ".join(pick.choice(plain, 20)) for _ in range(300)]
+    assert np.mean(np.array(score(clean)) < 0.5) > 0.97 and score([""])[0] < 0.5
+    assert np.mean(np.array(score([f"{t} {bad[i % 4]}" for i, t in enumerate(clean)])) >= 0.5) > 0.97
