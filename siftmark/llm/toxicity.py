@@ -70,6 +70,7 @@ SIGN_COST, DROP_COST, REPEAT_COST, OTHER_COST = 1.0, 0.5, 0.7, 12.0
 
 _SIZE = len(LETTERS) + 2  # 0: edge of a word, last: any other letter
 _INDEX = {c: i + 1 for i, c in enumerate(LETTERS)}
+_ENDS = re.compile(r"^[^\w$@!|+(<€£¥]+|[^\w$@!|+(<€£¥]+$")
 _EDGE_SIGNS = re.compile(r"^[^\w$@!|+(<€£¥]+|[^\w$@€£¥]+$")
 _SIGN_TAIL = re.compile(r"([^\w])\1+$|[^\w]{2,}$")
 _APART = re.compile(r"(?<!\S)(?:\S[^\w\s]* +){2,}\S(?!\w)")
@@ -142,9 +143,24 @@ def restore(word: str, model: np.ndarray) -> str:
     A state is the last two letters read; steps either emit a letter that the sign may
     stand for or drop a separator or a repeated letter.
     """
-    edge = 0
+    return _search(word, model, len(word))[-1]
+
+
+def _search(word: str, model: np.ndarray, least: int, repeats: bool = True) -> list[str]:
+    """Likeliest readings of the first ``least`` characters, of one more, up to all.
+
+    Without ``repeats`` every letter is read as often as it stands there.
+    """
+    edge, out = 0, []
+
+    def best() -> str:
+        ends = ((cost + float(model[a, b, edge]), text) for (a, b), (cost, text) in states.items())
+        return min(ends, default=(0.0, ""))[1]
+
     states: dict[tuple[int, int], tuple[float, str]] = {(edge, edge): (0.0, "")}
-    for c in word.lower():
+    for n, c in enumerate(word.lower()):
+        if n >= least:
+            out.append(best())
         steps: list[tuple[str, float]] = []
         if c.isalpha():
             steps.append((c, 0.0))
@@ -161,32 +177,34 @@ def restore(word: str, model: np.ndarray) -> str:
             for letter, paid in steps:
                 at = _INDEX.get(letter, _SIZE - 1)
                 offer((b, at), cost + paid + float(model[a, b, at]), text + letter)
-                if at == b and text:  # the same letter once more: read it once
+                if repeats and at == b and text:  # the same letter once more: read it once
                     offer((a, b), cost + paid + REPEAT_COST, text)
             if drop is not None:
                 offer((a, b), cost + drop, text)
         states = following or states
-    best = min(
-        ((cost + float(model[a, b, edge]), text) for (a, b), (cost, text) in states.items()),
-        default=(0.0, ""),
-    )
-    return best[1]
+    return [*out, best()]
 
 
 def readings(word: str, model: np.ndarray) -> list[str]:
-    """What a word may say: its letters, and its restored form if it looks disguised."""
+    """What a word may say: its letters, and its restored form if it looks disguised.
+
+    Signs at the end may decorate the word or stand for letters, so it is read without
+    them, and with the first one, the first two, up to all of them as letters.
+    """
     core = _SIGN_TAIL.sub("", word.lower())
     core = _EDGE_SIGNS.sub("", core)
-    if not core:
-        return []
     if core.isalpha() and not _TRIPLE.search(core):
-        return [core]
-    found = [w for w in re.split(r"[\W\d_]+", core) if w]
-    if is_disguised(core):
-        restored = restore(core, model)
-        if restored and restored not in found:
-            found.append(restored)
-    return found
+        found = [core]
+    else:
+        found = [w for w in re.split(r"[\W\d_]+", core) if w]
+        if is_disguised(core):
+            found.append(restore(core, model))
+    whole = _ENDS.sub("", word.lower())
+    says = any(map(str.isalpha, whole)) or (len(set(whole)) > 1 and not any(map(str.isdigit, whole)))
+    if says and len(whole) > len(core) and whole.startswith(core):
+        for repeats in (True, False):
+            found += _search(whole, model, len(core) + 1, repeats)
+    return [w for w in dict.fromkeys(found) if w]
 
 
 def spelled_apart(text: str) -> list[str]:

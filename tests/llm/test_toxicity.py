@@ -111,3 +111,19 @@ def test_any_share_of_toxic_labels(percent):
     clean = [" ".join(pick.choice(plain, 20)) for _ in range(300)]
     assert np.mean(np.array(score(clean)) < 0.5) > 0.97 and score([""])[0] < 0.5
     assert np.mean(np.array(score([f"{t} {bad[i % 4]}" for i, t in enumerate(clean)])) >= 0.5) > 0.97
+
+
+def test_disguised_endings(model):
+    """Signs at the end are read as letters too, also before a comma or full stop."""
+    wanted = {
+        "a$$": "ass", "a$$.": "ass", "a$$!": "ass", "dumba$$,": "dumbass", "sh!+": "shit",
+        "Sh!+!!": "shit", "kis$,": "kiss", "idio+": "idiot", "idio+.": "idiot", "1d!0+!": "idiot", "@$$": "ass",
+    }
+    for word, said in wanted.items():
+        assert said in X.readings(word, model.characters), word
+    for word in ("word$$$", "word!!", "word!", "word,", "word+"):
+        assert X.readings(word, model.characters)[0] == "word"
+    for word in ("$$$", "!!", "+", ""):
+        assert X.readings(word, model.characters) == []
+    hidden = X.scorer(model)(["such an idio+.", "you are an 1d!0+!", "that moron!! is here"])
+    assert min(hidden) >= 0.5
