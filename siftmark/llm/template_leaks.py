@@ -8,9 +8,14 @@ every task, the documents' windows the probe side, so documents are never shuffl
 Joined windows are lined up; a document leaks an item when they cover enough of the
 item's template and the slot values agree: each value of the item stands for one value
 of the document throughout (the same: ``exact``; another: ``reparameterised``).
+A window needs two words that are no placeholders; joined ones are lengthened word by
+word, so parts without such windows (numbers, names) count as well.
 
-Null and empty texts leak nothing and are leaked by nothing, nor is an item of fewer
-than ``WINDOW`` template words. A window needs two words that are no placeholders.
+Exact copies are also found by their words as they stand (without case and outer
+punctuation): any run of ``RUN`` words of an item, and the whole of a shorter item.
+One of fewer than ``ALONE`` words must stand alone, as a sentence or line.
+
+Null and empty texts leak nothing and are leaked by nothing.
 Equal items are each reported; repeated documents get equal findings.
 """
 
@@ -18,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from hashlib import blake2b
 from typing import NamedTuple
 
@@ -37,6 +43,10 @@ LEAST_AGREEING = 0.75
 #: How far apart (in template words) joined windows of one leak may be out of line.
 SHIFT = 8
 BLOCK_ITEMS = 20_000
+#: Words of an item that are a leak wherever they stand, whatever the share of the item.
+RUN = 13
+#: An item of fewer words is a leak only as a sentence or line of its own.
+ALONE = 3
 
 # Units and number words.
 UNITS = frozenset(
@@ -56,6 +66,8 @@ _GLUED = re.compile(r"([+-]?[$€£]?\d[\d.,:/]*)-?([a-z%/]+)")
 _OUTER = re.compile(r"^[^\w$€£+-]+|[^\w%]+$")
 _STOPS = (".", "!", "?", ":", ";", '."', '!"', '?"', ".)", "\x00")
 _FACTORS = mix64(np.arange(1, WINDOW + 1, dtype=np.uint64)) | np.uint64(1)
+_ODD = 0x9E3779B97F4A7C15
+_INVERSE = pow(_ODD, -1, 1 << 64)
 _HASHES = mix64(np.arange(101, 108, dtype=np.uint64))
 
 
@@ -97,7 +109,11 @@ class _Templates:
         return [t.replace("\n", " \x00 ").split() for t in texts]
 
     def __call__(self, words: list[list[str]]) -> tuple[np.ndarray, ...]:
-        """hash, owner (text), place (raw word), kind of every template word."""
+        """hash, owner (text), place (raw word), kind of every template word.
+
+        ``plain`` then has hash, owner and place of every raw word, and whether a
+        sentence or line begins or ends with it.
+        """
         if self.at.held > self.at.most:
             self.reset()
         new = list(set().union(*words) - self.at.keys())
@@ -113,6 +129,10 @@ class _Templates:
         place = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         stops = np.r_[0, np.cumsum(self.ends[at])]  # ends among the words before
         real = np.flatnonzero(self.kind[at] != _NONE)
+        own = owner[real]
+        first = np.r_[True, own[1:] != own[:-1]][: len(own)]
+        begins = first | np.r_[True, stops[real[1:]] > stops[real[:-1]]][: len(own)]
+        self.plain = self.value[at[real]], own, place[real], begins, np.r_[begins[1:], True][: len(own)]
         if not len(real):
             none = np.zeros(0, np.int64)
             return none.astype(np.uint64), none, none, none.astype(np.int8)
@@ -147,6 +167,29 @@ def _windows(hashed: np.ndarray, owner: np.ndarray, kind: np.ndarray):
     return mixed[at], at
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.r_[np.uint64(1), np.full(n, base, np.uint64)], dtype=np.uint64)
+
+
+class _Runs:
+    """Hashes of all runs of raw words of one length, by sums of powers."""
+
+    def __init__(self, plain: tuple) -> None:
+        self.hashed, self.owner, self.place, self.begins, self.ends = plain
+        n = len(self.hashed)
+        self.sums = np.r_[np.uint64(0), np.cumsum(mix64(self.hashed) * _powers(_ODD, n)[:n])]
+        self.back = _powers(_INVERSE, n)
+
+    def __call__(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of the run at every place that has one of ``size`` words, and these places."""
+        n = max(0, len(self.hashed) - size + 1)
+        whole = self.owner[:n] == self.owner[size - 1 : size - 1 + n]
+        if size < ALONE:
+            whole = whole & self.begins[:n] & self.ends[size - 1 : size - 1 + n]
+        at = np.flatnonzero(whole)
+        return mix64((self.sums[at + size] - self.sums[at]) * self.back[at] + np.uint64(size)), at
+
+
 class Index(NamedTuple):
     """One block of the benchmark: the build side of the join."""
 
@@ -156,6 +199,11 @@ class Index(NamedTuple):
     ids: list
     words: list  # template hashes of each item
     values: list  # slot value (text) of each template word, None for words
+    runs: np.ndarray  # sorted hashes of runs of raw words
+    run_items: np.ndarray
+    run_places: np.ndarray
+    run_sizes: list  # lengths of these runs
+    sizes: np.ndarray  # raw words of each item
 
 
 def _slot_values(words: list[str], place: np.ndarray, kind: np.ndarray) -> list:
@@ -178,6 +226,19 @@ def build_index(ids: list, texts: list[str]) -> Index:
     hashed, owner, place, kind = make(split)
     mixed, at = _windows(hashed, owner, kind)
     order = np.argsort(mixed, kind="stable")
+    # Sentences inside an item do not matter: a short item is one run.
+    runs = _Runs((*make.plain[:3], *(np.ones(len(make.plain[0]), bool) for _ in range(2))))
+    sizes = np.bincount(runs.owner, minlength=len(ids))
+    begin = np.cumsum(sizes) - sizes
+    each = sorted(set(np.minimum(sizes[sizes > 0], RUN).tolist()))
+    found = []
+    for size in each:
+        value, spot = runs(size)
+        fits = np.minimum(sizes, RUN)[runs.owner[spot]] == size
+        found.append((value[fits], spot[fits]))
+    value, spot = (np.concatenate([f[k] for f in found]) if found else mixed[:0] for k in (0, 1))
+    spot = spot.astype(np.int64)
+    by_run = np.argsort(value, kind="stable")
     starts = np.searchsorted(owner, np.arange(len(ids) + 1))
     per = [slice(a, b) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
     return Index(
@@ -187,6 +248,11 @@ def build_index(ids: list, texts: list[str]) -> Index:
         ids,
         [hashed[p] for p in per],
         [_slot_values(split[i], place[p], kind[p]) for i, p in enumerate(per)],
+        value[by_run],
+        runs.owner[spot][by_run],
+        (spot - begin[runs.owner[spot]])[by_run],
+        each,
+        sizes,
     )
 
 
@@ -205,11 +271,62 @@ def _agreement(pairs: list[tuple[str, str]]) -> tuple[float, bool]:
     return good / len(pairs), all(a == b for a, b in pairs)
 
 
-def leaks_of(texts: list[str], index: Index, make: _Templates, filled: np.ndarray) -> list[list[dict]]:
+def _lengthened(pairs: dict[int, int], words: np.ndarray, others: np.ndarray) -> None:
+    """Add pairs of equal template words next to those given, in place."""
+    for step in (-1, 1):
+        for p, q in sorted(pairs.items(), reverse=step < 0):
+            p, q = p + step, q + step
+            while p not in pairs and 0 <= p < len(words) and 0 <= q < len(others) and words[p] == others[q]:
+                pairs[p] = q
+                p, q = p + step, q + step
+
+
+def _exact_runs(runs: _Runs, index: Index, marked: np.ndarray) -> Iterator[tuple[int, int, float, int]]:
+    """text, item, share of the item, place: the longest run of each text and item."""
+    spots, entries = [], []
+    for size in index.run_sizes:
+        value, at = runs(size)
+        near = marked[(value & np.uint64(len(marked) - 1)).astype(np.int64)]
+        value, at = value[near], at[near]
+        low, high = (np.searchsorted(index.runs, value, side) for side in ("left", "right"))
+        count = high - low
+        spots.append(np.repeat(at, count))
+        entries.append(np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum()))
+    if not spots or not sum(map(len, spots)):
+        return
+    spot, entry = np.concatenate(spots), np.concatenate(entries)
+    text, item = runs.owner[spot], index.run_items[entry]
+    line = spot - index.run_places[entry]
+    order = np.lexsort((spot, line, item, text))
+    text, item, line, spot = text[order], item[order], line[order], spot[order]
+    same = (text[1:] == text[:-1]) & (item[1:] == item[:-1]) & (line[1:] == line[:-1])
+    fresh = np.r_[True, ~(same & (np.diff(spot) == 1))]
+    edges = np.r_[np.flatnonzero(fresh), len(spot)]
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        size = int(index.sizes[item[a]])
+        yield int(text[a]), int(item[a]), (b - a - 1 + min(RUN, size)) / size, int(runs.place[spot[a]])
+
+
+def filled_slots(hashes: np.ndarray) -> np.ndarray:
+    """Which low bits of a hash occur at all."""
+    filled = np.zeros(1 << 22, bool)
+    filled[(hashes & np.uint64(len(filled) - 1)).astype(np.int64)] = True
+    return filled
+
+
+def leaks_of(
+    texts: list[str], index: Index, make: _Templates, filled: np.ndarray, marked: np.ndarray
+) -> list[list[dict]]:
     """Leaks of each text: item_id, kind, coverage, place (raw word) of the best one."""
     out: list[list[dict]] = [[] for _ in texts]
     split = make.split(texts)
     hashed, owner, place, kind = make(split)
+    best: dict[tuple[int, int], dict] = {}
+    for t, i, share, spot in _exact_runs(_Runs(make.plain), index, marked):
+        if (t, i) not in best or best[t, i]["coverage"] < round(share, 6):
+            best[t, i] = {
+                "item_id": index.ids[i], "kind": "exact", "coverage": round(share, 6), "place": spot
+            }
     mixed, at = _windows(hashed, owner, kind)
     near = filled[(mixed & np.uint64(len(filled) - 1)).astype(np.int64)]
     mixed, at = mixed[near], at[near]
@@ -217,6 +334,8 @@ def leaks_of(texts: list[str], index: Index, make: _Templates, filled: np.ndarra
     high = np.searchsorted(index.hashes, mixed, "right")
     found = np.flatnonzero(high > low)
     if not len(found):
+        for (t, _), leak in best.items():
+            out[t].append(leak)
         return out
     starts = np.searchsorted(owner, np.arange(len(texts) + 1))
     count = high[found] - low[found]
@@ -235,7 +354,6 @@ def leaks_of(texts: list[str], index: Index, make: _Templates, filled: np.ndarra
     ]
     groups = np.r_[np.flatnonzero(fresh), len(text)]
     values: dict[int, list] = {}
-    best: dict[tuple[int, int], dict] = {}
     for a, b in zip(groups[:-1].tolist(), groups[1:].tolist(), strict=True):
         t, i = int(text[a]), int(item[a])
         size = len(index.words[i])
@@ -243,6 +361,7 @@ def leaks_of(texts: list[str], index: Index, make: _Templates, filled: np.ndarra
         for p, q in zip(in_item[a:b].tolist(), in_doc[a:b].tolist(), strict=True):
             for k in range(WINDOW):
                 pairs.setdefault(p + k, q + k)
+        _lengthened(pairs, index.words[i], hashed[starts[t] : starts[t + 1]])
         coverage = len(pairs) / size
         if coverage < LEAST_COVERAGE or len(pairs) < min(LEAST_COVERED, size):
             continue
@@ -261,7 +380,7 @@ def leaks_of(texts: list[str], index: Index, make: _Templates, filled: np.ndarra
             "item_id": index.ids[i],
             "kind": "exact" if same else "reparameterised",
             "coverage": round(coverage, 6),
-            "place": int(place[starts[t] + in_doc[a:b].min()]),
+            "place": int(place[starts[t] + min(pairs.values())]),
         }
         if (t, i) not in best or best[t, i]["coverage"] < leak["coverage"]:
             best[t, i] = leak
@@ -305,11 +424,10 @@ def find_leaks(
 
         def make(index=index):
             held, templates = index.value, _Templates()
-            filled = np.zeros(1 << 22, bool)
-            filled[(held.hashes & np.uint64(len(filled) - 1)).astype(np.int64)] = True
+            filled, marked = filled_slots(held.hashes), filled_slots(held.runs)
 
             def work(column: pa.Array) -> list[pa.Array]:
-                return [pa.array(leaks_of(texts_of(column), held, templates, filled), arrow)]
+                return [pa.array(leaks_of(texts_of(column), held, templates, filled, marked), arrow)]
 
             return work
 

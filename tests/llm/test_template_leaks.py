@@ -57,3 +57,26 @@ def test_odd_rows(spark, odd_docs, no_docs, bench):
     assert len(rows) == 9 and all(r.leaks == [] for r in rows)
     assert find_leaks(no_docs, bench).count() == 0
     assert all(r.leaks == [] for r in find_leaks(odd_docs, bench.limit(0)).collect())
+
+
+def test_exact_copies_of_any_item(spark):
+    """Numbers, names, short items and long verbatim parts, in running text."""
+    long = " ".join(f"word{i % 23}of{i}" for i in range(59))
+    items = {
+        1: "What is 12 x 7 + 30 / 4 - 18 ?",
+        2: "3 17 22 91 4 8 15 16 23 42 108 77 65 31 9",
+        3: "Choose: Alice, Bob, Carol. Dave, Erin, Frank. Grace, Heidi, Ivan.",
+        4: "Solve for x",
+        5: "Why?",
+        6: long,
+    }
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    copies = [(i, f"Some text before it. {t} And more after it.") for i, t in items.items()]
+    copies.append((7, "As it says " + " ".join(long.split()[20:49]) + " and so on."))
+    copies += [(8, "Nobody knows why? it is so."), (9, "Solve it for her, 12 x 7 times, 4 8 15 16.")]
+    copies += [(10, "As it says " + " ".join(long.split()[20:32]) + " and so on.")]
+    copies += [(11, "Before it. What is 13 x 9 + 41 / 6 - 25 ? After it.")]
+    docs = spark.createDataFrame(copies, "doc_id long, text string")
+    found = {r.doc_id: [(x.item_id, x.kind) for x in r.leaks] for r in find_leaks(docs, bench).collect()}
+    wanted = {i: [(i, "exact")] for i in items} | {7: [(6, "exact")], 8: [], 9: [], 10: []}
+    assert found == wanted | {11: [(1, "reparameterised")]}
