@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import (
     chat,
+    geometric_search,
     license_scan,
     line_rules,
     lsh_forest,
@@ -98,6 +99,11 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(pages, labelled).drop("url")
 
 
+def op11_geometric_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return geometric_search.rank(docs, read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_perspectives": op1_chat_perspectives,
     "op2_template_leaks": op2_template_leaks,
@@ -109,5 +115,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_rules": op8_line_rules,
     "op9_quality_grades": op9_quality_grades,
     "op10_url_rules": op10_url_rules,
+    "op11_geometric_search": op11_geometric_search,
 }
 __all__ = ["ORACLES", "QUERIES"]
