@@ -95,6 +95,37 @@ class WordCache(dict):
             self.held = 0
 
 
+class WordGenerations:
+    """Results (bytes) by word, in two generations of about ``most`` bytes each.
+
+    Words move to the younger when they are used; when it is full, it becomes the older
+    and that is dropped. So frequent words are never forgotten.
+    """
+
+    def __init__(self, most: int = 16_000_000):
+        self.most, self.held = most, 0
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def __getitem__(self, word: str) -> bytes:
+        return self.young[word]
+
+    def missing(self, words: Iterable[str]) -> list[str]:
+        """The words that are not known; the others are now in the younger generation."""
+        absent = [w for w in words if w not in self.young]
+        known = [w for w in absent if w in self.old]
+        self.grow(known, [self.old[w] for w in known])
+        return [w for w in absent if w not in self.old] if known else absent
+
+    def grow(self, words: list[str], values: list[bytes]) -> None:
+        self.young.update(zip(words, values, strict=True))
+        self.held += sum(map(len, words)) + sum(map(len, values)) + 8 * len(words)
+
+    def make_room(self) -> None:
+        if self.held > self.most:
+            self.old, self.young, self.held = self.young, {}, 0
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over the 64 output bits."""
     x = x.astype(np.uint64, copy=True)

@@ -190,10 +190,105 @@ WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id)
 QUALIFY rank <= 10
 """
 
+
+
+def _edit(state: str, cost: str, mark: str, line: str | None) -> str:
+    """A way through the edits, one edit longer; null if there is no such way."""
+    text = f"{state}.t" if line is None else f"{state}.t || chr(10) || {line}"
+    return (
+        f"CASE WHEN {state} IS NOT NULL THEN"
+        f" {{'c': {state}.c + {cost}, 'a': {state}.a || '{mark}', 't': {text}}} END"
+    )
+
+
+def _cheapest(*ways: str) -> str:
+    return f"list_min(list_filter([{', '.join(ways)}], lambda w: w IS NOT NULL))"
+
+
+def _when(test: str, way: str) -> str:
+    return f"CASE WHEN {test} THEN {way} END"
+
+
+_KEEP = [_edit(f"r{i}", "late", "K", "role || ':' || text") for i in range(4)]
+_USER = [_edit(f"r{i}", "1 + late", "R", "'user:' || text") for i in range(4)]
+_DELETE = [_edit(f"r{i}", "2", "D", None) for i in range(4)]
+
+CONVERSATION_REPAIR = rf"""
+WITH RECURSIVE given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(
+      list_concat([4294967295::BIGINT], flatten(list_transform(
+        string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':'
+          || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+        lambda ch: [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda c, x: CASE WHEN x >= 0 THEN xor(c, x)
+        WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END),
+      4294967295::BIGINT) % 20 AS how
+  FROM conversations),
+damaged AS (
+  SELECT conv_id, turn, CASE how WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM given, unnest(CASE how WHEN 3 THEN [1, 2] ELSE [1] END) WHERE how <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+  FROM damaged),
+faults AS (
+  SELECT *, regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) AS last,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) || left(role, 1) AS pair
+  FROM placed),
+turns AS (
+  SELECT *, CASE WHEN last = '' THEN 'blank' WHEN again THEN 'duplicate'
+      WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    CASE WHEN last NOT IN ('.', '!', '?') THEN 5 ELSE 0 END AS late,
+    last <> '' AND NOT again AS stays, left(role, 1) AS initial
+  FROM faults),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(pos) AS n
+  FROM turns GROUP BY conv_id),
+ways AS (
+  SELECT conv_id, 0::BIGINT AS pos, {{'c': 0, 'a': '', 't': ''}} AS s0,
+    CAST(NULL AS STRUCT(c INTEGER, a VARCHAR, t VARCHAR)) AS s1,
+    CAST(NULL AS STRUCT(c INTEGER, a VARCHAR, t VARCHAR)) AS s2,
+    CAST(NULL AS STRUCT(c INTEGER, a VARCHAR, t VARCHAR)) AS s3
+  FROM counts
+  UNION ALL
+  SELECT conv_id, pos, {_DELETE[0]},
+    {_cheapest(_DELETE[1], _when("stays AND initial = 's'", _KEEP[0]))},
+    {_cheapest(_DELETE[2], *[_when("stays AND initial = 'u'", _KEEP[i]) for i in (0, 1, 3)],
+               *[_when("stays", _USER[i]) for i in (0, 1, 3)])},
+    {_cheapest(_DELETE[3], _when("stays AND initial = 'a'", _KEEP[2]),
+               _when("stays", _edit("r2", "1 + late", "R", "'assistant:' || text")))}
+  FROM (
+    SELECT *, {_cheapest("s3", _edit("r2", "5", "I", "'assistant:'"))} AS r3
+    FROM (
+      SELECT t.*, s0 AS r0, s1 AS r1, s3,
+        {_cheapest("s2", *[_edit(f"s{i}", "5", "I", "'user:'") for i in (0, 1, 3)])} AS r2
+      FROM ways w JOIN turns t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.pos = w.pos + 1))),
+ends AS (
+  SELECT w.conv_id, {_cheapest(
+      "s0", "s3", _edit("s2", "5", "I", "'assistant:'"),
+      _edit("s1", "10", "II", "'user:' || chr(10) || 'assistant:'"))} AS way
+  FROM ways w JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND w.pos = c.n)
+SELECT g.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank,
+  coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(coalesce(way.c, 0) AS BIGINT) AS cost,
+  coalesce(way.a, '') AS audit, sha256(coalesce(substr(way.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) g
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM g.conv_id
+LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM g.conv_id
+"""
+
 ORACLES = {
     "op1_chat_perspectives": chat.ORACLE,
     "op6_lsh_forest": NEAR_DUPLICATES,
     "op8_line_rules": LINE_RULES,
     "op10_url_rules": URL_RULES,
     "op11_geometric_search": RANKED_SEARCH,
+    "op12_audit_repair": CONVERSATION_REPAIR,
 }

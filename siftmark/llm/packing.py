@@ -18,17 +18,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import WordCache, slices, texts_of, without
+from .common import WordGenerations, slices, without
 
 SEQUENCE = 4096
 END_ID = 2
 
-_words: dict[str, WordCache] = {}
+_words: dict[str, WordGenerations] = {}
 _tokenizers: dict[str, object] = {}
 
 
@@ -40,8 +41,11 @@ def _plain_pieces(word: str) -> int:
     return 1 if len(core) == len(word) else 2
 
 
-def _encoder(path: str):
-    """Words (bytes) to ids (bytes of unsigned 32-bit), remembered by this worker."""
+def encoder(path: str):
+    """Texts to their ids, each closed by an end id; words are remembered by this worker.
+
+    Returns all ids one after the other (unsigned 32-bit) and how many each text has.
+    """
     from tokenizers import Tokenizer
 
     if path not in _tokenizers:
@@ -50,14 +54,13 @@ def _encoder(path: str):
         for token, at in tokenizer.get_vocab().items():
             ends[at] = token.endswith("</w>")
         _tokenizers[path] = tokenizer, ends
-        _words[path] = WordCache(14_000_000)
+        _words[path] = WordGenerations()
     (tokenizer, ends), known = _tokenizers[path], _words[path]
 
     def encoded(words: list[str]) -> list[list[int]]:
         return [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def learn(words: list[bytes]) -> None:
-        texts = [w.decode() for w in words]
+    def learn(texts: list[str]) -> None:
         pieces = np.fromiter(map(_plain_pieces, texts), np.int64, len(texts))
         alone = np.flatnonzero(pieces == 0).tolist()
         # Plain words are encoded many to a line; a line's ids are dealt out again by
@@ -74,36 +77,57 @@ def _encoder(path: str):
                 continue
             data, cuts = np.array(ids, "<u4").tobytes(), (4 * stops[due - 1]).tolist()
             known.grow(
-                [words[i] for i in line.tolist()],
+                [texts[i] for i in line.tolist()],
                 [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)],
             )
         known.grow(
-            [words[i] for i in alone],
+            [texts[i] for i in alone],
             [np.array(x, "<u4").tobytes() for x in encoded([texts[i] for i in alone])],
         )
 
-    def encode(texts: list[str]) -> list[bytes]:
-        known.make_room()
-        split = [text.encode().split() for text in texts]
-        new = list(set().union(*split) - known.keys())
+    def encode(texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        new = known.missing(distinct)
         for a in range(0, len(new), 20_000):
             learn(new[a : a + 20_000])
-        return [b"".join([known[w] for w in words]) for words in split]
+        held = [known[w] for w in distinct]
+        size = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        values, first = np.frombuffer(b"".join(held), "<u4"), np.cumsum(size) - size
+        known.make_room()
+        code = words.indices.to_numpy()
+        n = size[code]
+        until = np.r_[0, np.cumsum(n)]
+        bounds = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
+        counts = np.diff(until[bounds])
+        # Place of every id: those before it, and an end id for every text before it.
+        ids = np.full(len(counts) + int(until[-1]), end_id, "<u4")
+        row = np.repeat(np.arange(len(counts)), counts)
+        at = np.arange(len(row))
+        ids[at + row] = values[at + np.repeat(first[code] - until[:-1], n)]
+        return ids, counts + 1
 
     return encode
 
 
+def consecutive(ids: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Binary values of ``n`` unsigned 32-bit ids each, one after the other in ``ids``."""
+    bounds = np.r_[0, 4 * np.cumsum(n)].astype(np.int32)
+    return pa.Array.from_buffers(
+        pa.binary(), len(n), [None, pa.py_buffer(bounds), pa.py_buffer(ids)]
+    )
+
+
 def tokenized(docs: DataFrame, path: str, key: str, text: str, end_id: int = END_ID) -> DataFrame:
     """Written table (part, start, key, n, ids): ids as bytes, start within its part."""
     schema = docs.select(F.col(key)).schema
     kind = docs.schema[key].dataType.simpleString()
-    closing = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run, done, part = _encoder(path), 0, TaskContext.get().partitionId()
+        run, done, part = encoder(path), 0, TaskContext.get().partitionId()
         for rows in slices(batches, text):
-            ids = [x + closing for x in run(texts_of(rows.column(text)))]
-            n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            ids, n = run(rows.column(text), end_id)
             start = done + np.cumsum(n) - n
             done += int(n.sum())
             yield pa.record_batch(
@@ -112,7 +136,7 @@ def tokenized(docs: DataFrame, path: str, key: str, text: str, end_id: int = END
                     pa.array(start),
                     rows.column(key),
                     pa.array(n),
-                    pa.array(ids, pa.binary()),
+                    consecutive(ids, n),
                 ],
                 ["part", "start", key, "n", "ids"],
             )
@@ -156,17 +180,15 @@ def pack(
             )
             start = np.maximum(sequence * length, begin[row]) - begin[row]
             stop = np.minimum((sequence + 1) * length, (begin + n)[row]) - begin[row]
-            ids = rows.column("ids").to_pylist()
-            held = [
-                ids[i][4 * a : 4 * b]
-                for i, a, b in zip(row.tolist(), start.tolist(), stop.tolist(), strict=True)
-            ]
+            held = rows.column("ids").cast(pa.binary())  # the pieces follow each other in its buffer
+            first = held.offset and int(np.frombuffer(held.buffers()[1], np.int32)[held.offset])
+            data = np.frombuffer(held.buffers()[2], np.uint8)[first:] if len(held) else b""
             yield pa.record_batch(
                 [
                     rows.column(key).take(pa.array(row)),
                     pa.array(start),
                     pa.array(stop - start),
-                    pa.array(held, pa.binary()),
+                    consecutive(data, stop - start),
                     pa.array(n[row]),
                     pa.array(sequence),
                     pa.array((begin[row] + start) % length),

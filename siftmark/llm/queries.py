@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    audit_repair,
+    bin_slack,
     chat,
     geometric_search,
     license_scan,
@@ -104,6 +106,17 @@ def op11_geometric_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometric_search.rank(docs, read(spark, sf_dir, "benchmark"))
 
 
+def op12_audit_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = audit_repair.damage(read(spark, sf_dir, "conversations"))
+    return audit_repair.repair(turns, dropped=F.col("dropped"))
+
+
+def op13_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = bin_slack.pack_tightly(docs, tokenizer("word_bpe_49k.json"))
+    return packing.piece_digests(pieces)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_perspectives": op1_chat_perspectives,
     "op2_template_leaks": op2_template_leaks,
@@ -116,5 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_grades": op9_quality_grades,
     "op10_url_rules": op10_url_rules,
     "op11_geometric_search": op11_geometric_search,
+    "op12_audit_repair": op12_audit_repair,
+    "op13_bin_slack": op13_bin_slack,
 }
 __all__ = ["ORACLES", "QUERIES"]

@@ -4,9 +4,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
-from siftmark.llm.packing import END_ID, _encoder, pack, piece_digests, sequences
+from siftmark.llm.common import WordGenerations
+from siftmark.llm.packing import END_ID, encoder, pack, piece_digests, sequences
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -18,8 +20,21 @@ def ids_of(texts):
 
 def test_words_encode_as_the_library_does():
     texts = ["The don't <|endoftext|>x, İstanbul é ΣαΣ 12ab", "", "a\xa0b 3.5%%%"]
-    own = [np.frombuffer(x, "<u4").tolist() for x in _encoder(PATH)(texts)]
-    assert [[*x, END_ID] for x in own] == ids_of(texts)
+    for column in (pa.array(texts), pa.array(["before", *texts, "after"]).slice(1, len(texts))):
+        ids, n = encoder(PATH)(column, END_ID)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == ids_of(texts)
+
+
+def test_word_generations():
+    known = WordGenerations(100)
+    for i in range(50):
+        words = ["often", f"rare{i}"]
+        new = known.missing(words)
+        assert new == (words if i == 0 else words[1:])
+        known.grow(new, [w.encode() for w in new])
+        assert [known[w] for w in words] == [w.encode() for w in words]
+        known.make_room()
+        assert len(known.young) + len(known.old) < 12
 
 
 def check(docs, length):
