@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import HEADING_BOOST, K1, B
@@ -25,8 +25,13 @@ from ..functions.text import mark_verbatim, tokens
 from ..schemas import FORWARD, RANKED
 from ..session import local_rows, materialize, partitions_for, table_path
 from . import ordering
+from .block_max import BLOCK_CHUNKS, BlockSearch, HotLists
 
 _CHUNKS_PER_BUCKET = 10_000
+# A term in more chunks than this, and in more than a thousandth of all, is hot. So hot
+# terms number at most a thousand times the distinct terms of a mean chunk.
+HOT_LIST = 20_000
+_HOT_SHARE = 1_000
 SCORE_DIGITS = 9  # ranks compare rounded scores, so summation order cannot matter
 
 
@@ -86,12 +91,16 @@ def postings(forward_rows: DataFrame) -> DataFrame:
     return exploded.select("term", "chunk_id", F.get("tfs", F.col("at")).alias("tf"), "doc_len")
 
 
+def _stats() -> list[Column]:
+    return [
+        F.count(F.lit(1)).alias("n_docs"),
+        F.coalesce(F.avg("doc_len"), F.lit(0.0)).alias("avg_doc_len"),
+    ]
+
+
 def corpus_stats(forward_rows: DataFrame) -> DataFrame:
     """One row: chunk count (token-less chunks included) and mean weighted length."""
-    return forward_rows.agg(
-        F.count("*").alias("n_docs"),
-        F.coalesce(F.avg("doc_len"), F.lit(0.0)).alias("avg_doc_len"),
-    )
+    return forward_rows.agg(*_stats())
 
 
 def document_frequency(posting_rows: DataFrame) -> DataFrame:
@@ -123,7 +132,8 @@ class Bm25Index:
     posting lists, so a query learns its frequencies without reading any list.
     ``inverted`` is laid out by term: foldered by a hash bucket of the term and
     sorted by (term, chunk_id), so a query opens a few folders and skips to its
-    posting lists. Without it, searches scan the forward relation instead.
+    posting lists. Without it, searches scan the forward relation instead. Terms in more
+    than ``hot_list`` chunks have their postings in ``hot``, by blocks of chunks.
     """
 
     forward: DataFrame
@@ -133,21 +143,44 @@ class Bm25Index:
     n_docs: int
     avg_doc_len: float
     stem: bool
+    hot: HotLists | None = None
+    hot_list: int = HOT_LIST
 
     @classmethod
-    def build(cls, chunks: DataFrame, stem: bool = True, inverted: bool = True) -> Bm25Index:
+    def build(
+        cls,
+        chunks: DataFrame,
+        stem: bool = True,
+        inverted: bool = True,
+        hot_list: int = HOT_LIST,
+        block_chunks: int = BLOCK_CHUNKS,
+    ) -> Bm25Index:
         spark = chunks.sparkSession
-        rows = materialize(forward(chunks, stem), "forward")
-        stats = corpus_stats(rows).first()
-        buckets = partitions_for(spark, stats.n_docs, _CHUNKS_PER_BUCKET)
-        lists = _write_inverted(rows, buckets) if inverted else None
+        rows, stats = _write_forward(chunks, stem)
+        n_docs, mean = stats["n_docs"], stats["avg_doc_len"]
+        buckets = partitions_for(spark, n_docs, _CHUNKS_PER_BUCKET)
         terms = _write_terms(rows, buckets)
-        return cls(rows, lists, terms, buckets, stats.n_docs, stats.avg_doc_len, stem)
+        hot_list, lists, hot = max(hot_list, n_docs // _HOT_SHARE), None, None
+        if inverted:
+            frequent = terms.where(F.col("df") > hot_list).select("term")
+            all_lists = lists = postings(rows)
+            if n_docs > hot_list and not frequent.isEmpty():
+                # Bounded as said at HOT_LIST.
+                lists = all_lists.join(F.broadcast(frequent), "term", "left_anti")
+                hot = HotLists.build(
+                    all_lists.join(F.broadcast(frequent), "term"),
+                    bm25_weight(F.col("tf"), F.col("doc_len"), mean),
+                    _bucket("term", buckets),
+                    block_chunks,
+                )
+            lists = _write_inverted(lists, buckets)
+        return cls(rows, lists, terms, buckets, n_docs, mean, stem, hot, hot_list)
 
     def postings(self) -> DataFrame:
         if self.inverted is None:
             return postings(self.forward)
-        return self.inverted.drop("bucket")
+        rare = self.inverted.drop("bucket")
+        return rare if self.hot is None else rare.unionByName(self.hot.postings.drop("block", "slab"))
 
     def _folders(self, terms: list[str]) -> list[int]:
         """Buckets that can hold the given terms."""
@@ -163,7 +196,7 @@ class Bm25Index:
         return {row.term: row.df for row in rows.select("term", "df").collect()}
 
     def matching(self, terms: list[str]) -> DataFrame:
-        """Posting lists of the given terms."""
+        """Posting lists of the given terms, hot ones excepted if there are blocks."""
         if self.inverted is None:
             return self.postings().where(F.col("term").isin(terms))
         return self.inverted.where(
@@ -183,9 +216,27 @@ class Bm25Index:
         known = local_rows(spark, term=list(counted), df=list(counted.values()))
         value = idf(F.lit(self.n_docs), F.col("df")).alias("idf")
         weights = {r.term: wanted[r.term] * r.idf for r in known.select("term", value).collect()}
+        blocks = self.block_search(weights, counted)
+        if blocks is not None:
+            return top_k(blocks.scores(k), k)
         matched = self.matching(sorted(counted))
         return top_k(score_postings(matched, weights, self.avg_doc_len), k)
 
+    def block_search(
+        self, weights: dict[str, float], counted: dict[str, int]
+    ) -> BlockSearch | None:
+        """The query by blocks, or None if none of its terms is hot."""
+        hot = {t: w for t, w in weights.items() if counted[t] > self.hot_list}
+        if self.hot is None or not hot:
+            return None
+        rare = {t: w for t, w in weights.items() if t not in hot}
+        rows = self.matching(sorted(rare)) if rare else self.matching([""]).limit(0)
+
+        def score(postings: DataFrame, some: dict[str, float]) -> DataFrame:
+            return score_postings(postings, some, self.avg_doc_len)
+
+        return BlockSearch(self.hot, rows, rare, hot, self._folders(sorted(hot)), score)
+
     def term_count(self) -> int:
         return self.terms.count()
 
@@ -200,12 +251,19 @@ def _bucket(term: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def _write_inverted(forward_rows: DataFrame, buckets: int) -> DataFrame:
+def _write_forward(chunks: DataFrame, stem: bool) -> tuple[DataFrame, dict]:
+    """The written forward relation, and its :func:`corpus_stats` observed in the write."""
+    seen = Observation()
+    observed = forward(chunks, stem).observe(seen, *_stats())
+    return materialize(observed, "forward"), seen.get
+
+
+def _write_inverted(posting_rows: DataFrame, buckets: int) -> DataFrame:
     """Range-partition by (bucket, term, chunk_id): a hot term spans many tasks."""
-    spark = forward_rows.sparkSession
+    spark = posting_rows.sparkSession
     keys = ["bucket", "term", "chunk_id"]
     laid_out = (
-        postings(forward_rows)
+        posting_rows
         .withColumn("bucket", _bucket("term", buckets))
         .repartitionByRange(*keys)
         .sortWithinPartitions(*keys)

@@ -308,7 +308,9 @@ ORACLES = {
     "chunk_oversize": _with(_DOCUMENT_CHUNKS) + _CHUNK_OUT,
     "chunk_headings": _with(_CONVERSATION_CHUNKS) + _CHUNK_OUT,
     "bm25_postings": _with(_ROW_CHUNKS, _BODY_POSTINGS, _LENGTHS)
-    + "SELECT term, id AS chunk_id, tf, dl AS doc_len FROM posted JOIN lengths USING (id)",
+    + """SELECT id AS chunk_id, count(*) AS terms, sum(tf) AS total_tf, max(dl) AS doc_len,
+        md5(string_agg(term || ':' || tf::BIGINT, ' ' ORDER BY term || ':' || tf::BIGINT)) AS digest
+      FROM posted JOIN lengths USING (id) GROUP BY id""",
     "term_df_idf": _with(_ROW_CHUNKS, _BODY_POSTINGS)
     + """SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf
       FROM (SELECT term, count(*) AS df FROM posted GROUP BY term),
@@ -322,6 +324,8 @@ ORACLES = {
         false AS dense, 0::BIGINT AS dim""",
     "bm25_topk": _top(_ROW_CHUNKS, _BODY_POSTINGS, QUERY),
     "bm25_inverted_topk": _top(_ROW_CHUNKS, _BODY_POSTINGS, QUERY),
+    "bm25_block_max": _top(_ROW_CHUNKS, _BODY_POSTINGS, QUERY),
+    "bm25_block_max_hot_only": _top(_ROW_CHUNKS, _BODY_POSTINGS, REPEATED_QUERY),
     "bm25_repeated_term": _top(_ROW_CHUNKS, _BODY_POSTINGS, REPEATED_QUERY),
     "bm25_stemmed": _with(
         _ROW_CHUNKS, _stemmed_postings(QUERY), _LENGTHS, _lexical(QUERY, stemmed=True)

@@ -179,7 +179,16 @@ def chunk_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return postings(forward(row_chunks(spark, sf_dir), stem=False))
+    """Every posting, as one row per chunk: its list in the order of terms, digested."""
+    entry = F.concat_ws(":", "term", F.col("tf").cast("long").cast("string"))
+    rows = postings(forward(row_chunks(spark, sf_dir), stem=False))
+    # A chunk's postings come from one row, so a group is as bounded as a chunk.
+    return rows.groupBy("chunk_id").agg(
+        F.count("*").alias("terms"),
+        F.sum("tf").alias("total_tf"),
+        F.max("doc_len").alias("doc_len"),
+        F.md5(F.array_join(F.array_sort(F.collect_list(entry)), " ").cast("binary")).alias("digest"),
+    )
 
 
 def term_df_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,6 +216,22 @@ def bm25_inverted_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(_index(row_chunks(spark, sf_dir), inverted=True).search(QUERY, POOL))
 
 
+def _by_blocks(spark: SparkSession, sf_dir: str, query: str, hot_list: int) -> DataFrame:
+    """Terms in more than ``hot_list`` chunks are hot, blocks of 32 chunks."""
+    index = Bm25Index.build(
+        row_chunks(spark, sf_dir), stem=False, hot_list=hot_list, block_chunks=32
+    )
+    return _scored(index.search(query, POOL))
+
+
+def bm25_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_blocks(spark, sf_dir, QUERY, 100)
+
+
+def bm25_block_max_hot_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_blocks(spark, sf_dir, REPEATED_QUERY, 1)
+
+
 def bm25_repeated_term(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(_index(row_chunks(spark, sf_dir)).search(REPEATED_QUERY, POOL))
 
@@ -442,7 +467,7 @@ QUERIES = {
         token_counts, stemmed_terms, identifier_parts, alphabetic_words, snippets, indexable_texts,
         ignore_filter, path_order, chunk_oversize, chunk_headings,
         bm25_postings, term_df_idf, doc_len_stats, index_stats,
-        bm25_topk, bm25_inverted_topk, bm25_repeated_term, bm25_heading_boost, bm25_stemmed,
+        bm25_topk, bm25_inverted_topk, bm25_block_max, bm25_block_max_hot_only, bm25_repeated_term, bm25_heading_boost, bm25_stemmed,
         l2_normalized, cosine_topk, rrf_fuse, rrf_weighted, phrase_bonus,
         collapse_per_page_0, collapse_per_page_1, collapse_per_page_2,
         hybrid_search, hybrid_search_stemmed, hybrid_search_large_k,
