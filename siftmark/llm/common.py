@@ -107,8 +107,9 @@ class WordGenerations:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def __getitem__(self, word: str) -> bytes:
-        return self.young[word]
+    def values(self, words: Iterable[str]) -> Iterator[bytes]:
+        """Results of words that are known."""
+        return map(self.young.__getitem__, words)
 
     def missing(self, words: Iterable[str]) -> list[str]:
         """The words that are not known; the others are now in the younger generation."""

@@ -14,6 +14,7 @@ are numbered: a lost executor cannot move a document.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,12 +34,19 @@ _words: dict[str, WordGenerations] = {}
 _tokenizers: dict[str, object] = {}
 
 
-def _plain_pieces(word: str) -> int:
+#: Words of Latin letters and closing marks, as the tokenizer's patterns cut them: letters
+#: in one pre-token, the marks in a second. Letters that become several when lowered are not.
+_MARKS = ".,;:!?%*&$#|"
+_PLAIN = "^[A-Za-zÀ-ÖØ-öø-įı-ɏ]+[.,;:!?%*&$#|]*$"
+_LINE = 500
+
+
+def _plain_pieces(words: pa.Array) -> np.ndarray:
     """How many pre-tokens a word of letters and closing marks has; 0 for other words."""
-    core = word.rstrip(".,;:!?%*&$#|")
-    if not core.lower().isalpha():
-        return 0
-    return 1 if len(core) == len(word) else 2
+    core = pc.binary_length(pc.ascii_rtrim(words, characters=_MARKS))
+    marked = pc.not_equal(core, pc.binary_length(words)).to_numpy(zero_copy_only=False)
+    plain = pc.match_substring_regex(words, _PLAIN).to_numpy(zero_copy_only=False)
+    return np.where(plain, 1 + marked, 0)
 
 
 def encoder(path: str):
@@ -46,6 +54,8 @@ def encoder(path: str):
 
     Returns all ids one after the other (unsigned 32-bit) and how many each text has.
     """
+    # Spark runs a worker on every core; threads of their own only wait for each other.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     if path not in _tokenizers:
@@ -61,12 +71,12 @@ def encoder(path: str):
         return [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def learn(texts: list[str]) -> None:
-        pieces = np.fromiter(map(_plain_pieces, texts), np.int64, len(texts))
+        pieces = _plain_pieces(pa.array(texts, pa.string()))
         alone = np.flatnonzero(pieces == 0).tolist()
         # Plain words are encoded many to a line; a line's ids are dealt out again by
         # the ids that close a pre-token.
         plain = np.flatnonzero(pieces > 0)
-        lines = [plain[a : a + 200] for a in range(0, len(plain), 200)]
+        lines = [plain[a : a + _LINE] for a in range(0, len(plain), _LINE)]
         for line, ids in zip(
             lines, encoded([" ".join([texts[i] for i in at.tolist()]) for at in lines]), strict=True
         ):
@@ -88,25 +98,19 @@ def encoder(path: str):
     def encode(texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         words = split.flatten().dictionary_encode()
-        distinct = words.dictionary.to_pylist()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         new = known.missing(distinct)
         for a in range(0, len(new), 20_000):
             learn(new[a : a + 20_000])
-        held = [known[w] for w in distinct]
-        size = np.fromiter(map(len, held), np.int64, len(held)) // 4
-        values, first = np.frombuffer(b"".join(held), "<u4"), np.cumsum(size) - size
+        held = [*known.values(distinct), np.array([end_id], "<u4").tobytes()]
         known.make_room()
-        code = words.indices.to_numpy()
-        n = size[code]
-        until = np.r_[0, np.cumsum(n)]
-        bounds = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
-        counts = np.diff(until[bounds])
-        # Place of every id: those before it, and an end id for every text before it.
-        ids = np.full(len(counts) + int(until[-1]), end_id, "<u4")
-        row = np.repeat(np.arange(len(counts)), counts)
-        at = np.arange(len(row))
-        ids[at + row] = values[at + np.repeat(first[code] - until[:-1], n)]
-        return ids, counts + 1
+        # A text is its words and the end id; Arrow copies their ids one after the other.
+        stops = split.offsets.to_numpy()[1:] - split.offsets[0].as_py()
+        codes = np.insert(words.indices.to_numpy(), stops, len(distinct))
+        ids = pa.array(held, pa.binary()).take(pa.array(codes))
+        bounds = np.frombuffer(ids.buffers()[1], np.int32)[: len(codes) + 1] // 4
+        n = np.diff(bounds[stops + np.arange(1, len(stops) + 1)], prepend=0)
+        return np.frombuffer(ids.buffers()[2], "<u4")[: int(bounds[-1])], n.astype(np.int64)
 
     return encode
 

@@ -32,7 +32,7 @@ def test_word_generations():
         new = known.missing(words)
         assert new == (words if i == 0 else words[1:])
         known.grow(new, [w.encode() for w in new])
-        assert [known[w] for w in words] == [w.encode() for w in words]
+        assert list(known.values(words)) == [w.encode() for w in words]
         known.make_room()
         assert len(known.young) + len(known.old) < 12
 
