@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import logging
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 log = logging.getLogger("siftmark")
 
@@ -29,6 +29,11 @@ class InvalidGlob(ValueError):
 
 
 def glob_to_regex(glob: str) -> str:
+    """A Java regular expression that finds the paths the glob covers."""
+    return "(?s)^(?:" + _body(glob) + r")\z"
+
+
+def _body(glob: str) -> str:
     out, at, depth = [], 0, 0
     while at < len(glob):
         char = glob[at]
@@ -66,7 +71,7 @@ def glob_to_regex(glob: str) -> str:
             at += 1
     if depth:
         raise InvalidGlob(f"unclosed alternation in {glob!r}")
-    return "(?s)^(?:" + "".join(out) + r")\z"
+    return "".join(out)
 
 
 def _literal(char: str) -> str:
@@ -87,12 +92,27 @@ def _class_regex(body: str, negated: bool, glob: str) -> str:
     return f"[{'^' if negated else ''}{''.join(parts)}]"
 
 
-def ignore_regex(globs: Iterable[str]) -> str | None:
-    """One pattern for all valid globs; invalid ones are logged and dropped."""
+def _valid(globs: Iterable[str]) -> list[str]:
+    """Globs that can be understood; the others are logged."""
     valid = []
     for glob in globs:
         try:
-            valid.append(glob_to_regex(glob))
+            _body(glob)
+            valid.append(glob)
         except InvalidGlob as err:
             log.warning("ignore pattern dropped: %s", err)
-    return "|".join(f"(?:{v})" for v in valid) or None
+    return valid
+
+
+def ignore_regex(globs: Iterable[str]) -> str | None:
+    """One pattern for all valid globs; invalid ones are logged and dropped."""
+    return "|".join(f"(?:{glob_to_regex(g)})" for g in _valid(globs)) or None
+
+
+def ignore_test(globs: Iterable[str]) -> Callable[[str], bool]:
+    """The same as a Python function of a path; a root itself (no path) is never ignored."""
+    whole = "|".join(f"(?:{_body(g)})" for g in _valid(globs))
+    if not whole:
+        return lambda path: False
+    found = re.compile(whole, re.DOTALL).fullmatch
+    return lambda path: bool(path and found(path))

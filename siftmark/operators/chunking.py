@@ -70,26 +70,31 @@ def _assemble(carried: pa.RecordBatch, origin: list[int], found: list[tuple]) ->
     )
 
 
+def path_key(path: Column | str) -> Column:
+    """A string that compares as the components of the path do."""
+    return F.array_join(path_components(path), "\x01")
+
+
 def document_order_key(docs: DataFrame) -> Column:
     """One string whose byte order is the (root, path, repeated root) order.
 
     U+0001 stands for ``/`` and U+0000 ends a field, so a shorter path sorts before
     its own extensions and separators sort before every other character.
     """
-    fields = [F.array_join(path_components(name), "\x01") for name in ("root", "path")]
+    fields = [path_key(name) for name in ("root", "path")]
     if "_seq" in docs.columns:
         fields.append(F.lpad(F.col("_seq").cast("string"), 10, "0"))
     return F.concat_ws("\x00", *fields)
 
 
-def order_documents(docs: DataFrame) -> DataFrame:
+def order_documents(docs: DataFrame, total: int | None = None) -> DataFrame:
     """Put documents into (root, path) order across and within partitions.
 
     Works on any relation with ``root`` and ``path``: for files it runs on the bare
-    listing, before contents are read.
+    listing, before contents are read. ``total`` is the number of rows, if known.
     """
     ties = ["source"] if "source" in docs.columns else []
-    return range_partition(docs, document_order_key(docs), ties)
+    return range_partition(docs, document_order_key(docs), ties, total)
 
 
 def build_chunks(ordered_docs: DataFrame, cfg: Config) -> NumberedTable:
@@ -100,4 +105,4 @@ def build_chunks(ordered_docs: DataFrame, cfg: Config) -> NumberedTable:
     """
     columns = [f.name for f in PIECES.fields]
     chunked = chunk_documents(ordered_docs, cfg).select(*columns)
-    return number_in_place(chunked, "id", "chunks")
+    return number_in_place(chunked, "id", "chunks", path_key("path"))

@@ -7,6 +7,10 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import local_rows
+from .chunking import path_key
+from .ordering import NumberedTable
+
 SEPARATOR = "\n\n"
 
 
@@ -17,9 +21,16 @@ def normal_path(path: str) -> str:
     return path
 
 
-def document_chunks(chunks: DataFrame, path: str) -> DataFrame:
-    """Chunks of one document in order; same-named files of other roots merge."""
-    return chunks.where(F.col("path") == normal_path(path)).orderBy("id")
+def document_chunks(chunks: DataFrame | NumberedTable, path: str) -> DataFrame:
+    """Chunks of one document in order; same-named files of other roots merge.
+
+    Of a numbered table with zones only the slabs that can hold the path are opened.
+    """
+    path = normal_path(path)
+    if isinstance(chunks, NumberedTable):
+        named = local_rows(chunks.staged.sparkSession, path=[path])
+        chunks = chunks.around(named.select(path_key("path").alias("k")).first().k)
+    return chunks.where(F.col("path") == path).orderBy("id")
 
 
 def document_parts(chunks: DataFrame) -> DataFrame:
@@ -35,7 +46,7 @@ def document_parts(chunks: DataFrame) -> DataFrame:
     return joined.select("path", "id", part.alias("part"))
 
 
-def document_text(chunks: DataFrame, path: str) -> str | None:
+def document_text(chunks: DataFrame | NumberedTable, path: str) -> str | None:
     """Full text of one document, streamed partition by partition."""
     rows = document_chunks(chunks, path).select("text").toLocalIterator()
     texts = [row.text for row in rows]

@@ -39,11 +39,13 @@ class NumberedTable:
 
     ``offsets`` has one ``(partition, first id, rows)`` entry per written
     partition, so it is bounded by the task count and never grows with the rows.
+    ``zones`` has the least and largest value of a key of each partition, if one was named.
     """
 
     staged: DataFrame
     offsets: tuple[tuple[int, int, int], ...]
     id_name: str
+    zones: tuple[tuple[str, str], ...] = ()
 
     @property
     def count(self) -> int:
@@ -65,6 +67,17 @@ class NumberedTable:
         wanted = reduce(or_, [F.col(_POS).isin(g) for g in groups], F.lit(False))
         return self._number(self.staged.where(F.col(_SLAB).isin(sorted(slabs)) & wanted))
 
+    def around(self, key: str) -> DataFrame:
+        """Rows of the slabs with a partition whose zone holds ``key``, all if none are known."""
+        if not self.zones:
+            return self.rows()
+        slabs = {
+            part // _PARTS_PER_SLAB
+            for (part, _, _), (low, high) in zip(self.offsets, self.zones, strict=True)
+            if low is not None and low <= key <= high
+        }
+        return self._number(self.staged.where(F.col(_SLAB).isin(sorted(slabs))))
+
     def fetch(self, wanted: DataFrame, key: str, at_most: int) -> DataFrame:
         """``wanted`` with the columns of the rows whose id is in its column ``key``.
 
@@ -106,13 +119,15 @@ class NumberedTable:
         )
 
 
-def range_partition(df: DataFrame, key: Column, ties: list[str]) -> DataFrame:
+def range_partition(
+    df: DataFrame, key: Column, ties: list[str], total: int | None = None
+) -> DataFrame:
     """Range-partition rows by a string key and sort each partition.
 
     Equal keys are told apart by a hash of the ``ties``, so a frequent key spans
     several ranges, and a row's place follows from its contents alone.
     """
-    total = df.count()
+    total = df.count() if total is None else total
     parts = partitions_for(df.sparkSession, total, _ROWS_PER_RANGE)
     tie = F.xxhash64(*ties) if ties else F.lit(0).cast("long")
     keyed = df.withColumn("_key", key).withColumn("_tie", tie)
@@ -121,11 +136,14 @@ def range_partition(df: DataFrame, key: Column, ties: list[str]) -> DataFrame:
     return ranged.drop(*order)
 
 
-def number_in_place(ordered: DataFrame, id_name: str, name: str) -> NumberedTable:
+def number_in_place(
+    ordered: DataFrame, id_name: str, name: str, zone: Column | None = None
+) -> NumberedTable:
     """Number the rows of a DataFrame whose partitions are already in global order.
 
     The written table is foldered by slabs of neighbouring partitions, so a lookup
-    opens only the slabs that can hold its ids.
+    opens only the slabs that can hold its ids. ``zone`` is a string key to keep the
+    range of for each partition.
     """
     part = F.shiftright(_POS, _PART_SHIFT)
     staged = materialize(
@@ -137,13 +155,17 @@ def number_in_place(ordered: DataFrame, id_name: str, name: str) -> NumberedTabl
     )
     counted = (
         staged.groupBy(F.shiftright(_POS, _PART_SHIFT).cast("int").alias("_part"))
-        .agg(F.count("*").alias("n"))
+        .agg(
+            F.count("*").alias("n"),
+            *[] if zone is None else [F.min(zone).alias("low"), F.max(zone).alias("high")],
+        )
         .orderBy("_part")
         .collect()
     )
     firsts = [0, *accumulate(row.n for row in counted)]
     offsets = tuple((row._part, first, row.n) for row, first in zip(counted, firsts))
-    return NumberedTable(staged, offsets, id_name)
+    zones = () if zone is None else tuple((row.low, row.high) for row in counted)
+    return NumberedTable(staged, offsets, id_name, zones)
 
 
 def first_rows(df: DataFrame, order: list[Column], k: int) -> DataFrame:

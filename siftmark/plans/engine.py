@@ -8,13 +8,14 @@ from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from functools import cached_property
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.markdown import WHITE_SPACE
 from ..functions.text import indexable_text, snippet
 from ..operators.chunking import build_chunks, order_documents
+from ..operators.clustered import ClusteredIndex
 from ..operators.dense import VectorIndex
 from ..operators.documents import document_chunks, document_text
 from ..operators.embedding import get_or_embed
@@ -37,6 +38,19 @@ def _phase(name: str) -> Iterator[None]:
     log.info("%s ms=%d", name, (time.monotonic() - started) * 1000)
 
 
+# From so many vectors on they are laid out by clusters; the results are the same.
+CLUSTERED_VECTORS = 100_000
+
+
+def _written(index: VectorIndex) -> VectorIndex | ClusteredIndex:
+    """The index as a table, by clusters if it is large."""
+    seen = Observation()
+    rows = materialize(index.rows.observe(seen, F.count(F.lit(1)).alias("n")), "vectors")
+    if seen.get["n"] < CLUSTERED_VECTORS:
+        return VectorIndex(rows, index.dim)
+    return ClusteredIndex.of_unit(rows, index.dim, seen.get["n"])
+
+
 class SearchEngine:
     """Hybrid search over one set of chunks.
 
@@ -63,8 +77,7 @@ class SearchEngine:
 
     def use_vectors(self, vectors: DataFrame, dim: int | None = None) -> None:
         """Take the dense index from a (chunk_id, embedding) table instead of a model."""
-        index = VectorIndex.build(vectors, dim)
-        self.vectors = VectorIndex(materialize(index.rows, "vectors"), index.dim)
+        self.vectors = _written(VectorIndex.build(vectors, dim))
 
     @classmethod
     def build(
@@ -97,7 +110,7 @@ class SearchEngine:
             return Bm25Index.build(self.chunks, stem=self.cfg.stem)
 
     @cached_property
-    def vectors(self) -> VectorIndex:
+    def vectors(self) -> VectorIndex | ClusteredIndex:
         """Dense index over every chunk's indexable text, through the embedding cache."""
         with _phase("dense tables"):
             texts = self.chunks.select(
@@ -106,8 +119,7 @@ class SearchEngine:
             cache = EmbeddingCache.at(self.spark, self.cfg)
             found = get_or_embed(texts, cache.load(), self.embedder)
             log.info("texts with cached vectors=%d without=%d", found.hits, found.misses)
-            index = VectorIndex.build(found.vectors, found.dim)
-            index = VectorIndex(materialize(index.rows, "vectors"), index.dim)
+            index = _written(VectorIndex.build(found.vectors, found.dim))
             if found.added is not None:
                 try:
                     cache.save(found.added)
@@ -146,10 +158,10 @@ class SearchEngine:
         return rows[0] if rows else None
 
     def get_document(self, path: str) -> str | None:
-        return document_text(self.chunks, path)
+        return document_text(self.table, path)
 
     def document_chunks(self, path: str) -> DataFrame:
-        return document_chunks(self.chunks, path)
+        return document_chunks(self.table, path)
 
     def stats(self) -> dict:
         counted = self.chunks.agg(F.countDistinct("path").alias("files")).first()

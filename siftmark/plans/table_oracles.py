@@ -15,6 +15,8 @@ from .table_queries import (
     POOL,
     QUERY,
     REPEATED_QUERY,
+    SHARED_PATH,
+    TWO_ROOTS_QUERY,
     WEIGHTED,
     K,
 )
@@ -92,6 +94,107 @@ _DOCUMENT_CHUNKS = rf"""
       b + f AS line_start, b + l AS line_end
     FROM edges)"""
 
+
+
+def _markdown_chunks(files: str, budget: int = 256, overlap: int = 32) -> str:
+    """Chunks of any markdown: ``files`` selects key, root, path and text.
+
+    The fence state and the trail of headings are carried from line to line, the spans of
+    a section from cut to cut; no cut but the last is inside a fence.
+    """
+    trimmed = f"regexp_replace(regexp_extract(line, '^[{_SPACE}]*#{{1,6}}(.*)$', 1, 's'), '^[{_SPACE}]+', '')"
+    trimmed = f"regexp_replace(regexp_replace({trimmed}, '[{_SPACE}]+$', ''), '#+$', '')"
+    trimmed = f"regexp_replace({trimmed}, '[{_SPACE}]+$', '')"
+    return rf"""
+  given AS (
+    SELECT key, root, path,
+      CASE WHEN text LIKE '%' || chr(10) THEN list_slice(string_split(text, chr(10)), 1, -2)
+           ELSE string_split(text, chr(10)) END AS lines
+    FROM ({files})),
+  scan AS (
+    SELECT key, 0::BIGINT AS i, ''::VARCHAR AS line, '' AS marker, 0::BIGINT AS section,
+      CAST([] AS STRUCT(level BIGINT, title VARCHAR)[]) AS trail
+    FROM given
+    UNION ALL
+    SELECT key, i, line, after, section + CASE WHEN level > 0 THEN 1 ELSE 0 END,
+      CASE WHEN level > 0 THEN list_concat(list_filter(trail, lambda h: h.level < level),
+        [{{'level': level, 'title': {trimmed}}}]) ELSE trail END
+    FROM (
+      SELECT *, CASE WHEN marker = '' AND after = ''
+        THEN length(regexp_extract(line, '^[{_SPACE}]*(#{{1,6}})(?:[{_SPACE}]|$)', 1)) ELSE 0 END AS level
+      FROM (
+        SELECT *, CASE WHEN marker = '' THEN run
+          WHEN run <> '' AND starts_with(run, marker)
+            AND regexp_full_match(line, '[{_SPACE}]*(?:`+|~+)[{_SPACE}]*') THEN ''
+          ELSE marker END AS after
+        FROM (
+          SELECT s.key, s.i + 1 AS i, lines[s.i + 1] AS line, marker, section, trail,
+            regexp_extract(lines[s.i + 1], '^[{_SPACE}]*(`{{3,}}|~{{3,}})', 1) AS run
+          FROM scan s JOIN given USING (key) WHERE s.i < len(lines))))),
+  parts AS (
+    SELECT key, section, min(i) - 1 AS first, count(*) AS n, any_value(trail) AS trail,
+      list(line ORDER BY i) AS lines, list(marker <> '' ORDER BY i) AS opened,
+      list(len(regexp_extract_all(line, '[^{_SPACE}]+')) ORDER BY i) AS toks
+    FROM scan WHERE i > 0 GROUP BY key, section),
+  summed AS (
+    SELECT *, list_transform(range(n + 1),
+        lambda i: CASE WHEN i = 0 THEN 0 ELSE list_sum(list_slice(toks, 1, i)) END)::BIGINT[] AS upto,
+      list_filter(range(1, n + 1), lambda p: p = n OR NOT opened[p]) AS cuts
+    FROM parts),
+  spans AS (
+    SELECT key, section, 0::BIGINT AS b,
+      CASE WHEN upto[n + 1] <= {budget} THEN n
+        ELSE list_min(list_filter(cuts, lambda p:
+          p >= greatest(1, len(list_filter(upto, lambda c: c <= {budget})) - 1))) END::BIGINT AS e
+    FROM summed
+    UNION ALL
+    SELECT key, section, b, list_min(list_filter(cuts, lambda p:
+      p >= greatest(b + 1, len(list_filter(upto, lambda c: c <= upto[b + 1] + {budget})) - 1)))::BIGINT
+    FROM (
+      SELECT s.key, s.section, upto, cuts,
+        greatest(s.b + 1, len(list_filter(upto, lambda c: c <= upto[s.e + 1] - {overlap})) - 1)::BIGINT AS b
+      FROM spans s JOIN summed USING (key, section) WHERE s.e < n)),
+  edges AS (
+    SELECT *, list_position(solid, true) AS f, len(solid) + 1 - list_position(list_reverse(solid), true) AS l
+    FROM (
+      SELECT key, section, b, first, trail, list_slice(lines, b + 1, e) AS part,
+        list_transform(list_slice(lines, b + 1, e),
+          lambda l: NOT regexp_full_match(l, '[{_SPACE}]*')) AS solid
+      FROM spans JOIN summed USING (key, section))
+    WHERE list_contains(solid, true)),
+  chunks AS (
+    SELECT row_number() OVER (ORDER BY root, string_split(path, '/'), section, b) - 1 AS id, path,
+      array_to_string(list_transform(trail, lambda h: h.title), ' > ') AS headings,
+      array_to_string(list_slice(part, f, l), chr(10)) AS text,
+      first + b + f AS line_start, first + b + l AS line_end
+    FROM edges JOIN given USING (key))"""
+
+
+_BODY = "replace(text, '. ', '.' || chr(10))"
+_FENCED_CHUNKS = _markdown_chunks(
+    f"""
+    SELECT row_number() OVER () AS key, 'conversations' AS root,
+      'conv-' || conv_id || '/turn-' || turn || '.md' AS path,
+      'before ' || role || chr(10) || '# conv ' || conv_id
+        || E'\n```py\n# no heading\n~~~\nstill open here\n````\n' || {_BODY}
+        || E'\n### deep C#  ##\n~~~~ x\n```\n~~~\n' || {_BODY} || E'\n~~~~~\n\n \n' || {_BODY}
+        || E'\n####### seven\n#### ' || role || E'\n\n' || {_BODY} || E'\n## back\n'
+        || CASE WHEN turn % 2 = 1 THEN E'```\nto the end\n# not a heading\n' ELSE '' END
+        || {_BODY} || chr(10) AS text
+    FROM conversations""",
+    12,
+    4,
+)
+_TWO_ROOTS_CHUNKS = _markdown_chunks(
+    """
+    SELECT doc_id AS key, 'docs' AS root, CASE WHEN doc_id < 100 THEN 'conv-' || doc_id || '/turn-0.md'
+      ELSE source || '/' || doc_id || '.md' END AS path, text
+    FROM documents
+    UNION ALL
+    SELECT -1 - row_number() OVER (), 'talk', 'conv-' || conv_id || '/turn-' || turn || '.md', text
+    FROM conversations"""
+)
+
 _CONVERSATION_CHUNKS = rf"""
   turns AS (
     SELECT 'conv-' || conv_id AS folder, 'turn-' || turn || '.md' AS file, turn, conv_id, role,
@@ -278,6 +381,16 @@ def _hybrid(k: int, pool: int, query: str = PHRASE, per_page: int = 2, stemmed:
     )
 
 
+def _index_stats(dense: str) -> str:
+    return (
+        _with(_DOCUMENT_CHUNKS)
+        + f"""SELECT (SELECT count(DISTINCT path) FROM chunks) AS files,
+        (SELECT count(*) FROM chunks) AS chunks,
+        (SELECT count(DISTINCT term) FROM ({_tokens('chunks', 'id', 'text')})) AS lexical_terms,
+        {dense}"""
+    )
+
+
 ORACLES = {
     "token_counts": f"""
       SELECT term, count(*) AS n FROM ({_tokens('documents', 'doc_id', 'text')}) GROUP BY term""",
@@ -307,6 +420,19 @@ ORACLES = {
         FROM documents)""",
     "chunk_oversize": _with(_DOCUMENT_CHUNKS) + _CHUNK_OUT,
     "chunk_headings": _with(_CONVERSATION_CHUNKS) + _CHUNK_OUT,
+    "chunk_fences": _with(_FENCED_CHUNKS) + _CHUNK_OUT,
+    "corpus_scan": """
+      WITH named AS (
+        SELECT 0 AS root_number, doc_id % 10 AS kind, coalesce(text, '') AS text,
+          CASE doc_id % 10 WHEN 6 THEN 'shared' ELSE source END || '/' || doc_id
+            || CASE doc_id % 10 WHEN 4 THEN '.mdx' ELSE '.md' END AS path
+        FROM documents
+        UNION ALL
+        SELECT 2, 9, coalesce(text, ''), CASE turn WHEN 0 THEN 'shared/' || conv_id || '.md'
+          ELSE 'talk/' || conv_id || '/' || turn || '.markdown' END
+        FROM conversations)
+      SELECT root_number, path, strlen(text) AS bytes, md5(text) AS digest
+      FROM named WHERE kind NOT IN (0, 1, 2, 3, 5)""",
     "bm25_postings": _with(_ROW_CHUNKS, _BODY_POSTINGS, _LENGTHS)
     + """SELECT id AS chunk_id, count(*) AS terms, sum(tf) AS total_tf, max(dl) AS doc_len,
         md5(string_agg(term || ':' || tf::BIGINT, ' ' ORDER BY term || ':' || tf::BIGINT)) AS digest
@@ -317,11 +443,8 @@ ORACLES = {
         (SELECT count(*) AS n FROM chunks)""",
     "doc_len_stats": _with(_CONVERSATION_CHUNKS, _HEADING_POSTINGS, _LENGTHS)
     + "SELECT n_docs, round(avg_dl, 6) AS avg_doc_len FROM corpus",
-    "index_stats": _with(_DOCUMENT_CHUNKS)
-    + f"""SELECT (SELECT count(DISTINCT path) FROM chunks) AS files,
-        (SELECT count(*) FROM chunks) AS chunks,
-        (SELECT count(DISTINCT term) FROM ({_tokens('chunks', 'id', 'text')})) AS lexical_terms,
-        false AS dense, 0::BIGINT AS dim""",
+    "index_stats": _index_stats("false AS dense, 0::BIGINT AS dim"),
+    "index_stats_dense": _index_stats("true AS dense, 2::BIGINT AS dim"),
     "bm25_topk": _top(_ROW_CHUNKS, _BODY_POSTINGS, QUERY),
     "bm25_inverted_topk": _top(_ROW_CHUNKS, _BODY_POSTINGS, QUERY),
     "bm25_block_max": _top(_ROW_CHUNKS, _BODY_POSTINGS, QUERY),
@@ -342,6 +465,7 @@ ORACLES = {
         SELECT vec_id, unnest(range(len(embedding))) AS pos,
           (unnest(embedding) * (label + 2))::FLOAT::DOUBLE AS x FROM embeddings)""",
     "cosine_topk": _with(_dense()) + "SELECT chunk_id, round(score, 6) AS score FROM dense",
+    "cosine_topk_clustered": _with(_dense()) + "SELECT chunk_id, round(score, 6) AS score FROM dense",
     "rrf_fuse": _with(
         _ROW_CHUNKS, _BODY_POSTINGS, _LENGTHS, _lexical(QUERY), _dense(), _fused()
     )
@@ -363,6 +487,22 @@ ORACLES = {
     "hybrid_search": _hybrid(K, POOL),
     "hybrid_search_large_k": _hybrid(LARGE_K, 4 * LARGE_K),
     "hybrid_search_stemmed": _hybrid(K, POOL, QUERY, per_page=1, stemmed=True),
+    "two_roots_search": _with(
+        _TWO_ROOTS_CHUNKS,
+        _BODY_POSTINGS,
+        _LENGTHS,
+        _lexical(TWO_ROOTS_QUERY, 4 * LARGE_K),
+        _NO_DENSE,
+        _fused(pool=4 * LARGE_K),
+        _bonus(TWO_ROOTS_QUERY),
+        _collapsed(2, LARGE_K),
+    )
+    + f"""SELECT chunk_id, path, headings, line_start, line_end, round(score, 6) AS score,
+        {_SNIPPET}, chunks_matched FROM kept""",
+    "two_roots_lookup": _with(_TWO_ROOTS_CHUNKS)
+    + f"""SELECT path, string_agg(text, chr(10) || chr(10) ORDER BY id) AS text,
+        (SELECT count(DISTINCT path) FROM chunks) AS files, (SELECT count(*) FROM chunks) AS chunks
+      FROM chunks WHERE path = '{SHARED_PATH}' GROUP BY path""",
     "get_chunk": _with(_DOCUMENT_CHUNKS) + _CHUNK_OUT + f" WHERE id = {ONE_CHUNK}",
     "get_document": _with(_DOCUMENT_CHUNKS)
     + f"""SELECT path, string_agg(text, chr(10) || chr(10) ORDER BY id) AS text
@@ -397,6 +537,19 @@ ORACLES = {
         GROUP BY h)
       SELECT doc_id AS chunk_id, round(embedding[1]::DOUBLE, 6) + 0.0 AS first
       FROM documents JOIN last ON h = sha256(text)""",
+    "cache_generations": """
+      WITH rows AS (
+        SELECT doc_id, sha256(text) AS h, embedding FROM documents JOIN embeddings ON vec_id = doc_id),
+      written AS (
+        SELECT h, step, list_transform(embedding, lambda x: (x * factor)::FLOAT) AS embedding
+        FROM rows, (VALUES (1, 1), (2, -1), (3, 2), (5, 4)) steps(step, factor)
+        WHERE doc_id % step = 0),
+      last AS (
+        SELECT h, max(embedding) AS embedding FROM written JOIN (
+          SELECT h, max(step) AS step FROM written GROUP BY h) USING (h, step)
+        GROUP BY h)
+      SELECT doc_id AS chunk_id, round(embedding[1]::DOUBLE, 6) + 0.0 AS first, 2::BIGINT AS generations
+      FROM documents JOIN last ON h = sha256(text)""",
     "embed_misses": """
       WITH known AS (
         SELECT text, max(doc_id) AS id FROM documents WHERE doc_id % 3 = 0 GROUP BY text)

@@ -8,6 +8,10 @@ headings and a fence. Every query reads its whole tables.
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +19,7 @@ from ..config import Config, Weights
 from ..functions import text as X
 from ..functions.stemming import stem_values
 from ..operators.chunking import build_chunks, order_documents, path_components
+from ..operators.clustered import ClusteredIndex
 from ..operators.dense import VectorIndex, l2_normalize
 from ..operators.documents import document_parts, document_text
 from ..operators.embedding import attach_vectors, copies_per_text, get_or_embed, hit_counts
@@ -29,6 +34,7 @@ from ..operators.lexical import (
 from ..operators.ordering import NumberedTable, with_rank
 from ..session import local_rows, materialize, table_path
 from ..sources.embedding_cache import EmbeddingCache, is_consistent
+from ..sources.markdown_source import read_markdown
 from ..sources.tables import documents_from_table, drop_ignored
 from .engine import SearchEngine
 
@@ -43,6 +49,8 @@ WEIGHTED = Weights(lexical=0.3, dense=1.0)
 IGNORED = ("src1/**", "*7.md", "src{2,3}/[0-4]*.md", "**/?.md")
 ONE_PATH = "src3/3.md"
 ONE_CHUNK = 3
+SHARED_PATH = "conv-7/turn-0.md"
+TWO_ROOTS_QUERY = "le the die de thtion"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -160,6 +168,62 @@ def path_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("path", "position")
 
 
+_INSIDE = "node_modules/%s.md", "src/.draft/%s.md", "%s.txt", "part/old/%s.md"
+
+
+def _write_files(rows: DataFrame, root: str) -> None:
+    """Write (path, content) rows as files below ``root``, from the tasks."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        written = 0
+        for batch in batches:
+            for path, content in zip(*(batch.column(c).to_pylist() for c in ("path", "content"))):
+                place = os.path.join(root, path)
+                os.makedirs(os.path.dirname(place), exist_ok=True)
+                with open(place, "wb") as out:
+                    out.write(content)
+                written += 1
+        yield pa.record_batch([pa.array([written], pa.int64())], ["n"])
+
+    rows.select("path", "content").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
+def corpus_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and conversations as two roots of files, found and read by the data source.
+
+    Of ten documents four have places or names that are passed over, one is not UTF-8 and
+    one shares its path with the opening turn of a conversation in the other root.
+    """
+    base = table_path(spark, "corpus").removeprefix("file://").removeprefix("file:")
+    name, kind = F.col("doc_id").cast("string"), F.col("doc_id") % 10
+    path = F.concat("source", F.lit("/"), name, F.when(kind == 4, F.lit(".mdx")).otherwise(F.lit(".md")))
+    for i, form in enumerate(_INSIDE):
+        path = F.when(kind == i, F.format_string(form, name)).otherwise(path)
+    path = F.when(kind == 6, F.format_string("shared/%s.md", name)).otherwise(path)
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    content = F.when(kind == 5, F.concat(F.unhex(F.lit("FF")), text)).otherwise(text)
+    _write_files(_documents(spark, sf_dir).select(path.alias("path"), content.alias("content")), f"{base}/a")
+    turns = table(spark, sf_dir, "conversations")
+    conv = F.col("conv_id").cast("string")
+    path = F.when(F.col("turn") == 0, F.format_string("shared/%s.md", conv)).otherwise(
+        F.format_string("talk/%s/%s.markdown", conv, F.col("turn").cast("string"))
+    )
+    _write_files(turns.select(path.alias("path"), F.col("text").cast("binary").alias("content")), f"{base}/b")
+    found = read_markdown(
+        spark,
+        [f"{base}/a", f"{base}/missing", f"{base}/b"],
+        ["*/old/**"],
+        "path string, _seq int, bytes long, source string",
+        partition_bytes=1 << 20,
+    )
+    return found.select(
+        F.col("_seq").cast("long").alias("root_number"),
+        "path",
+        "bytes",
+        F.md5(F.col("source").cast("binary")).alias("digest"),
+    )
+
+
 def _chunk_rows(chunks: DataFrame) -> DataFrame:
     return chunks.select(
         "id", "path", X.heading_line("heading_path").alias("headings"), "text",
@@ -175,6 +239,28 @@ def chunk_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunk_rows(conversation_chunks(spark, sf_dir).rows())
 
 
+def fenced_markdown() -> Column:
+    """Markdown of one turn: fences of both marks, nested and left open, deep headings."""
+    body = F.replace(F.col("text"), F.lit(". "), F.lit(".\n"))
+    opened = F.when(F.col("turn") % 2 == 1, F.lit("```\nto the end\n# not a heading\n")).otherwise(F.lit(""))
+    return F.concat(
+        F.lit("before "), F.col("role"), F.lit("\n# conv "), F.col("conv_id").cast("string"),
+        F.lit("\n```py\n# no heading\n~~~\nstill open here\n````\n"), body,
+        F.lit("\n### deep C#  ##\n~~~~ x\n```\n~~~\n"), body, F.lit("\n~~~~~\n\n \n"), body,
+        F.lit("\n####### seven\n#### "), F.col("role"), F.lit("\n\n"), body,
+        F.lit("\n## back\n"), opened, body, F.lit("\n"),
+    )
+
+
+def chunk_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The splitter at work around fences and under headings: 12 tokens, overlap 4."""
+    turns = table(spark, sf_dir, "conversations")
+    path = F.format_string("conv-%d/turn-%d.md", "conv_id", "turn")
+    files = documents_from_table(turns, path, fenced_markdown(), F.lit("conversations"))
+    cfg = Config(chunk_tokens=12, chunk_overlap=4)
+    return _chunk_rows(build_chunks(order_documents(files), cfg).rows())
+
+
 # --- lexical index ------------------------------------------------------------
 
 
@@ -208,6 +294,13 @@ def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return local_rows(spark, **{name: [value] for name, value in stats.items()})
 
 
+def index_stats_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With an embedder: the dense index is built through the cache and has its length."""
+    cfg = Config(stem=False, cache_dir=table_path(spark, "cache"))
+    engine = SearchEngine.from_documents(document_files(spark, sf_dir), cfg, LetterCounts())
+    return local_rows(spark, **{name: [value] for name, value in engine.stats().items()})
+
+
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(_index(row_chunks(spark, sf_dir)).search(QUERY, POOL))
 
@@ -275,6 +368,13 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(VectorIndex.build(vectors).search(_query_vector(vectors), POOL))
 
 
+def cosine_topk_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through cells and shells, opening those that can hold a result."""
+    vectors = _vectors(spark, sf_dir)
+    index = ClusteredIndex.build(vectors, cells=16)
+    return _scored(index.search(_query_vector(vectors), POOL))
+
+
 # --- fusion -------------------------------------------------------------------
 
 
@@ -361,6 +461,37 @@ def hybrid_search_large_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hit_rows(engine.search(PHRASE, LARGE_K, query_vector=vector))
 
 
+def _two_roots(spark: SparkSession, sf_dir: str) -> SearchEngine:
+    """Documents and turns as two roots that have some relative paths in common."""
+    name = F.col("doc_id").cast("string")
+    same = F.format_string("conv-%s/turn-0.md", name)
+    path = F.when(F.col("doc_id") < 100, same).otherwise(_file_path())
+    docs = documents_from_table(_documents(spark, sf_dir), path, F.col("text"), F.lit("docs"))
+    path = F.format_string("conv-%d/turn-%d.md", "conv_id", "turn")
+    turns = table(spark, sf_dir, "conversations")
+    talk = documents_from_table(turns, path, F.col("text"), F.lit("talk"))
+    cfg = Config(lexical_only=True, stem=False, per_page=2)
+    return SearchEngine.from_documents(docs.unionByName(talk), cfg)
+
+
+def two_roots_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal paths under two roots are one document when hits are collapsed."""
+    return _hit_rows(_two_roots(spark, sf_dir).search(TWO_ROOTS_QUERY, LARGE_K))
+
+
+def two_roots_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document of a path that both roots have, and the counts of files and chunks."""
+    engine = _two_roots(spark, sf_dir)
+    stats = engine.stats()
+    return local_rows(
+        spark,
+        path=[SHARED_PATH],
+        text=[engine.get_document(SHARED_PATH)],
+        files=[stats["files"]],
+        chunks=[stats["chunks"]],
+    )
+
+
 # --- lookups ------------------------------------------------------------------
 
 
@@ -370,7 +501,7 @@ def get_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def get_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole text of one document, as the engine's lookup returns it."""
-    text = document_text(document_chunks(spark, sf_dir).rows(), ONE_PATH)
+    text = document_text(document_chunks(spark, sf_dir), ONE_PATH)
     return local_rows(spark, path=[ONE_PATH], text=[text])
 
 
@@ -441,6 +572,26 @@ def cache_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("chunk_id", F.round(first, 6).alias("first"))
 
 
+def cache_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three generations merged into one, and a fourth after it: the last one counts."""
+    hashed = materialize(_hashed(spark, sf_dir), "hashes")
+    rows = hashed.join(_vectors(spark, sf_dir), "chunk_id").withColumn("dim", F.size("embedding"))
+    cache = EmbeddingCache(spark, table_path(spark, "cache"))
+    for step, factor in ((1, 1), (2, -1), (3, 2), (5, 4)):
+        if step == 5:
+            cache.merge()
+        scale = F.lit(factor)
+        scaled = F.transform("embedding", lambda x: (x * scale).cast("float"))  # noqa: B023
+        cache.save(rows.where(F.col("chunk_id") % step == 0).withColumn("embedding", scaled))
+    found = attach_vectors(hashed, copies_per_text(hashed), cache.load(), hashed.count())
+    first = F.get("embedding", F.lit(0)).cast("double")
+    return found.select(
+        "chunk_id",
+        F.round(first, 6).alias("first"),
+        F.lit(len(cache.manifests())).cast("long").alias("generations"),
+    )
+
+
 class LetterCounts:
     """An embedder that SQL can repeat: text length and number of ``e``."""
 
@@ -465,13 +616,14 @@ QUERIES = {
     query.__name__: query
     for query in (
         token_counts, stemmed_terms, identifier_parts, alphabetic_words, snippets, indexable_texts,
-        ignore_filter, path_order, chunk_oversize, chunk_headings,
-        bm25_postings, term_df_idf, doc_len_stats, index_stats,
+        ignore_filter, path_order, chunk_oversize, chunk_headings, chunk_fences, corpus_scan,
+        bm25_postings, term_df_idf, doc_len_stats, index_stats, index_stats_dense,
         bm25_topk, bm25_inverted_topk, bm25_block_max, bm25_block_max_hot_only, bm25_repeated_term, bm25_heading_boost, bm25_stemmed,
-        l2_normalized, cosine_topk, rrf_fuse, rrf_weighted, phrase_bonus,
+        l2_normalized, cosine_topk, cosine_topk_clustered, rrf_fuse, rrf_weighted, phrase_bonus,
         collapse_per_page_0, collapse_per_page_1, collapse_per_page_2,
         hybrid_search, hybrid_search_stemmed, hybrid_search_large_k,
-        get_chunk, get_document, documents_as_parts,
-        cache_hits_misses, cache_vectors, cache_validation, cache_overwrite, embed_misses,
+        two_roots_search, two_roots_lookup, get_chunk, get_document, documents_as_parts,
+        cache_hits_misses, cache_vectors, cache_validation, cache_overwrite, cache_generations,
+        embed_misses,
     )
 }

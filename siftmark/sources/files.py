@@ -1,119 +1,32 @@
-"""Markdown files under root directories.
+"""Markdown documents of a configuration, in order.
 
-Roots must be mounted on the driver and on every executor. A small tree is listed
-by the driver; once it has seen ``inline_entries`` entries the open directories
-are handed to Spark, which lists one level per round. File contents are always
-read by executors, after the listing has been put in order.
+The files are listed by the ``siftmark_files`` data source, without their texts; the
+listing is written and put in order, and only then are the contents read, by executors.
 """
 
 from __future__ import annotations
 
-import logging
-import os
 from collections.abc import Iterator
-from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import MARKDOWN_EXTENSIONS, Config
+from ..config import Config
 from ..operators.chunking import order_documents
 from ..session import materialize
-from .tables import drop_ignored
+from .markdown_source import is_markdown, is_skipped_name, read_markdown, read_text
 
-log = logging.getLogger("siftmark")
+__all__ = ["is_markdown", "is_skipped_name", "list_files", "load_documents", "read_files"]
 
-_SKIPPED_NAMES = ("node_modules", "target")
 _FLUSH_CHARS = 8 << 20
 
-# ``seq`` numbers the root; ``file`` holds raw bytes, so any file name survives.
-_ENTRIES = T.StructType(
-    [
-        T.StructField("_seq", T.IntegerType(), False),
-        T.StructField("root", T.StringType(), False),
-        T.StructField("path", T.StringType(), False),
-        T.StructField("file", T.BinaryType(), False),
-        T.StructField("is_dir", T.BooleanType(), False),
-    ]
-)
-
-
-def is_skipped_name(name: str) -> bool:
-    return name.startswith(".") or name in _SKIPPED_NAMES
-
-
-def is_markdown(name: str) -> bool:
-    stem, dot, extension = name.rpartition(".")
-    return bool(stem and dot) and extension in MARKDOWN_EXTENSIONS
-
-
-def _list_directory(seq: int, root: str, path: str, folder: bytes) -> Iterator[tuple]:
-    """Sub-directories and markdown files of one directory; links are not followed."""
-    try:
-        with os.scandir(folder) as entries:
-            for entry in entries:
-                name = entry.name.decode("utf-8", "replace")
-                is_dir = entry.is_dir(follow_symlinks=False)
-                wanted = is_dir or (entry.is_file(follow_symlinks=False) and is_markdown(name))
-                if wanted and not is_skipped_name(name):
-                    yield seq, root, f"{path}/{name}" if path else name, entry.path, is_dir
-    except OSError as err:
-        log.warning("could not list a folder of root %s: %s", root, err)
-
-
-def _list_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for folder in batch.to_pylist():
-            entries = _list_directory(*(folder[name] for name in _ENTRIES.names[:4]))
-            while held := list(islice(entries, 10_000)):
-                yield _entry_batch(held)
-
-
-def _entry_batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int32(), pa.string(), pa.string(), pa.binary(), pa.bool_()]
-    columns = [pa.array(column, t) for column, t in zip(zip(*rows), types)]
-    return pa.RecordBatch.from_arrays(columns, names=_ENTRIES.names)
-
-
-def _root_entries(roots: tuple[str, ...]) -> tuple[list[tuple], list[tuple]]:
-    folders, files = [], []
-    for seq, root in enumerate(roots):
-        entry = (seq, root, "", os.fsencode(root))
-        if os.path.isdir(root):
-            folders.append((*entry, True))
-        elif os.path.isfile(root) and is_markdown(os.path.basename(root)):
-            files.append((*entry, False))
-        elif not os.path.exists(root):
-            log.warning("root %s does not exist", root)
-    return folders, files
-
 
 def list_files(spark: SparkSession, cfg: Config, inline_entries: int = 10_000) -> DataFrame:
     """(root, path, file, _seq) of every markdown file, ignore globs applied."""
-    folders, files = _root_entries(cfg.roots)
-    while folders and len(files) + len(folders) < inline_entries:
-        folder = folders.pop()
-        held = list(islice(_list_directory(*folder[:4]), inline_entries + 1))
-        if len(held) > inline_entries:  # too big for the driver: leave it to Spark
-            folders.append(folder)
-            break
-        for entry in held:
-            (folders if entry[4] else files).append(entry)
-
-    listing = spark.createDataFrame(files, _ENTRIES)
-    level = spark.createDataFrame(folders, _ENTRIES)
-    remaining = len(folders)
-    while remaining:
-        # A number of its own keeps adaptive execution from merging a level's folders.
-        tasks = min(remaining, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        spread = level.repartition(tasks, F.col("file"))
-        listed = materialize(spread.mapInArrow(_list_level, _ENTRIES), "listing")
-        listing = listing.unionByName(listed.where(~F.col("is_dir")))
-        level = listed.where("is_dir")
-        remaining = level.count()
-    return drop_ignored(listing.drop("is_dir"), cfg.ignore)
+    schema = "root string, path string, file binary, _seq int"
+    return read_markdown(spark, cfg.roots, cfg.ignore, schema, inline_entries=inline_entries)
 
 
 def read_files(listing: DataFrame) -> DataFrame:
@@ -127,7 +40,7 @@ def read_files(listing: DataFrame) -> DataFrame:
             carried = batch.select(names)
             rows, texts, held = [], [], 0
             for row, file in enumerate(batch.column("file").to_pylist()):
-                text = _read_text(file)
+                text = read_text(file)
                 if text is not None:
                     rows.append(row)
                     texts.append(text)
@@ -141,15 +54,6 @@ def read_files(listing: DataFrame) -> DataFrame:
     return listing.mapInArrow(read, schema)
 
 
-def _read_text(file: bytes) -> str | None:
-    try:
-        with open(file, encoding="utf-8", newline="") as handle:
-            return handle.read()
-    except (OSError, UnicodeDecodeError) as err:
-        log.warning("left out %s: %s", os.fsdecode(file), err)
-        return None
-
-
 def _with_texts(carried: pa.RecordBatch, rows: list[int], texts: list[str]) -> pa.RecordBatch:
     kept = carried.take(pa.array(rows, pa.int64()))
     return pa.RecordBatch.from_arrays(
@@ -159,4 +63,7 @@ def _with_texts(carried: pa.RecordBatch, rows: list[int], texts: list[str]) -> p
 
 def load_documents(spark: SparkSession, cfg: Config) -> DataFrame:
     """Readable markdown documents of all roots, in (root, path) order."""
-    return read_files(order_documents(list_files(spark, cfg)))
+    seen = Observation()
+    listed = list_files(spark, cfg).observe(seen, F.count(F.lit(1)).alias("n"))
+    listed = materialize(listed, "listing")
+    return read_files(order_documents(listed, seen.get["n"]))
