@@ -8,10 +8,12 @@ can hardly be missed; where a region is crowded the ``NEAREST`` neighbours on ei
 side go deeper by themselves, as sorted order puts the longest prefixes next to each
 other. Candidates are confirmed on the full sets, links are joined to components.
 
-Crowded regions are then visited again: members outside a region's largest component
-are compared with all its members of other components by their minima, in blocks, and
-the ones most alike that are not tested yet are confirmed. This repeats, in growing
-steps, until no untested pair is left that can still be similar enough.
+In crowded regions nearer labels can hide a link. Their members are therefore joined once
+more, by a prefix filter on the full sets: shingles are ordered by how often the members
+hold them, and of two similar sets the rarest few of one must meet the rarest of the
+other. Only shingles that several components share make groups, in which the members
+outside the most frequent component are compared with the others, in blocks, by sizes,
+places and minima; what is left is confirmed on the full sets.
 
 Null, empty and blank texts have empty sets: linked with nothing, their own component.
 Fewer words than a shingle make one shingle of the whole sequence. Repeated rows are
@@ -35,8 +37,12 @@ from .common import mix64, slices, texts_of
 TREES = 16
 DEPTH = 8
 NEAREST = 6
-#: Untested pairs of an outsider and a block in the first visit, and the growth per visit.
-BEST, GROWTH = 8, 4
+#: Counts by which the crowded members order their shingles (a power of two).
+COUNTS = 1 << 20
+#: Members of a block: of the most frequent component of a group, and of the others.
+MAIN_EACH, OTHERS_EACH = 1_000, 400
+#: Text whose shingles are made at once; they take about sixty times its bytes.
+SHINGLE_BYTES = 1 << 20
 #: Chance to miss a link at the threshold in all trees, which sets the least depth.
 MISS = 2e-5
 ROWS_EACH = 50_000
@@ -144,7 +150,7 @@ def signatures(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     """id, n_shingles, set_hash, labels of every row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in slices(batches, "text"):
+        for rows in slices(batches, "text", SHINGLE_BYTES):
             made, starts = shingle_sets(texts_of(rows.column("text")), words)
             yield pa.record_batch(
                 [
@@ -311,96 +317,193 @@ def candidates(nodes: DataFrame, rule: Rule, rows: int) -> tuple[DataFrame, Data
     return pairs, crowded
 
 
-def _apart(tested: DataFrame, nodes: DataFrame) -> DataFrame:
-    """id, met: tested pairs of each of ``nodes`` with one of another component."""
-    pairs = tested
-    for end in "ab":
-        comp = nodes.select(F.col("id").alias(end), F.col("comp").alias(f"comp_{end}"))
-        pairs = pairs.join(comp, end)
-    pairs = pairs.where("comp_a != comp_b")
-    return pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("met"))
+# --- crowded regions -------------------------------------------------------------
 
 
-def outsiders(nodes: DataFrame, tested: DataFrame, rule: Rule, step: int) -> DataFrame:
-    """Untested pairs of crowded regions between documents of different components.
+def prefixes(made: np.ndarray, starts: np.ndarray, counts: np.ndarray, percent: int):
+    """(token, owner, place, early): each set's rarest shingles that others can share.
 
-    ``nodes`` (id, size, labels, comp) are those in crowded regions, ``tested`` the pairs
-    (a, b) seen before. Members of a region outside its largest component meet all its
-    members of other components, in blocks, by how many of the ``TREES * DEPTH`` minima
-    agree. Of each outsider and block come the ``step`` best untested ones that can
-    still be similar enough (or all): as many more are ranked as were tested before.
+    Shingles are ordered by ``counts`` of their bucket, then by hash. Two sets that are
+    similar enough share one of the first ``n - ceil(percent n / 100) + 1`` of the larger
+    and of the first ``n - ceil(2 percent n / (100 + percent)) + 1`` (early) of the smaller.
+    """
+    n = np.diff(starts)
+    owner = np.repeat(np.arange(len(n)), n)
+    often = counts[made >> np.uint64(64 - COUNTS.bit_length() + 1)]
+    order = np.lexsort((made, often, owner))
+    place = np.arange(len(made)) - starts[:-1][owner]
+    late = n + (-percent * n) // 100 + 1
+    early = n + (-2 * percent * n) // (100 + percent) + 1
+    keep = (place < late[owner]) & (often[order] > 1)
+    return (
+        made[order][keep].view(np.int64), owner[keep], place[keep], (place < early[owner])[keep]
+    )
+
+
+def _counted(crowd: DataFrame, rule: Rule) -> np.ndarray:
+    """How often the members hold the shingles of each of ``COUNTS`` buckets."""
+    words = rule.words
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTS, np.int64)
+        for rows in slices(batches, "text", SHINGLE_BYTES):
+            made, _ = shingle_sets(texts_of(rows.column("text")), words)
+            bucket = (made >> np.uint64(64 - COUNTS.bit_length() + 1)).astype(np.int64)
+            total += np.bincount(bucket, minlength=COUNTS)
+        some = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(some), pa.array(total[some])], ["bucket", "n"])
+
+    rows = crowd.select("text").mapInArrow(count, "bucket long, n long")
+    found = rows.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # COUNTS rows at most
+    counts = np.zeros(COUNTS, np.int64)
+    counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    return counts
+
+
+def _tokens(crowd: DataFrame, rule: Rule) -> DataFrame:
+    """token, id, comp, size, place, early: the prefixes of the crowded members."""
+    kind = crowd.schema["id"].dataType.simpleString()
+    words, percent = rule.words, rule.percent
+    counts = crowd.sparkSession.sparkContext.broadcast(_counted(crowd, rule))  # COUNTS longs
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in slices(batches, "text", SHINGLE_BYTES):
+            made, starts = shingle_sets(texts_of(rows.column("text")), words)
+            token, owner, place, early = prefixes(made, starts, counts.value, percent)
+            at = pa.array(owner)
+            yield pa.record_batch(
+                [
+                    pa.array(token),
+                    rows.column("id").take(at),
+                    rows.column("comp").take(at),
+                    pa.array(np.diff(starts)[owner].astype(np.int32)),
+                    pa.array(place.astype(np.int32)),
+                    pa.array(early),
+                ],
+                ["token", "id", "comp", "size", "place", "early"],
+            )
+
+    out = f"token long, id {kind}, comp {kind}, size int, place int, early boolean"
+    made = crowd.select("id", "comp", "text").mapInArrow(emit, out)
+    return materialize(made, "forest_tokens")
+
+
+def able_pairs(held: dict[str, np.ndarray], first: np.ndarray, second: np.ndarray, percent: int):
+    """Index pairs of members of a group (first x second) that can be similar enough.
+
+    ``held`` has id, comp, size, place, early and minima (rows of ``TREES * DEPTH``). Of
+    different components, alike in size, with room for the overlap behind the shared
+    shingle, which must be an early one of the smaller, and with minima agreeing within
+    four standard deviations of the threshold.
     """
-    nodes = nodes.join(_apart(tested, nodes), "id", "left").withColumn("met", F.coalesce("met", F.lit(0)))
-    kind = nodes.schema["id"].dataType.simpleString()
-    depth, percent = rule.least_depth, rule.percent
     share = percent / 100
     least = share - 4 * (share * (1 - share) / _MINIMA) ** 0.5
+    ids, comp, size, place, early, minima = (
+        held[c] for c in ("id", "comp", "size", "place", "early", "minima")
+    )
+    left, right = [], []
+    for i in first.tolist():
+        j = second[comp[second] != comp[i]]
+        small, large = np.minimum(size[j], size[i]), np.maximum(size[j], size[i])
+        smaller = (size[i] < size[j]) | ((size[i] == size[j]) & (ids[i] < ids[j]))
+        room = np.minimum(size[i] - place[i], size[j] - place[j])  # from the shared one on
+        able = (
+            (100 * small >= percent * large)
+            & np.where(smaller, early[i], early[j])
+            & ((100 + percent) * room >= percent * (small + large))
+        )
+        j = j[able]
+        j = j[(minima[j] == minima[i]).mean(1) >= least]
+        left.append(np.full(len(j), i))
+        right.append(j)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
 
-    rows = _trees(nodes, "id", "comp").select(
-        "tree", F.substring("label", 1, 2 * depth).alias("prefix"), "id", "comp"
+def crowd_pairs(near: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (a, b) of crowded members of different components that can be links.
+
+    ``near`` has id, labels and comp of the members. A hot shingle's group is cut into
+    blocks: those of its most frequent component meet those of the others.
+    """
+    kind = near.schema["id"].dataType.simpleString()
+    percent = rule.percent
+    crowd = materialize(near.select("id", "comp").join(texts, "id"), "forest_crowd")
+    tokens = _tokens(crowd, rule)
+    by_comp = tokens.groupBy("token", "comp").agg(
+        F.count("*").alias("n"), F.max("early").alias("early")
     )
-    by_comp = rows.groupBy("tree", "prefix", "comp").agg(F.count("*").alias("n"))
-    regions = (
-        by_comp.groupBy("tree", "prefix")
+    active = (
+        by_comp.groupBy("token")
         .agg(
             F.sum("n").alias("total"),
             F.max(F.struct("n", "comp")).alias("most"),
             F.count("*").alias("comps"),
+            F.max("early").alias("early"),
         )
-        .where((F.col("comps") > 1) & (F.col("total") > NEAREST + 1))
-        .select("tree", "prefix", "total", F.col("most.n").alias("largest"), F.col("most.comp").alias("main"))
+        .where((F.col("comps") > 1) & F.col("early"))
     )
-    region = F.xxhash64("tree", "prefix")
-    members = rows.join(regions, ["tree", "prefix"]).select(
-        region.alias("region"), "id", "total", "largest", (F.col("comp") != F.col("main")).alias("outside")
+    mains = F.ceil(F.col("most.n") / MAIN_EACH)
+    others = F.ceil((F.col("total") - F.col("most.n")) / OTHERS_EACH)
+    active = active.select(
+        F.col("token"), F.col("most.comp").alias("main"), mains.alias("mains"), others.alias("others")
     )
-    members = materialize(members, "forest_regions")
-    tasks = partitions_for(nodes.sparkSession, members.count(), MEMBERS_EACH)
-    members = members.join(nodes, "id")
-    entry = F.struct("id", "size", "comp", "labels", "met")
-
-    def blocks(df: DataFrame, rows: str, each: int, name: str) -> DataFrame:
-        block = F.pmod(F.xxhash64("id"), F.ceil(F.expr(rows) / each))
-        return (
-            df.groupBy("region", block.alias(f"block_{name}"))
-            .agg(F.collect_list(entry).alias(name))
-            .select("region", name)
-        )
-
-    met = blocks(members.where("outside"), "total - largest", 200, "few").join(
-        blocks(members, "total", 1000, "many"), "region"
+    members = tokens.withColumnRenamed("early", "soon").join(active, "token")
+    members = materialize(members, "forest_members")
+    tasks = partitions_for(near.sparkSession, members.count(), MEMBERS_EACH)
+    members = members.join(near.select("id", "labels"), "id")
+
+    # (side, i, j): block i of the others meets block j of the main component (side 0) or of
+    # the others (side 1, i <= j).
+    is_main = F.col("comp") == F.col("main")
+    own = F.pmod(F.xxhash64("id"), F.when(is_main, F.col("mains")).otherwise(F.col("others")))
+    to_mains = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("mains") - 1),
+        lambda j: F.struct(F.lit(0).alias("side"), F.col("own").alias("i"), j.alias("j")),
+    )
+    to_others = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("others") - 1),
+        lambda j: F.struct(
+            F.lit(1).alias("side"), F.least("own", j).alias("i"), F.greatest("own", j).alias("j")
+        ),
+    )
+    from_mains = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("others") - 1),
+        lambda i: F.struct(F.lit(0).alias("side"), i.alias("i"), F.col("own").alias("j")),
+    )
+    meets = F.when(is_main, from_mains).otherwise(F.concat(to_mains, to_others))
+    entry = F.struct(
+        "id", "comp", "size", "place", F.col("soon").alias("early"), "labels",
+        F.when(F.col("meet.side") == 0, ~F.col("is_main")).otherwise(F.col("own") == F.col("meet.i"))
+        .alias("few"),
+    )
+    groups = (
+        members.withColumn("is_main", is_main)
+        .withColumn("own", own)
+        .withColumn("meet", F.explode(meets))
+        .groupBy("token", "meet")
+        .agg(F.collect_list(entry).alias("held"))
+        .select("held", (F.col("meet.side") * F.when(F.col("meet.i") == F.col("meet.j"), 1).otherwise(0)).alias("within"))
     )
-
-    def columns(held: pa.StructArray):
-        labels = np.frombuffer(b"".join(held.field("labels").to_pylist()), ">u2")
-        ids, size, comp, known = (
-            held.field(c).to_numpy(zero_copy_only=False) for c in ("id", "size", "comp", "met")
-        )
-        return ids, size, comp, known, labels.reshape(-1, _MINIMA).astype(np.uint16)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            arrow = batch.schema.field("few").type.value_type.field("id").type
-            for few, many in zip(batch.column("few"), batch.column("many"), strict=True):
-                ids, size, comp, known, labels = columns(few.values)
-                other, others, their, _, theirs = columns(many.values)
-                low, high = [], []
-                for i in range(len(ids)):
-                    able = (their != comp[i]) & (
-                        100 * np.minimum(others, size[i]) >= percent * np.maximum(others, size[i])
-                    )
-                    at = np.flatnonzero(able)
-                    agree = (theirs[at] == labels[i]).mean(1)
-                    order = np.lexsort((other[at], -agree))[: step + int(known[i])]
-                    at = at[order[agree[order] >= least]]
-                    low.append(np.minimum(other[at], ids[i]))
-                    high.append(np.maximum(other[at], ids[i]))
-                a, b = np.concatenate(low), np.concatenate(high)
-                yield pa.record_batch([pa.array(a, arrow), pa.array(b, arrow)], ["a", "b"])
-
-    met = met.select("few", "many").coalesce(tasks)
-    found = met.mapInArrow(compare, f"a {kind}, b {kind}").distinct()
-    return found.join(tested, ["a", "b"], "left_anti")
+            arrow = batch.schema.field("held").type.value_type.field("id").type
+            for held, within in zip(batch.column("held"), batch.column("within").to_pylist(), strict=True):
+                rows = held.values
+                columns = {
+                    c: rows.field(c).to_numpy(zero_copy_only=False)
+                    for c in ("id", "comp", "size", "place", "early", "few")
+                }
+                minima = np.frombuffer(b"".join(rows.field("labels").to_pylist()), ">u2")
+                columns["minima"] = minima.reshape(-1, _MINIMA).astype(np.uint16)
+                few, ids = columns["few"].astype(bool), columns["id"]
+                second = np.arange(len(ids)) if within else np.flatnonzero(~few)
+                x, y = able_pairs(columns, np.flatnonzero(few), second, percent)
+                low, high = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
+                yield pa.record_batch([pa.array(low, arrow), pa.array(high, arrow)], ["a", "b"])
+
+    return groups.coalesce(tasks).mapInArrow(compare, f"a {kind}, b {kind}").distinct()
 
 
 # --- confirmation and components -------------------------------------------------
@@ -409,14 +512,14 @@ def outsiders(nodes: DataFrame, tested: DataFrame, rule: Rule, step: int) -> Dat
 def confirm(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b), a written table, whose full shingle sets are similar enough.
 
-    A document is in at most ``2 * TREES * NEAREST`` pairs of the trees. In a visit to
-    crowded regions one can be in as many pairs as its regions have outsiders.
+    A document is in at most ``2 * TREES * NEAREST`` pairs of the trees, and in those of
+    crowded regions that no filter tells from links.
     """
     kind = pairs.schema["a"].dataType.simpleString()
     words, percent = rule.words, rule.percent
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in slices(slices(batches, "text_b"), "text_a"):
+        for rows in slices(slices(batches, "text_b", SHINGLE_BYTES), "text_a", SHINGLE_BYTES):
             n = rows.num_rows
             both = texts_of(rows.column("text_a")) + texts_of(rows.column("text_b"))
             made, starts = shingle_sets(both, words)
@@ -522,22 +625,23 @@ def near_duplicates(
     pairs = materialize(pairs.coalesce(few), "forest_pairs")
     links = materialize(confirm(pairs, texts, rule), "forest_links")
     of = materialize(components(links), "forest_components")
-    tested = pairs
-    near = materialize(nodes.join(crowded, "id").coalesce(few), "forest_near")
-    left, step = near, BEST
-    while not left.isEmpty():
-        now = near.join(of, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        more = outsiders(materialize(now.coalesce(few), "forest_near"), tested, rule, step)
-        left = more = materialize(more.coalesce(few), "forest_pairs")
-        tested, step = tested.unionByName(more), step * GROWTH
-        found = materialize(confirm(more, texts, rule), "forest_links")
-        if found.isEmpty():
-            continue
-        links = links.unionByName(found)
-        of = materialize(components(links), "forest_components")
-
-    of_class = classes.join(of, "id", "left").select(
-        "set_hash", F.coalesce("comp", "id").alias("comp")
+    near = nodes.select("id", "labels").join(crowded, "id").join(of, "id", "left")
+    near = materialize(near.withColumn("comp", F.coalesce("comp", "id")).coalesce(few), "forest_near")
+    more = materialize(crowd_pairs(near, texts, rule).coalesce(few), "forest_pairs")
+    found = confirm(more, texts, rule)
+    # Links between components: only what they join is contracted again.
+    for end in "ab":
+        comp = near.select(F.col("id").alias(end), F.col("comp").alias(f"comp_{end}"))
+        found = found.join(comp, end)
+    joined = materialize(
+        found.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")), "forest_links"
+    )
+    merged = components(joined).select(F.col("id").alias("comp"), F.col("comp").alias("whole"))
+    merged = materialize(merged, "forest_components")
+
+    of_class = classes.join(of, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    of_class = of_class.join(merged, "comp", "left").select(
+        "set_hash", F.coalesce("whole", "comp").alias("comp")
     )
     joined = signed.select("id", "n_shingles", "set_hash").join(of_class, "set_hash", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("id"))
