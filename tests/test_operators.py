@@ -7,10 +7,15 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from siftmark import Weights
+from siftmark import Config, Weights
 from siftmark.functions.stemming import stem_token
 from siftmark.operators import ordering
-from siftmark.operators.chunking import document_order_key, path_components
+from siftmark.operators.chunking import (
+    build_chunks,
+    document_order_key,
+    order_documents,
+    path_components,
+)
 from siftmark.operators.dense import VectorIndex
 from siftmark.operators.documents import document_chunks, document_parts, normal_path
 from siftmark.operators.fusion import candidate_pool, collapse, fuse, with_phrase_bonus
@@ -21,7 +26,8 @@ RANKED = "chunk_id long, score double"
 
 
 def chunk_frame(spark, rows):
-    return spark.createDataFrame([(i, "t.md", "/r", h, t) for i, h, t in rows], CHUNKS)
+    frame = [(i, f"page-{i}", "somewhere", h, t) for i, h, t in rows]
+    return spark.createDataFrame(frame, CHUNKS)
 
 
 def ids(df):
@@ -31,13 +37,6 @@ def ids(df):
 # --- BM25 ---------------------------------------------------------------------
 
 
-def test_more_matches_and_heading_hits_rank_higher(spark):
-    rows = [(0, ["Ferry"], "one ticket"), (1, ["Harbour"], "ticket desk, ticket office, ticket hall")]
-    assert ids(Bm25Index.build(chunk_frame(spark, rows)).search("a ticket", 2)) == [1, 0]
-    rows = [(0, ["Gangway"], "mind the ferry and its rails"), (1, ["Ferry"], "leaves at noon from pier four")]
-    assert ids(Bm25Index.build(chunk_frame(spark, rows)).search("ferry", 2)) == [1, 0]
-
-
 def test_weighted_frequencies_and_lengths(spark):
     rows = [(0, ["Alpha", "Beta"], "## Beta\nbeta gamma"), (1, [], "... !!"), (2, [], "beta")]
     built = {r.chunk_id: r for r in forward(chunk_frame(spark, rows)).collect()}
@@ -154,19 +153,32 @@ def ranked(spark, rows):
     return spark.createDataFrame([(i, float(s)) for i, s in rows], RANKED)
 
 
-@pytest.mark.parametrize("at_most", [100, None])
-def test_fuse(spark, at_most):
-    def run(lexical, dense, **more):
-        frames = ranked(spark, lexical), ranked(spark, dense)
-        return fuse(*frames, at_most=at_most, **more).collect()
+def plain_fusion(lexical, dense, weights, k):
+    """Reciprocal ranks of two sorted lists, added up; equal sums by dense score, then id."""
+    sums = defaultdict(float)
+    for rows, weight in ((lexical, weights.lexical), (dense, weights.dense)):
+        for place, (i, _) in enumerate(rows):
+            sums[i] += weight / (61 + place)
+    score = dict(dense)
+    order = sorted(sums, key=lambda i: (-round(sums[i], 9), -score.get(i, -math.inf), i))
+    return [(i, round(sums[i], 9)) for i in order[:k]]
+
 
-    out = run([(40, 9), (41, 7), (42, 6)], [(50, 0.7), (41, 0.6), (51, 0.2)])
-    assert (out[0].chunk_id, out[0].lexical_rank, out[0].dense_rank, len(out)) == (41, 2, 2, 5)
-    # Equal scores: the row with a dense score comes first.
-    assert [r.chunk_id for r in out[1:]] == [50, 40, 51, 42]
-    assert [r.chunk_id for r in run([(8, 2), (6, 2), (7, 2)], [], k=2)] == [6, 7]
-    assert run([(5, 3)], [(9, 3)], weights=Weights(0.2, 0.9))[0].chunk_id == 9
-    assert run([(12, 4), (11, 4)], [(12, 0.3), (11, 0.3)])[0].chunk_id == 11
+@pytest.mark.parametrize("at_most", [100, None])
+def test_fusion_of_random_lists(spark, at_most):
+    draw = random.Random(17)
+    for k, weights in ((60, Weights()), (7, Weights(0.25, 1.5)), (1, Weights(2.0, 0.0))):
+        lists = []
+        for n in (draw.randrange(25), draw.randrange(25)):
+            rows = [(i, draw.randrange(6)) for i in draw.sample(range(40), n)]
+            lists.append(sorted(rows, key=lambda r: (-r[1], r[0])))
+        found = fuse(
+            *(ranked(spark, rows) for rows in lists), weights=weights, k=k, at_most=at_most
+        ).collect()
+        assert [(r.chunk_id, round(r.score, 9)) for r in found] == plain_fusion(*lists, weights, k)
+        for name, rows in zip(("lexical_rank", "dense_rank"), lists, strict=True):
+            places = {i: n + 1 for n, (i, _) in enumerate(rows)}
+            assert [r[name] for r in found] == [places.get(r.chunk_id) for r in found]
 
 
 def test_fuse_accepts_given_ranks(spark):
@@ -178,6 +190,32 @@ def test_fuse_accepts_given_ranks(spark):
     assert [r.chunk_id for r in out] == [20, 21] and out[0].score == out[1].score
 
 
+def test_documents_are_found_by_their_zones(spark, monkeypatch):
+    """Of many slabs only those whose range of paths holds the path are opened."""
+    monkeypatch.setattr(ordering, "_ROWS_PER_RANGE", 10)
+    monkeypatch.setattr(ordering, "_PARTS_PER_SLAB", 1)
+    rows = [(root, f"d{i % 7}/p-{i}.md", f"text {root} {i}") for root in ("r1", "r2") for i in range(60)]
+    rows += [("r1", "d0", "a folder's name"), ("r2", "d0/p", "x")]
+    docs = spark.createDataFrame(rows, "root string, path string, source string")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        table = build_chunks(order_documents(docs), Config())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(table.zones) == len(table.offsets) > 4
+    for path in ("d3/p-17.md", "./d3//p-17.md", "d0", "d0/p", "d9/none", ""):
+        found = document_chunks(table, path)
+        plain = document_chunks(table.rows(), path).collect()
+        assert found.collect() == plain
+    around = table.around("d3\x01p-17.md")
+    slabs = {i for i, (low, high) in enumerate(table.zones) if low <= "d3\x01p-17.md" <= high}
+    assert 0 < len(slabs) <= 3 < len(table.zones)
+    assert around.count() == sum(table.offsets[i][2] for i in slabs)
+    assert "PartitionFilters: [isnotnull(_slab" in found._jdf.queryExecution().executedPlan().toString() or (
+        "_slab" in around._jdf.queryExecution().executedPlan().toString()
+    )
+
+
 def test_pool_and_bonus(spark):
     assert [candidate_pool(k) for k in (0, 1, 8)] == [1, 4, 32]
     rows = spark.createDataFrame([(1, 0.5, "The Tide"), (2, 0.5, "tide the")], RANKED + ", text string")

@@ -8,11 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftmark import Config, SearchEngine
-from siftmark.functions.globs import InvalidGlob, glob_to_regex, ignore_regex
+from siftmark.functions.globs import InvalidGlob, glob_to_regex, ignore_regex, ignore_test
 from siftmark.operators.embedding import attach_vectors, copies_per_text, get_or_embed
 from siftmark.session import local_rows
 from siftmark.sources import embedding_cache as C
 from siftmark.sources.files import list_files, load_documents
+from siftmark.sources.markdown_source import MarkdownReader, read_markdown
 from siftmark.sources.model import OnnxEmbedder, resolve_files
 from siftmark.sources.sinks import to_text
 
@@ -118,6 +119,93 @@ def test_newlines_survive_reading(spark, tmp_path):
     assert file_root.path == ""
 
 
+# --- the data source ------------------------------------------------------------
+
+
+def scanned(spark, roots, where=None, **options):
+    df = read_markdown(spark, roots, schema="path string, _seq int, bytes long, source string", **options)
+    return df if where is None else df.where(where)
+
+
+def test_data_source_reads_what_the_schema_names(spark, tmp_path):
+    root = write(tmp_path / "r", ["a.md", "b/c.md"])
+    (tmp_path / "r" / "bad.md").write_bytes(b"\xff")
+    rows = {r.path: r for r in scanned(spark, [root, root]).where("_seq = 1").collect()}
+    assert set(rows) == {"a.md", "b/c.md"}
+    assert rows["b/c.md"].source == "# b/c.md\ntext of b/c.md\n"
+    assert rows["b/c.md"].bytes == len(rows["b/c.md"].source)
+    # Without the text nothing is opened, so an unreadable file is listed.
+    os.chmod(tmp_path / "r" / "a.md", 0)
+    listing = read_markdown(spark, [root], schema="path string")
+    assert sorted(r.path for r in listing.collect()) == ["a.md", "b/c.md", "bad.md"]
+    os.chmod(tmp_path / "r" / "a.md", 0o600)
+    with pytest.raises(Exception, match="no such columns"):
+        read_markdown(spark, [root], schema="path string, mood string").collect()
+    assert scanned(spark, []).count() == 0
+
+
+def test_data_source_partitions_follow_the_bytes(tmp_path):
+    root = write(tmp_path / "r", [f"{i}.md" for i in range(20)])
+    (tmp_path / "r" / "big.md").write_text("x" * 400_000)
+    options = {"roots": json.dumps([root]), "partition_bytes": "300000"}
+    parts = MarkdownReader(options, ["path", "source"]).partitions()
+    sizes = [sum(f.size + 65_536 for f in p.files) for p in parts]
+    assert sum(len(p.files) for p in parts) == 21 and len(parts) > 4
+    assert all(size <= 300_000 or len(p.files) == 1 for size, p in zip(sizes, parts, strict=True))
+    assert len(MarkdownReader(options, ["path"]).partitions()) == 1  # a listing costs little
+    left = MarkdownReader(options | {"inline_entries": "0"}, ["path"]).partitions()
+    assert [p.folder.path for p in left] == [""] and not left[0].files
+
+
+CONDITIONS = [
+    ("path = 'b/c.md'", {"b/c.md"}),
+    ("path IN ('a.md', 'b/d/e.md', 'none')", {"a.md", "b/d/e.md"}),
+    ("path LIKE 'b/d%'", {"b/d/e.md"}),
+    ("path LIKE '%c.md'", {"b/c.md", "x/c.md"}),
+    ("path LIKE '%/d/%' AND _seq = 0", {"b/d/e.md"}),
+    ("path > 'b'", {"b/c.md", "b/d/e.md", "x/c.md"}),
+    ("path = 'a.md' OR path LIKE 'x/%'", {"a.md", "x/c.md"}),
+    ("NOT path LIKE 'b/%'", {"a.md", "x/c.md"}),
+    ("path IS NULL", set()),
+]
+
+
+@pytest.mark.parametrize("inline_entries", [10_000, 0])
+def test_conditions_are_pushed_into_the_walk(spark, tmp_path, inline_entries):
+    root = write(tmp_path / "r", ["a.md", "b/c.md", "b/d/e.md", "x/c.md"])
+    for condition, expected in CONDITIONS:
+        found = scanned(spark, [root], condition, inline_entries=inline_entries)
+        assert {r.path for r in found.collect()} == expected, condition
+
+
+def test_pushed_conditions_spare_folders_and_files(tmp_path):
+    from pyspark.sql import datasource as D
+
+    root = write(tmp_path / "r", ["a.md", "b/c.md", "b/d/e.md", "x/c.md"])
+
+    def kept(*conditions):
+        reader = MarkdownReader({"roots": json.dumps([root])}, ["path", "source"])
+        left = reader.pushFilters(list(conditions))
+        walked = []
+        real = reader._grown
+        reader._grown = lambda folder: walked.append(folder.path) or real(folder)
+        files = {f.path for p in reader.partitions() for f in p.files}
+        return list(left), walked, files
+
+    equal = D.EqualTo(("path",), "b/c.md")
+    assert kept(equal) == ([], ["", "b"], {"b/c.md"})
+    assert kept(D.StringStartsWith(("path",), "b/d"))[1:] == (["", "b", "b/d"], {"b/d/e.md"})
+    assert kept(D.EqualTo(("root",), "elsewhere"))[1:] == ([], set())
+    greater = D.GreaterThan(("path",), "b")
+    assert kept(greater)[0] == [greater]
+
+
+def test_ignore_test_agrees_with_the_pattern():
+    for glob, path, expected in GLOBS:
+        assert ignore_test([glob])(path) is expected, (glob, path)
+    assert not ignore_test(["**"])("") and not ignore_test(["[z"])("z")
+
+
 # --- embedding cache ----------------------------------------------------------
 
 
@@ -213,6 +301,60 @@ def test_inconsistent_cache_starts_empty(spark, tmp_path, rows):
     assert cache.load().count() == 0
 
 
+def test_loads_open_manifests_only(spark, tmp_path):
+    cache = C.EmbeddingCache(spark, str(tmp_path / "c"))
+    cache.save(entries(spark, [(sha("one"), 2, [0.0, 1.0]), (sha("two"), 2, [1.0, 1.0])]))
+    cache.insert("three", [2.0, 0.0])
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("load", "load")
+    loaded = cache.load()
+    assert len(tracker.getJobIdsForGroup("load")) == 0
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert loaded.count() == 3
+    known = list(cache.manifests().values())
+    assert [(m.rows, m.dim, m.sound) for m in known] == [(2, 2, True), (1, 2, True)]
+    assert known[1].first == known[1].last == sha("three")
+    assert len(cache._load(sha("three")).inputFiles()) < len(loaded.inputFiles())
+    # Files that are not those of the manifest are read through.
+    folder = sorted(n for n in os.listdir(cache.path) if n.startswith("gen-"))[1]
+    for name in os.listdir(f"{cache.path}/{folder}"):
+        if name.startswith("part-"):
+            (tmp_path / "c" / folder / name).write_bytes(b"cut short")
+    assert cache.load().count() == 0 and cache.get("one") is None
+
+
+def test_generations_without_manifests_are_read_through(spark, tmp_path):
+    cache = C.EmbeddingCache(spark, str(tmp_path / "c"))
+    rows = entries(spark, [(sha("old"), 2, [1.0, 2.0])])
+    rows.write.parquet(f"{cache.path}/gen-0")
+    assert cache.get("old") == [1.0, 2.0]
+    cache.insert("new", [1.0, 2.0, 3.0])
+    assert cache.load().count() == 0  # two lengths
+
+
+def test_merge_keeps_the_last_vectors(spark, tmp_path):
+    cache = C.EmbeddingCache(spark, str(tmp_path / "c"))
+    cache.merge()
+    expected = {}
+    for step in range(4):
+        rows = [(sha(f"t{i}"), 2, [float(step), float(i)]) for i in range(0, 30, step + 1)]
+        cache.save(entries(spark, rows))
+        expected |= {h: v for h, _, v in rows}
+    before = cache.load()
+    cache.merge()
+    (only,) = cache.manifests().values()
+    assert only.rows == 30 and len(only.replaces) == 4
+    assert before.count() > 30  # replaced generations stay until they are vacuumed
+    assert {r.text_hash: list(r.embedding) for r in cache.load().collect()} == expected
+    cache.insert("t0", [9.0, 9.0])
+    assert cache.get("t0") == [9.0, 9.0] and cache.get("t1") == expected[sha("t1")]
+    cache.vacuum()
+    assert len([n for n in os.listdir(cache.path) if n.startswith("gen-")]) == 2
+    assert cache.get("t0") == [9.0, 9.0] and cache.get("t2") == expected[sha("t2")]
+    cache.merge()
+    assert cache.load().count() == 30
+
+
 def test_corrupt_cache_starts_empty(spark, tmp_path):
     cache = C.EmbeddingCache(spark, str(tmp_path / "c"))
     folder = tmp_path / "c" / "gen-0"
