@@ -37,6 +37,9 @@ from .common import mix64, slices, texts_of
 TREES = 16
 DEPTH = 8
 NEAREST = 6
+#: Bits of the filter that picks the texts of candidates, for each of them and at most. A
+#: fuller filter lets more other texts pass, never fewer candidates.
+FILTER_EACH, FILTER_BITS = 16, 1 << 26
 #: Counts by which the crowded members order their shingles (a power of two).
 COUNTS = 1 << 20
 #: Members of a block: of the most frequent component of a group, and of the others.
@@ -506,6 +509,34 @@ def crowd_pairs(near: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     return groups.coalesce(tasks).mapInArrow(compare, f"a {kind}, b {kind}").distinct()
 
 
+def texts_among(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Written table of the rows of ``texts`` whose id is in ``ids``, and few others.
+
+    The ids become a bitset of a bounded size, so no text is shuffled to be left out.
+    """
+    rows = materialize(ids.distinct(), "forest_ids")
+    wanted = FILTER_EACH * max(rows.count(), 64)
+    bits = min(FILTER_BITS, 1 << (wanted - 1).bit_length())
+    place = F.pmod(F.xxhash64("id"), F.lit(bits))
+    words = (
+        rows.select(place.alias("p"))
+        .groupBy(F.shiftright("p", 6).alias("word"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("bits"))
+        .toArrow()  # bits / 64 rows at most
+    )
+    held = np.zeros(bits // 64, np.uint64)
+    held[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    shared = texts.sparkSession.sparkContext.broadcast(held)
+
+    @F.arrow_udf("boolean")
+    def known(places: pa.Array) -> pa.Array:
+        at = places.to_numpy()
+        bit = shared.value[at >> 6] >> (at & 63).astype(np.uint64)
+        return pa.array((bit & np.uint64(1)).astype(bool))
+
+    return materialize(texts.where(known(place)), "forest_texts")
+
+
 # --- confirmation and components -------------------------------------------------
 
 
@@ -623,6 +654,9 @@ def near_duplicates(
     pairs, crowded = candidates(nodes, rule, rows)
     few = partitions_for(docs.sparkSession, rows, LINKS_EACH)
     pairs = materialize(pairs.coalesce(few), "forest_pairs")
+    crowded = materialize(crowded.coalesce(few), "forest_crowded")
+    ends = [pairs.select(F.col(end).alias("id")) for end in "ab"]
+    texts = texts_among(texts, ends[0].unionByName(ends[1]).unionByName(crowded))
     links = materialize(confirm(pairs, texts, rule), "forest_links")
     of = materialize(components(links), "forest_components")
     near = nodes.select("id", "labels").join(crowded, "id").join(of, "id", "left")

@@ -6,8 +6,9 @@
    imitates, separators and repeated letters may be dropped, each at a channel cost.
    A Viterbi search over the lattice finds the likeliest reading under the model.
 3. Words, restored words and their openings (three to seven letters) are the
-   features of a logistic regression, fitted on a bounded sample of labelled rows.
-   Scores depend on the text alone.
+   features of a logistic regression, fitted on a bounded sample of labelled rows. An
+   opening counts only if ``LEAST_WORDS`` different toxic words begin with it; else the
+   word it comes from must be met as a whole. Scores depend on the text alone.
 
 Null and empty texts have no features and get the model's base score. Labels that are
 null are not used; repeated rows get equal scores. Without both classes among the
@@ -40,6 +41,10 @@ SURE = 0.7
 LEAST_ODDS, SURE_ODDS = 2.0, 10.0
 PULL = 1.0
 OPENINGS = (3, 4, 5, 6, 7)
+#: Different words of toxic rows that must begin with an opening.
+LEAST_WORDS = 3
+#: Letters of a reading that may be a feature; longer readings are none.
+LONGEST = 64
 
 # The letters of the model, what a sign may stand for, what separates.
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
@@ -64,7 +69,9 @@ IMITATES = {
     "€": "e",
     "£": "l",
     "¥": "y",
-}
+    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x",
+    "і": "i", "ѕ": "s", "ј": "j", "ԁ": "d", "ɡ": "g", "ո": "n", "α": "a", "ο": "o", "ι": "i",
+}
 SEPARATORS = ".-_*~'`´^·,:;/\\ "
 SIGN_COST, DROP_COST, REPEAT_COST, OTHER_COST = 1.0, 0.5, 0.7, 12.0
 
@@ -74,6 +81,8 @@ _ENDS = re.compile(r"^[^\w$@!|+(<€£¥]+|[^\w$@!|+(<€£¥]+$")
 _EDGE_SIGNS = re.compile(r"^[^\w$@!|+(<€£¥]+|[^\w$@€£¥]+$")
 _SIGN_TAIL = re.compile(r"([^\w])\1+$|[^\w]{2,}$")
 _APART = re.compile(r"(?<!\S)(?:\S[^\w\s]* +){2,}\S(?!\w)")
+_ALIKE = re.compile("[" + "".join(c for c in IMITATES if c.isalpha()) + "]")
+_LATIN = re.compile("[a-z]", re.IGNORECASE)
 _TRIPLE = re.compile(r"(.)\1\1")
 
 
@@ -134,7 +143,13 @@ def is_disguised(word: str) -> bool:
     letters = sum(map(str.isalpha, word))
     if letters and letters < len(word):
         return True
-    return bool(_TRIPLE.search(word))
+    return bool(_TRIPLE.search(word)) or _mixes(word)
+
+
+def _mixes(word: str) -> bool:
+    """Whether look-alikes of another script stand among Latin letters."""
+    alike = _ALIKE.search(word)
+    return bool(alike and _LATIN.search(word))
 
 
 def restore(word: str, model: np.ndarray) -> str:
@@ -149,18 +164,36 @@ def restore(word: str, model: np.ndarray) -> str:
 def _search(word: str, model: np.ndarray, least: int, repeats: bool = True) -> list[str]:
     """Likeliest readings of the first ``least`` characters, of one more, up to all.
 
-    Without ``repeats`` every letter is read as often as it stands there.
+    Without ``repeats`` every letter is read as often as it stands there. Readings of more
+    than ``LONGEST`` letters come out cut behind the next, and equal ones once. Memory and
+    time stay linear: ways too costly to win are given up, and a tail that repeats one or
+    two signs is left as soon as two more of them change nothing but the costs.
     """
-    edge, out = 0, []
+    edge, word, found = 0, word.lower(), {}
+    far = 4 * (float(model.max()) + SIGN_COST + REPEAT_COST)  # no context makes up for more
 
     def best() -> str:
         ends = ((cost + float(model[a, b, edge]), text) for (a, b), (cost, text) in states.items())
         return min(ends, default=(0.0, ""))[1]
 
+    def relative() -> dict:
+        low = min(cost for cost, _ in states.values())
+        return {k: (round(cost - low, 5), text) for k, (cost, text) in states.items()}
+
+    same = len(word)  # from here on the word repeats its last two characters
+    while same > 2 and word[same - 1] == word[same - 3]:
+        same -= 1
     states: dict[tuple[int, int], tuple[float, str]] = {(edge, edge): (0.0, "")}
-    for n, c in enumerate(word.lower()):
+    n, before = 0, [{}, {}]  # what one and two characters ago was left of the costs
+    while n < len(word):
         if n >= least:
-            out.append(best())
+            found[best()] = None
+        if n >= max(same, least):
+            now = relative()
+            if now == before[1]:
+                n += 2 * ((len(word) - n - 1) // 2)
+            before = [now, before[0]]
+        c = word[n]
         steps: list[tuple[str, float]] = []
         if c.isalpha():
             steps.append((c, 0.0))
@@ -176,13 +209,20 @@ def _search(word: str, model: np.ndarray, least: int, repeats: bool = True) -> l
         for (a, b), (cost, text) in states.items():
             for letter, paid in steps:
                 at = _INDEX.get(letter, _SIZE - 1)
-                offer((b, at), cost + paid + float(model[a, b, at]), text + letter)
+                longer = text + letter if len(text) <= LONGEST else text
+                offer((b, at), cost + paid + float(model[a, b, at]), longer)
                 if repeats and at == b and text:  # the same letter once more: read it once
                     offer((a, b), cost + paid + REPEAT_COST, text)
             if drop is not None:
                 offer((a, b), cost + drop, text)
         states = following or states
-    return [*out, best()]
+        low = min(cost for cost, _ in states.values()) + far
+        states = {k: v for k, v in states.items() if v[0] <= low}
+        n += 1
+    # The reading of the whole word comes last, even if a shorter part was read alike.
+    last = best()
+    found.pop(last, None)
+    return [*found, last]
 
 
 def readings(word: str, model: np.ndarray) -> list[str]:
@@ -193,7 +233,7 @@ def readings(word: str, model: np.ndarray) -> list[str]:
     """
     core = _SIGN_TAIL.sub("", word.lower())
     core = _EDGE_SIGNS.sub("", core)
-    if core.isalpha() and not _TRIPLE.search(core):
+    if core.isalpha() and not _TRIPLE.search(core) and not _mixes(core):
         found = [core]
     else:
         found = [w for w in re.split(r"[\W\d_]+", core) if w]
@@ -204,7 +244,7 @@ def readings(word: str, model: np.ndarray) -> list[str]:
     if says and len(whole) > len(core) and whole.startswith(core):
         for repeats in (True, False):
             found += _search(whole, model, len(core) + 1, repeats)
-    return [w for w in dict.fromkeys(found) if w]
+    return [w for w in dict.fromkeys(found) if w and len(w) <= LONGEST]
 
 
 def spelled_apart(text: str) -> list[str]:
@@ -223,7 +263,7 @@ def spelled_apart(text: str) -> list[str]:
 
 
 def features(word: str) -> list[int]:
-    """Hashes of a restored word and of its openings."""
+    """Hashes of a restored word (first) and of its openings."""
     made = [zlib.crc32(("=" + word).encode())]
     made += [zlib.crc32(word[:k].encode()) for k in OPENINGS if len(word) >= k]
     return made
@@ -241,18 +281,35 @@ def _words(text: str) -> set[str]:
     return found
 
 
-def _document_features(texts: list[str], characters: np.ndarray) -> list[bytes]:
+def _document_pairs(texts: list[str], characters: np.ndarray) -> list[np.ndarray]:
+    """Of each text the features and the words they come from, as two sorted columns."""
     out, known = [], {}
     for text in texts:
-        found: set[int] = set()
+        found: set[tuple[int, int]] = set()
         for word in _words(text):
             if word not in known:
-                known[word] = [h for r in readings(word, characters) for h in features(r)]
+                made = map(features, readings(word, characters))
+                known[word] = [(h, m[0]) for m in made for h in m]
             found.update(known[word])
-        out.append(np.array(sorted(found), "<u4").tobytes())
+        out.append(np.array(sorted(found), "<u4").reshape(-1, 2).T)
     return out
 
 
+def _document_features(texts: list[str], characters: np.ndarray) -> list[bytes]:
+    return [np.unique(p[0]).tobytes() for p in _document_pairs(texts, characters)]
+
+
+def _rare_openings(names: np.ndarray, pairs: list[bytes]) -> np.ndarray:
+    """Which features (sorted) are openings of fewer than ``LEAST_WORDS`` different words."""
+    held = [np.frombuffer(p, "<u4").reshape(2, -1) for p in pairs]
+    both = np.concatenate([np.zeros((2, 0), "<u4"), *held], axis=1)
+    both = np.unique(both[0].astype(np.uint64) << np.uint64(32) | both[1])
+    feature = (both >> np.uint64(32)).astype(np.uint32)
+    whole = np.isin(names, feature[feature == both.astype(np.uint32)])
+    words = np.searchsorted(feature, names, "right") - np.searchsorted(feature, names)
+    return ~whole & (words < LEAST_WORDS)
+
+
 def _thinned(flat: list[np.ndarray]) -> list[int]:
     """Rows left when near copies of earlier rows go: eight shared minima of hashes.
 
@@ -280,11 +337,17 @@ def _lower_bound(hits: np.ndarray, seen: np.ndarray) -> np.ndarray:
     return (share + z2 / (2 * seen) - spread) / (1 + z2 / seen)
 
 
-def fit_rows(rows: list[bytes], labels: list[int], characters: np.ndarray) -> ToxicModel:
+def fit_rows(
+    rows: list[bytes],
+    labels: list[int],
+    characters: np.ndarray,
+    pairs: list[bytes | None] | None = None,
+) -> ToxicModel:
     """Logistic regression over the features that go with toxic labels.
 
     The prior mean of a feature that is surely toxic on its own is the weight that
-    lets it decide alone; of the others it is zero.
+    lets it decide alone; of the others it is zero. ``pairs`` has of the toxic rows the
+    features with their words; without it every opening may be a feature.
     """
     flat = [np.frombuffer(r, "<u4") for r in rows]
     left = _thinned(flat)
@@ -314,6 +377,8 @@ def fit_rows(rows: list[bytes], labels: list[int], characters: np.ndarray) -> To
     gain = toxic * np.log(share / base) + (seen - toxic) * np.log((1 - share) / (1 - base))
     usual = base / (1 - base)
     good = (toxic >= LEAST_SEEN) & (share / (1 - share) > LEAST_ODDS * usual)
+    if pairs is not None:
+        good &= ~_rare_openings(names, [pairs[i] for i in left if labels[i]])
     order = np.lexsort((names, -np.where(good, gain, -np.inf)))
     chosen = order[: min(MOST_FEATURES, int(good.sum()))]
     place = np.full(len(names), -1)
@@ -354,12 +419,21 @@ def fit(
     characters = character_model(trigram_counts(docs, text))
 
     def make():
-        return lambda column: [pa.array(_document_features(texts_of(column), characters), pa.binary())]
+        def work(column: pa.Array) -> list[pa.Array]:
+            pairs = _document_pairs(texts_of(column), characters)
+            rows = [np.unique(p[0]).tobytes() for p in pairs]
+            return [pa.array(rows, pa.binary()), pa.array([p.tobytes() for p in pairs], pa.binary())]
+
+        return work
 
     taken = labelled_sample(docs, labels, key, text, most)
-    sparse = append_columns(taken, "text", [("x", T.BinaryType())], make).select("x", "label")
-    held = sparse.toArrow()  # bounded by ``most`` rows
-    return fit_rows(held["x"].to_pylist(), held["label"].to_pylist(), characters)
+    fields = [("x", T.BinaryType()), ("pairs", T.BinaryType())]
+    sparse = append_columns(taken, "text", fields, make)
+    toxic = F.when(F.col("label") == 1, F.col("pairs")).alias("pairs")
+    held = sparse.select("x", "label", toxic).toArrow()  # bounded by ``most`` rows
+    return fit_rows(
+        held["x"].to_pylist(), held["label"].to_pylist(), characters, held["pairs"].to_pylist()
+    )
 
 
 def scorer(model: ToxicModel):

@@ -120,3 +120,62 @@ def test_tree_edges_between_partitions(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert result(near_duplicates(docs)) == brute(rows, Rule())
+
+
+def test_texts_among_keeps_all_that_are_asked_for(spark, monkeypatch):
+    texts = spark.range(5000).selectExpr("id", "concat('t', id) as text")
+    ids = texts.where("id % 7 = 0").select("id")
+    wanted = {r.id for r in ids.collect()}
+    for bits in (1 << 26, 1 << 10):  # also when the filter is far too small
+        monkeypatch.setattr(lsh_forest, "FILTER_BITS", bits)
+        kept = {r.id: r.text for r in lsh_forest.texts_among(texts, ids).collect()}
+        assert wanted <= kept.keys() and all(t == f"t{i}" for i, t in kept.items())
+        assert bits == 1 << 10 or len(kept) - len(wanted) < 0.08 * 5000
+    assert lsh_forest.texts_among(texts, ids.limit(0)).count() == 0
+
+
+def test_prefixes_meet_if_sets_are_similar():
+    """Similar sets share an early token of the smaller within the prefix of the larger."""
+    draw = np.random.default_rng(6)
+    for percent in (80, 85):
+        met = 0
+        for _ in range(300):
+            base = draw.integers(0, 2**63, draw.integers(1, 80)).astype(np.uint64)
+            sets = []
+            for _ in range(2):
+                kept = base[draw.random(len(base)) > 0.03]
+                own = draw.integers(0, 2**63, draw.integers(0, 3)).astype(np.uint64)
+                sets.append(np.unique(np.r_[kept, own, base[:1]]))
+            sets.sort(key=len)
+            made, starts = np.concatenate(sets), np.cumsum([0] + [len(x) for x in sets])
+            counts = np.full(lsh_forest.COUNTS, 2, np.int64)
+            counts[draw.integers(0, lsh_forest.COUNTS, lsh_forest.COUNTS // 2)] = 9
+            token, owner, place, early = lsh_forest.prefixes(made, starts, counts, percent)
+            shared = len(np.intersect1d(*sets))
+            if 100 * shared >= percent * (len(sets[0]) + len(sets[1]) - shared):
+                met += 1
+                small = {t: p for t, o, p, e in zip(token.tolist(), owner.tolist(), place.tolist(), early.tolist(), strict=True) if o == 0 and e}
+                large = {t: p for t, o, p in zip(token.tolist(), owner.tolist(), place.tolist(), strict=True) if o == 1}
+                common = small.keys() & large.keys()
+                assert common
+                first = min(common, key=small.get)
+                room = min(len(sets[0]) - small[first], len(sets[1]) - large[first])
+                assert (100 + percent) * room >= percent * (len(sets[0]) + len(sets[1]))
+        assert met > 50
+
+
+@pytest.mark.parametrize("blocks", [(1_000, 400), (7, 3)])
+def test_crowds_in_blocks(spark, monkeypatch, blocks):
+    """Many near misses without a hub, and links between components, cut into small blocks."""
+    monkeypatch.setattr(lsh_forest, "MAIN_EACH", blocks[0])
+    monkeypatch.setattr(lsh_forest, "OTHERS_EACH", blocks[1])
+    pick = random.Random(9)
+    base = [f"w{pick.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for i in range(160):
+        words = list(base)
+        for at in pick.sample(range(120), pick.randrange(1, 5)):
+            words[at] = f"v{pick.randrange(10**6)}"
+        rows.append((1000 - i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(near_duplicates(docs)) == brute(rows, Rule())

@@ -113,6 +113,82 @@ def test_any_share_of_toxic_labels(percent):
     assert np.mean(np.array(score([f"{t} {bad[i % 4]}" for i, t in enumerate(clean)])) >= 0.5) > 0.97
 
 
+# Everyday words, many of which begin like the words of the labels.
+EVERYDAY = """
+idiom idiomatic ideal idea idle idiosyncratic idol moratorium morale morocco morning mortar moral more clover cloud
+clock clothes clone close transport trap tradition train travel traffic transparent trash-can tray scuba sculpture
+scurry pathos pathology patient path pathway worthy worth worthwhile stupendous studio student stumble study loserville
+lost lose loom loan garden garage gardener garland crane craft creature crater dumbbell dump duplicate duke fools-gold
+football food foot jerkin jersey jerky jewel pigeon pigment piglet pine ratio rational rather rate snake snack snail
+toaster toad today tomorrow ugliest uglier umbrella useful usage usual wretch wren wrench wrestle vermilion vertical
+verse filter film filth-free final find monster-truck monument month mobile creep-feed cream credit
+idiome idéal idiosyncrasie morale moratoire morue clôture clown-fish clos traduction trahison train transport trace
+scution sculpteur pathétique pathologie patience stupeur studieux nul nulle nullement null nuage ordures ordre orange
+idee idiomatisch morgen moor moral klausel kloster tradition trost traum schulter schule patenschaft pathos wortlaut
+wurzel studium stupide-frei stunde abfall abend mull mulde dumm-dumm dumpf durst null nummer narzisse narbe
+idea idioma ideal moral moreno morir clase claro cloro trabajo tradicion tren traje escudo escuela patio patria
+estudio estupendo basura-cero basta barco tonto-hermano tonel toalla nulo nube feo-lindo fecha feria paloma paleta
+""".split()
+
+
+def test_everyday_words_are_clean(model):
+    score = X.scorer(model)
+    assert len(EVERYDAY) >= 200
+    texts = [f"the {w} is here" for w in EVERYDAY] + [
+        "An idiom is a short phrase.", "his idiosyncratic style", "a moratorium in Morocco",
+        "the clover and the cloud", "the transport trap", "pathos and pathology", "worthy",
+    ]
+    toxic = [t for t, s in zip(texts, score(texts), strict=True) if s >= 0.5]
+    # What remains are compounds of a learned word itself.
+    assert [t for t in toxic if "-" not in t] == []
+
+
+def test_an_opening_needs_several_words():
+    texts = [["idiot", "fine"], ["idiots", "nice"], ["idiotic", "sun"], ["moron", "sea"], ["calm", "idea"]]
+    pairs = [p.tobytes() for p in X._document_pairs([" ".join(t) for t in texts[:4]], X.model_of_counts(np.zeros(X._SIZE**3)))]
+    names = np.unique(np.concatenate([np.frombuffer(p, "<u4").reshape(2, -1)[0] for p in pairs]))
+    rare = dict(zip(names.tolist(), X._rare_openings(names, pairs).tolist(), strict=True))
+    assert not rare[X.features("idiot")[0]] and not rare[X.features("moron")[0]]
+    assert not rare[X.features("idi")[1]] and not rare[X.features("idiot")[3]]
+    assert rare[X.features("mor")[1]] and rare[X.features("idioti")[4]]
+
+
+def longhand(word, model, least, repeats):
+    """Readings of every tail by a search of its own."""
+    out = []
+    for n in range(least, len(word) + 1):
+        out += X._search(word[:n], model, n, repeats)
+    last = out[-1]
+    return [*dict.fromkeys(r for r in out if r != last), last]
+
+
+def test_tails_are_read_as_one_by_one(model):
+    draw = np.random.default_rng(8)
+    for _ in range(60):
+        word = "".join(draw.choice(list("aeiost"), 3)) + "".join(draw.choice(list("!$+|1"), draw.integers(1, 3)))
+        word += "".join(draw.choice(["!", "$", "!$", "+", "||"], 1)) * int(draw.integers(1, 9))
+        for repeats in (True, False):
+            assert X._search(word, model.characters, 4, repeats) == longhand(word, model.characters, 4, repeats), word
+
+
+def test_long_tails_of_signs(model):
+    import tracemalloc
+
+    tracemalloc.start()
+    for tail in ("!" * 1_000_000, "$!" * 500_000, "!$+" * 20_000):
+        found = X.readings("a" + tail, model.characters)
+        assert found[0] == "a" and all(len(w) <= X.LONGEST for w in found)
+    assert tracemalloc.get_traced_memory()[1] < 150_000_000  # linear in the word
+    tracemalloc.stop()
+    assert X.scorer(model)(["idiot" + "!" * 100_000])[0] >= 0.5
+
+
+def test_look_alikes_of_other_scripts(model):
+    assert "idiot" in X.readings("іdiоt", model.characters)
+    assert X.readings("идиот", model.characters) == ["идиот"]
+    assert X.scorer(model)(["such an іdiоt"])[0] >= 0.5
+
+
 def test_disguised_endings(model):
     """Signs at the end are read as letters too, also before a comma or full stop."""
     wanted = {
