@@ -57,3 +57,30 @@ def test_run_and_empty_input(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_rows_without_ids_of_their_own(spark):
+    """Repeated rows, null ids, one id with two texts: one row of each group stays."""
+    texts = [" ".join(f"w{g}x{i}" for i in range(40)) for g in range(5)]
+    near = texts[0] + " more"
+    rows = [
+        (1, texts[0], "a"), (1, texts[0], "a"), (2, near, "a"), (None, texts[0], "b"),
+        (3, texts[1], "a"), (3, texts[2], "a"), (4, texts[2], "c"),
+        (None, texts[3], "a"), (None, texts[3], "a"), (None, "", "a"), (None, None, "a"), (5, "", "a"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string").repartition(3)
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, SF)
+    assert kept.columns == docs.columns
+    found = sorted([(r.doc_id, r.text) for r in kept.collect()], key=repr)
+    assert found == sorted(
+        [(1, texts[0]), (3, texts[1]), (3, texts[2]), (None, texts[3]), (None, ""), (None, None), (5, "")],
+        key=repr,
+    )
+
+
+def test_numbered_rows_give_the_groups_of_ids(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    by_id = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()}
+    extra = docs.limit(1).select(*[docs[c] if c != "doc_id" else docs[c] for c in docs.columns])
+    again = corpus_pipeline.near_duplicate_stage(spark, docs.unionByName(extra), SF).collect()
+    assert sorted(r.doc_id for r in again) == sorted(by_id)
