@@ -18,6 +18,7 @@ from siftmark.session import materialize
 
 #: Near-duplicates of the pipeline: five-word shingles, a similarity of 0.8.
 NEAR = lsh_forest.Rule(words=5, percent=80)
+_ROW = "_row_of_stage"
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +36,23 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that of the smallest id."""
-    found = lsh_forest.near_duplicates(docs, rule=NEAR)
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near-duplicates stays, that of the smallest id.
+
+    Rows, not ids, are compared: of repeated rows one stays, a null id comes after all
+    others, and of two texts under one id each belongs to its own group. Where all ids are
+    different the rows are told apart by them; else each gets a number of its own.
+    """
+    odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL")
+    if odd.isEmpty():
+        found = lsh_forest.near_duplicates(docs, rule=NEAR)
+        gone = found.where(~F.col("kept")).select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = materialize(docs.withColumn(_ROW, F.monotonically_increasing_id()), "pipeline_rows")
+    found = lsh_forest.near_duplicates(rows.select(_ROW, "text"), key=_ROW, rule=NEAR)
+    named = found.select(_ROW, "component_id").join(rows.select(_ROW, "doc_id"), _ROW)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", _ROW))
+    kept = named.groupBy("component_id").agg(first.getField(_ROW).alias(_ROW)).select(_ROW)
+    return rows.join(kept, _ROW, "left_semi").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
