@@ -43,6 +43,31 @@ BOILERPLATE = [
     "subscribe to our",
     "terms of service",
     "terms of use",
+    "akzeptieren sie alle cookies",
+    "alle rechte vorbehalten",
+    "cookies akzeptieren",
+    "datenschutzerklärung",
+    "hier klicken",
+    "javascript aktivieren",
+    "klicken sie hier",
+    "newsletter abonnieren",
+    "nutzungsbedingungen",
+    "abonnez-vous",
+    "accepter les cookies",
+    "accepter tous les cookies",
+    "activer javascript",
+    "cliquez ici",
+    "mentions légales",
+    "politique de confidentialité",
+    "tous droits réservés",
+    "aceptar cookies",
+    "aceptar las cookies",
+    "aviso legal",
+    "haga clic",
+    "habilite javascript",
+    "política de privacidad",
+    "términos de uso",
+    "todos los derechos reservados",
 ]
 BOILERPLATE_WORDS = 20
 MOST_LOST = 30
@@ -55,7 +80,14 @@ _INNER = bytes(range(0x80, 0xC0))  # bytes that continue a character of UTF-8
 _SYMBOLS, _MARKS = SYMBOLS.encode(), MARKS.encode()
 _ENDS = tuple(c.encode() for c in END_MARKS)
 _NAVIGATION = frozenset(c.encode() for c in NAVIGATION)
-_STOCK = re.compile("|".join(map(re.escape, BOILERPLATE)).encode())
+
+
+def _any_case(phrase: str) -> str:
+    """A pattern for lines whose A-Z are lowered already."""
+    return "".join(re.escape(c) if c.isascii() else f"(?:{c}|{c.upper()})" for c in phrase)
+
+
+_STOCK = re.compile("|".join(map(_any_case, BOILERPLATE)).encode())
 _FACTORS = mix64(np.arange(1, WINDOW + 1, dtype=np.uint64)) | np.uint64(1)
 
 

@@ -83,3 +83,21 @@ def test_odd_rows(odd_docs, no_docs):
         assert (row.n_dup_lines, row.n_repeat_words, row.base_failed) == plain(text)[3:]
         assert row.kept in (True, False) and (row.clean_text == "" or text)
     assert X.apply_line_rules(no_docs).count() == 0
+
+
+def test_boilerplate_of_four_languages():
+    from siftmark.llm.line_rules import line_fails
+
+    stock = [
+        "Alle Rechte vorbehalten.", "Tous droits réservés.", "TOUS DROITS RÉSERVÉS.",
+        "Bitte akzeptieren Sie alle Cookies.", "Lea nuestra Política de Privacidad aquí.",
+        "Subscribe to our weekly letter today.",
+    ]
+    prose = [
+        "Alle hatten ihre Rechte und gingen nach Hause.", "Tous les droits de la ville furent vendus.",
+        "El aviso llegó tarde a la casa.", "Die Kekse waren gut und alle aßen davon.",
+    ]
+    for line in stock:
+        assert line_fails(line.encode(), line.encode().split()), line
+    for line in prose:
+        assert not line_fails(line.encode(), line.encode().split()), line
