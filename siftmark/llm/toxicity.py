@@ -170,7 +170,9 @@ def _search(word: str, model: np.ndarray, least: int, repeats: bool = True) -> l
     two signs is left as soon as two more of them change nothing but the costs.
     """
     edge, word, found = 0, word.lower(), {}
-    far = 4 * (float(model.max()) + SIGN_COST + REPEAT_COST)  # no context makes up for more
+    lengthy = len(word) > LONGEST  # else nothing is worth giving up
+    # No context makes up for more than this.
+    far = 4 * (float(model.max()) + SIGN_COST + REPEAT_COST) if lengthy else 0.0
 
     def best() -> str:
         ends = ((cost + float(model[a, b, edge]), text) for (a, b), (cost, text) in states.items())
@@ -181,14 +183,14 @@ def _search(word: str, model: np.ndarray, least: int, repeats: bool = True) -> l
         return {k: (round(cost - low, 5), text) for k, (cost, text) in states.items()}
 
     same = len(word)  # from here on the word repeats its last two characters
-    while same > 2 and word[same - 1] == word[same - 3]:
+    while lengthy and same > 2 and word[same - 1] == word[same - 3]:
         same -= 1
     states: dict[tuple[int, int], tuple[float, str]] = {(edge, edge): (0.0, "")}
     n, before = 0, [{}, {}]  # what one and two characters ago was left of the costs
     while n < len(word):
         if n >= least:
             found[best()] = None
-        if n >= max(same, least):
+        if lengthy and n >= max(same, least):
             now = relative()
             if now == before[1]:
                 n += 2 * ((len(word) - n - 1) // 2)
@@ -216,8 +218,9 @@ def _search(word: str, model: np.ndarray, least: int, repeats: bool = True) -> l
             if drop is not None:
                 offer((a, b), cost + drop, text)
         states = following or states
-        low = min(cost for cost, _ in states.values()) + far
-        states = {k: v for k, v in states.items() if v[0] <= low}
+        if lengthy:
+            low = min(cost for cost, _ in states.values()) + far
+            states = {k: v for k, v in states.items() if v[0] <= low}
         n += 1
     # The reading of the whole word comes last, even if a shorter part was read alike.
     last = best()

@@ -162,7 +162,9 @@ def longhand(word, model, least, repeats):
     return [*dict.fromkeys(r for r in out if r != last), last]
 
 
-def test_tails_are_read_as_one_by_one(model):
+@pytest.mark.parametrize("longest", [64, 5])
+def test_tails_are_read_as_one_by_one(model, monkeypatch, longest):
+    monkeypatch.setattr(X, "LONGEST", longest)
     draw = np.random.default_rng(8)
     for _ in range(60):
         word = "".join(draw.choice(list("aeiost"), 3)) + "".join(draw.choice(list("!$+|1"), draw.integers(1, 3)))
