@@ -96,7 +96,7 @@ class WordCache(dict):
 
 
 class WordGenerations:
-    """Results (bytes) by word, in two generations of about ``most`` bytes each.
+    """Results with a length by word, in two generations of about ``most`` bytes each.
 
     Words move to the younger when they are used; when it is full, it becomes the older
     and that is dropped. So frequent words are never forgotten.

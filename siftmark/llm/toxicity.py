@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordCache, append_columns, labelled_sample, mix64, slices, texts_of
+from .common import WordGenerations, append_columns, labelled_sample, mix64, slices, texts_of
 
 #: Labelled documents a fit uses at most, and features it keeps at most.
 MOST_ROWS = 8000
@@ -40,6 +40,8 @@ SURE = 0.7
 #: Odds of a feature over the odds of all rows: to be kept, and to be sure at any base.
 LEAST_ODDS, SURE_ODDS = 2.0, 10.0
 PULL = 1.0
+#: Text whose trigrams are counted at once; they take about thirty times its bytes.
+COUNTED_BYTES = 1 << 20
 OPENINGS = (3, 4, 5, 6, 7)
 #: Different words of toxic rows that must begin with an opening.
 LEAST_WORDS = 3
@@ -104,7 +106,7 @@ def trigram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_SIZE**3, np.int64)
-        for rows in slices(batches, text):
+        for rows in slices(batches, text, COUNTED_BYTES):
             code = _codes("  ".join(["", *texts_of(rows.column(text)), ""]))
             gram = (code[:-2] * _SIZE + code[1:-1]) * _SIZE + code[2:]
             total += np.bincount(gram, minlength=_SIZE**3)
@@ -148,6 +150,8 @@ def is_disguised(word: str) -> bool:
 
 def _mixes(word: str) -> bool:
     """Whether look-alikes of another script stand among Latin letters."""
+    if word.isascii():
+        return False
     alike = _ALIKE.search(word)
     return bool(alike and _LATIN.search(word))
 
@@ -441,20 +445,20 @@ def fit(
 
 def scorer(model: ToxicModel):
     """Scores of texts: words without a weighted feature are remembered as empty."""
-    weights, characters, known = model.weights, model.characters, WordCache(12_000_000)
+    weights, characters, known = model.weights, model.characters, WordGenerations(4_000_000)
 
     def telling(word: str) -> tuple[int, ...]:
         found = [h for r in readings(word, characters) for h in features(r) if h in weights]
         return tuple(dict.fromkeys(found))
 
     def score(texts: list[str]) -> list[float]:
-        known.make_room()
         words = [_words(t) for t in texts]
-        new = list(set().union(*words) - known.keys())
-        known.grow(new, map(telling, new))
-        out = []
+        new = known.missing(set().union(*words))
+        known.grow(new, list(map(telling, new)))
+        out, told = [], known.young
+        known.make_room()
         for of_text in words:
-            found = {h for w in of_text for h in known[w]}
+            found = {h for w in of_text for h in told[w]}
             z = model.bias + math.fsum([weights[h] for h in found])
             out.append(1 / (1 + math.exp(-max(-60.0, min(60.0, z)))))
         return out
