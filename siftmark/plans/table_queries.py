@@ -265,16 +265,8 @@ def chunk_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every posting, as one row per chunk: its list in the order of terms, digested."""
-    entry = F.concat_ws(":", "term", F.col("tf").cast("long").cast("string"))
-    rows = postings(forward(row_chunks(spark, sf_dir), stem=False))
-    # A chunk's postings come from one row, so a group is as bounded as a chunk.
-    return rows.groupBy("chunk_id").agg(
-        F.count("*").alias("terms"),
-        F.sum("tf").alias("total_tf"),
-        F.max("doc_len").alias("doc_len"),
-        F.md5(F.array_join(F.array_sort(F.collect_list(entry)), " ").cast("binary")).alias("digest"),
-    )
+    """Every posting of every chunk, a row each."""
+    return postings(forward(row_chunks(spark, sf_dir), stem=False))
 
 
 def term_df_idf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,3 +39,12 @@ def test_query(spark, oracle, name):
     assert sorted(expected.columns) == columns
     places = [expected.columns.index(c) for c in columns]
     assert rows == sorted(repr([row[i] for i in places]) for row in expected.fetchall())
+
+
+def test_bm25_postings_has_a_row_per_posting(spark, oracle):
+    found = entry.queries()["bm25_postings"](spark, SF_DIR)
+    assert found.columns == ["term", "chunk_id", "tf", "doc_len"]
+    assert found.count() == found.select("term", "chunk_id").distinct().count()
+    sql = entry.oracle_sql()["bm25_postings"]
+    terms = oracle.sql(f"SELECT term, count(*) FROM ({sql}) GROUP BY term").fetchall()
+    assert {r.term: r["count"] for r in found.groupBy("term").count().collect()} == dict(terms)
