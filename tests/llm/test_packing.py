@@ -82,3 +82,21 @@ def test_digests_and_sequences(spark):
             own = next(r for r in rows if (r.doc_id, r.start) == (b.doc_id, b.start))
             assert bytes(s.input_ids[4 * b.offset : 4 * (b.offset + b.length)]) == bytes(own.ids)
     assert sorted(s.n_tokens for s in packed)[1:] == [32] * (len(packed) - 1)
+
+
+def test_steps_give_freed_memory_back(monkeypatch):
+    import pyarrow as pa
+
+    from siftmark.llm import common
+
+    pool, released = pa.default_memory_pool(), []
+
+    class Pool:
+        def release_unused(self):
+            released.append(pool.bytes_allocated())
+
+    monkeypatch.setattr(common.pa, "default_memory_pool", Pool)
+    batch = pa.record_batch([pa.array(["x" * 100] * 10)], ["t"])
+    parts = list(common.slices([batch], "t", 300))
+    assert pa.Table.from_batches(parts).num_rows == 10
+    assert len(released) == len(parts) > 1
