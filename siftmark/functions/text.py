@@ -72,12 +72,16 @@ _GLUE_RUN = rf"(?:{_JOINER}{_EXTEND}*+|[.:\-])++"
 _AFTER_SPACED = rf"{_OPEN}{_EXTEND}*+(?!_++{_EXTEND}*+{_SINGLE}){_GLUE_RUN}(?={_START}|{_SINGLE})"
 _AFTER_LONE = rf"{_OPEN}{_EXTEND}*+(?!_++{_EXTEND}*+{_START}){_GLUE}++(?={_START}|{_SINGLE})"
 
-# Every quantifier is possessive: matching is linear in the text. Most words have no
-# glue behind them and end in the first branch.
+# Common letters, then (after marks that would need a letter or digit behind them) a blank,
+# the end or ASCII that joins nothing: they are a word whatever the rest of the rule says.
+_PLAIN_WORD = rf"[{_LATIN}]++(?=[.:'\-]*+(?:[\x00-\x20!-&(-,/;-@\[-\^`{{-\x7f]|\z))"
+
+# Every quantifier is possessive: matching is linear in the text. Most words are plain, or
+# have no glue behind them and end in the second branch.
 WORD_PATTERN = (
-    rf"(?=[0-9_a-z[^\x00-\x7f]])(?:{_RUN}(?!{_OPEN}{_EXTEND}*+{_GLUE})"
+    rf"(?:{_PLAIN_WORD}|(?=[0-9_a-z[^\x00-\x7f]])(?:{_RUN}(?!{_OPEN}{_EXTEND}*+{_GLUE})"
     rf"|(?:(?={_JOINER})(?<!{_JOINER})(?:{_JOINER}{_EXTEND}*+)++(?={_START}))?+"
-    rf"(?:{_SPACED}{_AFTER_SPACED}|{_LONE}{_AFTER_LONE})*+(?:{_SPACED}|{_LONE}))"
+    rf"(?:{_SPACED}{_AFTER_SPACED}|{_LONE}{_AFTER_LONE})*+(?:{_SPACED}|{_LONE})))"
 )
 # A separator after the first letter or digit; words always end in one.
 INTERNAL_SEPARATOR = rf"[^{_JOIN}][{SEPARATORS}]"

@@ -43,13 +43,16 @@ class HotLists:
     def build(
         cls, postings: DataFrame, weight: Column, bucket: Column, block_chunks: int = BLOCK_CHUNKS
     ) -> HotLists:
-        """Write both tables; a hot term spans many tasks of either shuffle."""
+        """Write both tables; the postings without a shuffle, by the tasks that read them.
+
+        Chunks of a task are mostly neighbours, so it has few slabs.
+        """
         block = F.floor(F.col("chunk_id") / block_chunks)
         keys = ["slab", "term", "chunk_id"]
         placed = postings.withColumn("block", block).withColumn(
             "slab", F.floor(F.col("block") / SLAB_BLOCKS)
         )
-        placed = placed.repartitionByRange(*keys).sortWithinPartitions(*keys)
+        placed = placed.sortWithinPartitions(*keys)
         rows = _foldered(placed, "hot_postings", "slab")
         tops = rows.groupBy("term", "block").agg(F.max(weight).alias("top"))
         order = ["bucket", "term", "block"]

@@ -12,7 +12,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ from . import ordering
 from .block_max import BLOCK_CHUNKS, BlockSearch, HotLists
 
 _CHUNKS_PER_BUCKET = 10_000
+#: Tokens that are counted in one step of a Python worker, whatever the batches hold.
+_STEP_TOKENS = 200_000
 # A term in more chunks than this, and in more than a thousandth of all, is hot. So hot
 # terms number at most a thousand times the distinct terms of a mean chunk.
 HOT_LIST = 20_000
@@ -45,13 +48,26 @@ def forward(chunks: DataFrame, stem: bool = True) -> DataFrame:
     )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool = pa.default_memory_pool()
         for batch in batches:
-            if batch.num_rows:
-                yield _count_batch(batch, stem)
+            for rows in _steps(batch):
+                yield _count_batch(rows, stem)
+                pool.release_unused()
 
     return analysed.mapInArrow(count, FORWARD)
 
 
+def _steps(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows that hold about ``_STEP_TOKENS`` tokens."""
+    if not batch.num_rows:
+        return
+    held = sum(np.diff(batch.column(name).offsets.to_numpy()) for name in ("heading", "body"))
+    part = np.cumsum(held) // _STEP_TOKENS
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield batch.slice(a, b - a)
+
+
 def _count_batch(batch: pa.RecordBatch, stem: bool) -> pa.RecordBatch:
     """Sum the weights of equal (row, term) pairs of one batch."""
     rows, weights, values = [], [], []
@@ -129,16 +145,16 @@ class Bm25Index:
     """A written lexical index and its two corpus constants.
 
     ``terms`` is the dictionary (term, df), foldered by the same hash bucket as the
-    posting lists, so a query learns its frequencies without reading any list.
-    ``inverted`` is laid out by term: foldered by a hash bucket of the term and
-    sorted by (term, chunk_id), so a query opens a few folders and skips to its
-    posting lists. Without it, searches scan the forward relation instead. Terms in more
-    than ``hot_list`` chunks have their postings in ``hot``, by blocks of chunks.
+    posting lists, so a query learns its frequencies without reading any list; it is
+    written when first needed. ``inverted`` is laid out by term: foldered by a hash bucket
+    of the term and sorted by (term, chunk_id), so a query opens a few folders and skips to
+    its posting lists. Without it, a search scans the forward relation once for lists and
+    frequencies alike. Terms in more than ``hot_list`` chunks have their postings in
+    ``hot``, by blocks of chunks.
     """
 
     forward: DataFrame
     inverted: DataFrame | None
-    terms: DataFrame
     buckets: int
     n_docs: int
     avg_doc_len: float
@@ -159,22 +175,33 @@ class Bm25Index:
         rows, stats = _write_forward(chunks, stem)
         n_docs, mean = stats["n_docs"], stats["avg_doc_len"]
         buckets = partitions_for(spark, n_docs, _CHUNKS_PER_BUCKET)
-        terms = _write_terms(rows, buckets)
-        hot_list, lists, hot = max(hot_list, n_docs // _HOT_SHARE), None, None
-        if inverted:
-            frequent = terms.where(F.col("df") > hot_list).select("term")
-            all_lists = lists = postings(rows)
-            if n_docs > hot_list and not frequent.isEmpty():
-                # Bounded as said at HOT_LIST.
-                lists = all_lists.join(F.broadcast(frequent), "term", "left_anti")
-                hot = HotLists.build(
-                    all_lists.join(F.broadcast(frequent), "term"),
-                    bm25_weight(F.col("tf"), F.col("doc_len"), mean),
-                    _bucket("term", buckets),
-                    block_chunks,
-                )
-            lists = _write_inverted(lists, buckets)
-        return cls(rows, lists, terms, buckets, n_docs, mean, stem, hot, hot_list)
+        index = cls(rows, None, buckets, n_docs, mean, stem)
+        return index.with_lists(hot_list, block_chunks) if inverted else index
+
+    def with_lists(self, hot_list: int = HOT_LIST, block_chunks: int = BLOCK_CHUNKS) -> Bm25Index:
+        """The index with its posting lists laid out by term."""
+        hot_list, hot = max(hot_list, self.n_docs // _HOT_SHARE), None
+        all_lists = lists = postings(self.forward)
+        terms = self.terms
+        frequent = terms.where(F.col("df") > hot_list).select("term")
+        if self.n_docs > hot_list and not frequent.isEmpty():
+            # Bounded as said at HOT_LIST.
+            lists = all_lists.join(F.broadcast(frequent), "term", "left_anti")
+            hot = HotLists.build(
+                all_lists.join(F.broadcast(frequent), "term"),
+                bm25_weight(F.col("tf"), F.col("doc_len"), self.avg_doc_len),
+                _bucket("term", self.buckets),
+                block_chunks,
+            )
+        index = replace(
+            self, inverted=_write_inverted(lists, self.buckets), hot=hot, hot_list=hot_list
+        )
+        index.__dict__["terms"] = terms
+        return index
+
+    @cached_property
+    def terms(self) -> DataFrame:
+        return _write_terms(self.forward, self.buckets)
 
     def postings(self) -> DataFrame:
         if self.inverted is None:
@@ -209,7 +236,13 @@ class Bm25Index:
         wanted = query_terms(spark, query, self.stem)
         if not wanted or k <= 0 or self.n_docs == 0:
             return spark.createDataFrame([], RANKED)
-        counted = self.frequencies(sorted(wanted))
+        scanned = None
+        if self.inverted is None:
+            scanned = materialize(self.matching(sorted(wanted)), "matched")
+            # A row per query term.
+            counted = {r.term: r.df for r in document_frequency(scanned).collect()}
+        else:
+            counted = self.frequencies(sorted(wanted))
         if not counted:
             return spark.createDataFrame([], RANKED)
         # The expression of the queries, over one row per query term.
@@ -219,7 +252,7 @@ class Bm25Index:
         blocks = self.block_search(weights, counted)
         if blocks is not None:
             return top_k(blocks.scores(k), k)
-        matched = self.matching(sorted(counted))
+        matched = self.matching(sorted(counted)) if scanned is None else scanned
         return top_k(score_postings(matched, weights, self.avg_doc_len), k)
 
     def block_search(
@@ -259,13 +292,16 @@ def _write_forward(chunks: DataFrame, stem: bool) -> tuple[DataFrame, dict]:
 
 
 def _write_inverted(posting_rows: DataFrame, buckets: int) -> DataFrame:
-    """Range-partition by (bucket, term, chunk_id): a hot term spans many tasks."""
+    """Foldered by bucket, sorted by (term, chunk_id).
+
+    Without hot terms a list is bounded, so buckets are dealt out by hash in one reading.
+    """
     spark = posting_rows.sparkSession
     keys = ["bucket", "term", "chunk_id"]
     laid_out = (
         posting_rows
         .withColumn("bucket", _bucket("term", buckets))
-        .repartitionByRange(*keys)
+        .repartition("bucket")
         .sortWithinPartitions(*keys)
     )
     path = table_path(spark, "postings")

@@ -55,7 +55,8 @@ class SearchEngine:
     """Hybrid search over one set of chunks.
 
     The chunk table is written at build time. Lexical and dense tables are written
-    when first needed, so lookups never pay for them.
+    when first needed, so lookups never pay for them. The first search scans the forward
+    relation; posting lists are laid out for the second, as they cost several scans.
     """
 
     def __init__(
@@ -64,6 +65,7 @@ class SearchEngine:
         self.spark, self.cfg, self.embedder = spark, cfg, embedder
         self.table = table
         self.chunks = table.rows()
+        self._searched = False
 
     def __enter__(self) -> SearchEngine:
         return self
@@ -107,7 +109,14 @@ class SearchEngine:
     @cached_property
     def lexical(self) -> Bm25Index:
         with _phase("lexical tables"):
-            return Bm25Index.build(self.chunks, stem=self.cfg.stem)
+            return Bm25Index.build(self.chunks, stem=self.cfg.stem, inverted=False)
+
+    def _lexical_for_search(self) -> Bm25Index:
+        if self._searched and self.lexical.inverted is None:
+            with _phase("posting lists"):
+                self.lexical = self.lexical.with_lists()
+        self._searched = True
+        return self.lexical
 
     @cached_property
     def vectors(self) -> VectorIndex | ClusteredIndex:
@@ -140,7 +149,7 @@ class SearchEngine:
             return self.spark.createDataFrame([], HITS)
         with _phase("query"):
             pool = candidate_pool(k)
-            lexical = self.lexical.search(query, pool)
+            lexical = self._lexical_for_search().search(query, pool)
             dense = self.spark.createDataFrame([], RANKED)
             if query_vector is None and self.embedder is not None and self.table.count:
                 query_vector = [float(x) for x in self.embedder.embed_query(query)]

@@ -211,3 +211,12 @@ def test_pieces_join_is_document_text(corpus):
     for path, source in CORPUS.items():
         expected = "\n\n".join(p.text for p in pieces(source, 256, 32))
         assert corpus.get_document(path) == expected
+
+
+def test_posting_lists_are_laid_out_for_the_second_search(spark, corpus_root):
+    engine = SearchEngine.build(spark, Config(roots=[corpus_root], lexical_only=True))
+    engine.stats()
+    first = engine.search("splitting a colony", 5).collect()
+    assert engine.lexical.inverted is None
+    assert engine.search("splitting a colony", 5).collect() == first and first
+    assert engine.lexical.inverted is not None

@@ -321,3 +321,18 @@ def test_normal_path():
         "a/.b": "a/.b", "a": "a", "": "",
     }.items():
         assert normal_path(given) == expected
+
+
+def test_tokens_are_counted_in_bounded_steps(spark, monkeypatch):
+    import pyarrow as pa
+
+    from siftmark.operators import lexical
+
+    monkeypatch.setattr(lexical, "_STEP_TOKENS", 30)
+    kinds = pa.list_(pa.string())
+    columns = [pa.array(range(50)), pa.array([["h"]] * 50, kinds), pa.array([["a", "b", "a"]] * 50, kinds)]
+    batch = pa.record_batch(columns, ["chunk_id", "heading", "body"])
+    steps = list(lexical._steps(batch))
+    assert max(s.num_rows for s in steps) * 4 <= 30 + 4
+    cut = pa.Table.from_batches([lexical._count_batch(s, False) for s in steps])
+    assert cut.to_pylist() == pa.Table.from_batches([lexical._count_batch(batch, False)]).to_pylist()
