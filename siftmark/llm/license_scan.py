@@ -5,9 +5,11 @@ licence families and an *unknown* class: two and three words in any paragraph, i
 of at most ``SHORT`` words also single licence names and how many words no template has.
 It is trained on word windows of the templates below, on notices that only name a
 licence, and as unknown on word pairs of the templates, names among foreign words,
-notices of other names and a bounded sample of paragraphs of the corpus. The probability
-from which a family is accepted is calibrated on held-out rows, so that at most
-``FALSE_SHARE`` of the unknown ones pass. A prediction is confirmed when the paragraph
+notices of other names and every paragraph of the corpus without a licence's triple. These
+are counted by their features (most have none), so training reads a row per set of
+features; together they weigh ``CORPUS_WEIGHT`` rows at most. The probability from which a
+family is accepted is calibrated on held-out rows, so that at most ``FALSE_SHARE`` of the
+unknown ones pass. A prediction is confirmed when the paragraph
 and a template of the family share enough three-word runs, one of them of that family
 alone, or when the paragraph is a notice with a name of the family and little else.
 
@@ -33,10 +35,8 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 UNKNOWN = "unknown"
-#: Documents of the corpus whose paragraphs stand for the unknown class in training, and
-#: how many of these paragraphs at most; both by smallest hash.
-SAMPLE_DOCS = 400
-SAMPLE_PARAGRAPHS = 2000
+#: What all paragraphs of the corpus weigh in training and calibration, in template rows.
+CORPUS_WEIGHT = 2000
 FALSE_SHARE = 0.01
 LEAST_PROBABILITY = 0.5
 LEAST_SHARED = 0.5
@@ -300,6 +300,27 @@ def shared_runs(words: Column, template: Column) -> Column:
     return F.when(least > 0, both / least).otherwise(F.lit(0.0))
 
 
+def _fifth(words: Column) -> Column:
+    return F.pmod(F.xxhash64(words), F.lit(5)) == 0
+
+
+def unknown_features(
+    docs: DataFrame, key: str, text: str, vocabulary: list[str], cue_words: Column
+) -> DataFrame:
+    """features (sorted, of the vocabulary), held_out, n: every paragraph without a triple."""
+    words, triples = F.col("words"), F.array(*[F.lit(v) for v in vocabulary if v.count(" ") == 2])
+    # Only lines with a telling word have runs of the vocabulary; of the others names and
+    # counts are all there is.
+    held = F.array_intersect(features_of(words), F.array(*map(F.lit, vocabulary)))
+    found = paragraphs(docs, key, text).select(
+        F.when(F.arrays_overlap(words, cue_words), held).otherwise(_named(words)).alias("features"),
+        _fifth(words).alias("held_out"),
+    )
+    counted = found.select(F.array_sort("features").alias("features"), "held_out")
+    counted = counted.groupBy("features", "held_out").agg(F.count("*").alias("n"))
+    return counted.where(~F.arrays_overlap("features", triples))
+
+
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per paragraph that names a licence.
 
@@ -309,20 +330,14 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     known = templates(spark)
     classes = [UNKNOWN, *TEMPLATES]
-    # Only keys are sorted; the texts of the few taken are fetched by a broadcast.
-    keys = docs.select(F.col(key)).orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(SAMPLE_DOCS)
-    samples = docs.select(F.col(key), F.col(text)).join(F.broadcast(keys.distinct()), key)
     vocabulary = _vocabulary()
     pairs = F.array(*[F.lit(v) for v in vocabulary if v.count(" ") == 1])
-    triples = F.array(*[F.lit(v) for v in vocabulary if v.count(" ") == 2])
-    plain = (
-        paragraphs(samples, key, text)
-        .where(~F.arrays_overlap(_runs(F.col("words"), 3), triples))
-        .orderBy(F.xxhash64("words"), "words")
-        .limit(SAMPLE_PARAGRAPHS)
-        .select(F.lit(UNKNOWN).alias("family"), "words")
-    )
-    rows = _windows(known).unionByName(_pairs(known)).unionByName(plain)
+    cues = {w for v in vocabulary for w in v.split(" ") if v not in _FOREIGN}
+    cues = sorted({w.removeprefix("=") for w in cues} - set(FUNCTION_WORDS))
+    cue_words = F.array(*map(F.lit, cues))
+    plain = materialize(unknown_features(docs, key, text, vocabulary, cue_words), "license_unknown")
+    each = max(1.0, (plain.agg(F.sum("n").alias("n")).first().n or 0) / CORPUS_WEIGHT)
+    rows = _windows(known).unionByName(_pairs(known))
     # Whole notices are learned in any case, and count more than cuts of them.
     made = _notices() + [(UNKNOWN, words) for words in _without_licence()]
     fixed = [{"family": f, "words": words} for f, words in made]
@@ -331,10 +346,17 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     rows = rows.withColumn("weight", F.lit(1.0)).unionByName(whole)
     rows = rows.select(
         "weight",
-        F.array_position(F.array(*map(F.lit, classes)), F.col("family")).cast("double").alias("label"),
+        "family",
         features_of(F.col("words")).alias("features"),
-        ((F.pmod(F.xxhash64("words"), F.lit(5)) == 0) & (F.col("weight") == 1)).alias("held_out"),
-    ).withColumn("label", F.col("label") - 1)
+        (_fifth(F.col("words")) & (F.col("weight") == 1)).alias("held_out"),
+        F.lit(round(each)).cast("long").alias("n"),
+    ).unionByName(
+        plain.select(
+            (F.col("n") / each).alias("weight"), F.lit(UNKNOWN).alias("family"), "features", "held_out", "n"
+        )
+    )
+    place = F.array_position(F.array(*map(F.lit, classes)), F.col("family")).cast("double")
+    rows = rows.withColumn("label", place - 1)
     rows = materialize(rows.coalesce(2), "license_training")
     vector = CountVectorizerModel.from_vocabulary(
         vocabulary, inputCol="features", outputCol="vector", minTF=0.0
@@ -361,15 +383,12 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     limit = (
         scored(rows.where(F.col("held_out") & (F.col("label") == 0)))
-        .agg(F.percentile("best", F.lit(1 - FALSE_SHARE)).alias("p"))
+        .agg(F.percentile("best", F.lit(1 - FALSE_SHARE), F.col("n")).alias("p"))
         .first()
         .p
     )
     limit = max(LEAST_PROBABILITY, limit or 0.0)
 
-    cues = {w for v in vocabulary for w in v.split(" ") if v not in _FOREIGN}
-    cues = sorted({w.removeprefix("=") for w in cues} - set(FUNCTION_WORDS))
-    cue_words = F.array(*map(F.lit, cues))
     telling = docs.select(F.col(key), F.col(text)).where(
         F.arrays_overlap(F.split(F.lower(F.col(text)), "[^a-z0-9]+"), cue_words)
     )

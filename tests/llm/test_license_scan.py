@@ -90,3 +90,16 @@ def test_features_equal_plain_ones(spark):
     for r in df.withColumn("f", L.features_of(F.col("w"))).collect():
         assert r.w == L._split(r.t)
         assert len(r.f) == len(set(r.f)) and set(r.f) == plain(r.w)
+
+
+def test_every_paragraph_is_counted(spark, monkeypatch):
+    from siftmark.llm import license_scan as L
+
+    kept, write = {}, L.materialize
+    monkeypatch.setattr(L, "materialize", lambda df, name: kept.setdefault(name, write(df, name)))
+    lines = ["one two three four five six seven eight nine ten eleven", "MIT", "Released under the MIT License."]
+    texts = [(i, "\n".join(lines[: 2 + (i == 7)])) for i in range(3000)]
+    found = scan(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert found.where("confirmed AND paragraph = 2").count() == 1
+    counted = {tuple(r.features): r.n for r in kept["license_unknown"].collect()}
+    assert counted == {(): 3000, ("=mit",): 3000}
